@@ -4,7 +4,9 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
+
+from marquee.operators.ranking import positions
 
 RATE, COLLECT, WATCH = 1, 2, 3
 LIKE10 = 80
@@ -84,10 +86,23 @@ def positive_sequences(interactions: DataFrame, *, min_events: int = 2) -> DataF
     """
     positives = positive_feedback(interactions)
     enough = positives.groupBy("user_id").count().filter(F.col("count") >= min_events).select("user_id")
-    order = Window.partitionBy("user_id").orderBy("ts", "event_id")
-    return positives.join(enough, "user_id", "left_semi").select(
-        "user_id", (F.row_number().over(order) - 1).alias("pos"), "item_id", "behavior_type", "ts", "event_id"
-    )
+    kept = positives.join(enough, "user_id", "left_semi")
+    placed = positions(kept, ["user_id"], ["ts", "event_id"], F.to_date("ts"))
+    return placed.select("user_id", "pos", "item_id", "behavior_type", "ts", "event_id")
+
+
+def load_interactions(records: DataFrame, items: DataFrame, known_users: DataFrame,
+                      existing: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Load title-keyed behaviour records: (new users, snapshot after the upsert).
+
+    A title resolves to its highest item id; records with unknown titles are
+    skipped, but their users are still added.
+    """
+    new_users = records.select("user_id").distinct().join(known_users.select("user_id"), "user_id", "left_anti")
+    by_title = items.groupBy("title").agg(F.max("item_id").alias("item_id"))
+    batch = records.drop("item_id").join(by_title, "title").select(
+        "user_id", "item_id", "behavior_type", "score10", "ts", "event_id")
+    return new_users, interaction_upsert(existing, batch)
 
 
 def reward(behavior_type: Column, score10: Column) -> Column:

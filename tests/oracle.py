@@ -25,7 +25,7 @@ def connect(folder: str):
 
 
 def _cell(v):
-    if v is None or v is pd.NaT:
+    if v is None or v is pd.NaT or v is pd.NA:
         return None
     if isinstance(v, float):
         if math.isnan(v):
