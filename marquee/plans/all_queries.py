@@ -6,7 +6,7 @@ import importlib
 
 from marquee.plans import registry
 
-MODULES = ("catalog_queries",)
+MODULES = ("catalog_queries", "ingest_queries")
 
 
 def load():
