@@ -34,9 +34,14 @@ def weighted_merge(parts: Mapping[str, DataFrame], weights: Mapping[str, float])
 
 
 def minmax_blend(parts: Mapping[str, DataFrame], weights: Mapping[str, float]) -> DataFrame:
-    """Weighted sum of per-user scores scaled to [0, 1]; a constant list contributes 0."""
+    """Weighted sum of per-user scores scaled to [0, 1]; a constant list contributes 0.
+
+    Scaling works on whole millionths, so that rounding noise in an otherwise
+    constant list is not blown up to the full range.
+    """
     scaled = {}
-    for name, scores in parts.items():
+    for name, raw in parts.items():
+        scores = raw.select("user_id", "item_id", micro(F.col("score")).alias("score"))
         bounds = scores.groupBy("user_id").agg(F.min("score").alias("lo"), F.max("score").alias("hi"))
         span = F.col("hi") - F.col("lo")
         scaled[name] = scores.join(bounds, "user_id").select(

@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from marquee.functions.text import words
+from marquee.functions.text import ENGLISH_STOP_WORDS, attribute_tokens, split_multi, words
 from marquee.operators import tiles
+from marquee.operators.ranking import top_per_group
 from marquee.session import materialize
 
 
@@ -66,3 +69,120 @@ def _pearson_join(left: DataFrame, right: DataFrame, min_common: int) -> DataFra
     norm = F.sqrt((F.col("n") * F.col("sxx") - F.col("sx") * F.col("sx")).cast("double")) * F.sqrt(
         (F.col("n") * F.col("syy") - F.col("sy") * F.col("sy")).cast("double"))
     return sums.select("user_a", "user_b", F.col("n").alias("n_common"), (F.col("cov") / norm).alias("sim"))
+
+
+def item_tags(items: DataFrame) -> DataFrame:
+    """Distinct namespaced tags of each item: types, directors and country."""
+    def named(column: str, space: str) -> Column:
+        return F.transform(split_multi(F.col(column)), lambda x: F.concat(F.lit(space), x))
+
+    tags = F.array_distinct(F.concat(named("types", "t:"), named("directors", "d:"), named("country", "c:")))
+    return items.select("item_id", F.array_sort(tags).alias("tags"))
+
+
+def group_copies(rows: DataFrame, content: Column) -> tuple[DataFrame, DataFrame]:
+    """Collapse rows with equal content: (item_id, copy_id) and (copy_id, n_copies).
+
+    ``copy_id`` is the lowest item id of the group.  Scoring then costs one
+    row per distinct content, however many copies a group holds.
+    """
+    keyed = rows.select("item_id", content.alias("content"))
+    groups = keyed.groupBy("content").agg(F.min("item_id").alias("copy_id"), F.count(F.lit(1)).alias("n_copies"))
+    return keyed.join(groups.select("content", "copy_id"), "content").select("item_id", "copy_id"), groups.select(
+        "copy_id", "n_copies")
+
+
+def expand_copies(matched: DataFrame, members: DataFrame, *, n: int) -> DataFrame:
+    """Best ``n`` other items per item, from matches between copy groups (own group included).
+
+    The ``n + 1`` best groups hold the ``n + 1`` best items, and of each group
+    only its ``n + 1`` lowest ids can be among them.  The bounded list of a
+    group is built once and attached to each of its members row by row.
+    """
+    lowest = top_per_group(members, ["copy_id"], ["item_id"], n=n + 1, rank="pos").select(
+        F.col("copy_id").alias("right_id"), F.col("item_id").alias("other"))
+    ranked = top_per_group(
+        matched.join(lowest, "right_id").withColumn("micro", tiles.micro(F.col("score"))),
+        ["left_id"], [F.col("micro").desc(), F.col("other")], n=n + 1, rank="place")
+    lists = ranked.groupBy(F.col("left_id").alias("copy_id")).agg(
+        F.sort_array(F.collect_list(F.struct("place", "other", "score"))).alias("best"))
+    own = members.join(lists, "copy_id")
+    others = F.slice(F.filter("best", lambda x: x["other"] != F.col("item_id")), 1, n)
+    return own.select("item_id", F.posexplode(others).alias("pos", "m")).select(
+        F.col("item_id").alias("item_a"), F.col("m.other").alias("item_b"), F.col("m.score").alias("sim"),
+        (F.col("pos") + 1).alias("rank"))
+
+
+def similar_items(items: DataFrame, *, n: int = 6) -> DataFrame:
+    """Best ``n`` items by cosine of binary tag vectors; items sharing no tag never match."""
+    tagged = materialize(item_tags(items))
+    members, groups = group_copies(tagged, F.array_join("tags", "\u0001"))
+    vectors = tagged.join(groups, F.col("item_id") == F.col("copy_id"), "left_semi").filter(F.size("tags") > 0).select(
+        F.col("item_id").alias("id"), F.col("tags").alias("terms"),
+        F.transform("tags", lambda x: 1 / F.sqrt(F.size("tags"))).alias("vals"))
+    return expand_copies(tiles.match(vectors, vectors, kind="dot", k=n + 1), members, n=n)
+
+
+def jaccard_vectors(items: DataFrame) -> DataFrame:
+    """Attribute token sets of items as match rows."""
+    tokens = attribute_tokens(F.col("types"), F.col("directors"), F.col("country"), F.col("summary"))
+    sets = items.select(F.col("item_id").alias("id"), tokens.alias("terms"))
+    return sets.filter(F.size("terms") > 0).withColumn("vals", F.transform("terms", lambda x: F.lit(1.0)))
+
+
+def item_jaccard(items: DataFrame, *, n: int = 6) -> DataFrame:
+    """Best ``n`` items by shared / united attribute tokens."""
+    vectors = materialize(jaccard_vectors(items))
+    return tiles.match(vectors, vectors, kind="jaccard", k=n, exclude_self=True).select(
+        F.col("left_id").alias("item_a"), F.col("right_id").alias("item_b"), F.col("score").alias("sim"), "rank")
+
+
+def _unit_vectors(ratings: DataFrame, id_col: str, term_col: str) -> DataFrame:
+    """Zero-filled rating vectors scaled to length 1."""
+    norms = ratings.groupBy(id_col).agg(F.sqrt(F.sum(F.col("score10") * F.col("score10")).cast("double")).alias("norm"))
+    unit = ratings.join(norms.filter(F.col("norm") > 0), id_col).select(
+        id_col, term_col, (F.col("score10") / F.col("norm")).alias("val"))
+    return materialize(tiles.pack(unit, id_col, term_col, "val"))
+
+
+def user_cosine(ratings: DataFrame, *, k: int | None = 20) -> DataFrame:
+    vectors = _unit_vectors(ratings, "user_id", "item_id")
+    return tiles.match(vectors, vectors, kind="dot", k=k, exclude_self=True).select(
+        F.col("left_id").alias("user_a"), F.col("right_id").alias("user_b"), F.col("score").alias("sim"))
+
+
+def item_cosine(ratings: DataFrame, *, k: int | None = 20) -> DataFrame:
+    vectors = _unit_vectors(ratings, "item_id", "user_id")
+    return tiles.match(vectors, vectors, kind="dot", k=k, exclude_self=True).select(
+        F.col("left_id").alias("item_a"), F.col("right_id").alias("item_b"), F.col("score").alias("sim"))
+
+
+def tfidf_vectors(texts: DataFrame, *, stop_words: Sequence[str] = ENGLISH_STOP_WORDS) -> DataFrame:
+    """Length-1 TF-IDF vectors (item_id, text) -> (id, terms, vals) with idf = ln((1+N)/(1+df)) + 1."""
+    spark = texts.sparkSession
+    stops = spark.createDataFrame([(w,) for w in stop_words], "term string")
+    counts = (
+        texts.select(F.col("item_id").alias("id"), F.explode(words(F.col("text"))).alias("term"))
+        .join(F.broadcast(stops), "term", "left_anti").groupBy("id", "term").agg(F.count(F.lit(1)).alias("tf"))
+    )
+    counts = materialize(counts)
+    size = texts.agg(F.count(F.lit(1)).alias("n")).withColumn("one", F.lit(0))
+    idf = counts.groupBy("term").agg(F.count(F.lit(1)).alias("df")).withColumn("one", F.lit(0)).join(
+        F.broadcast(size), "one").select("term", (F.ln((1 + F.col("n")) / (1 + F.col("df"))) + 1).alias("idf"))
+    weighted = counts.join(idf, "term").select("id", "term", (F.col("tf") * F.col("idf")).alias("w"))
+    packed = tiles.pack(weighted, "id", "term", "w")
+    length = F.sqrt(F.aggregate("vals", F.lit(0.0), lambda a, x: a + x * x))
+    return packed.withColumn("_len", length).select(
+        "id", "terms", F.transform("vals", lambda x: x / F.col("_len")).alias("vals"))
+
+
+def tfidf_similar(texts: DataFrame, *, n: int = 10, stop_words: Sequence[str] = ENGLISH_STOP_WORDS) -> DataFrame:
+    """Best ``n`` other texts by TF-IDF cosine.  ``texts`` is (item_id, text); equal texts are scored once.
+
+    Document counts still include every copy, as each copy is a document.
+    """
+    members, groups = group_copies(texts, F.sha2("text", 256))
+    members = materialize(members)
+    vectors = materialize(tfidf_vectors(texts, stop_words=stop_words))
+    distinct = vectors.join(members.filter(F.col("item_id") == F.col("copy_id")), F.col("id") == F.col("item_id"), "left_semi")
+    return expand_copies(tiles.match(distinct, distinct, kind="dot", k=n + 1), members, n=n)

@@ -139,8 +139,20 @@ def _cells_worth_ranking(score, valid, k):
     return np.nonzero(valid)
 
 
+def _ragged(ids: pd.Series, group: np.ndarray, right_index: pd.Index, values: pd.Series | None = None):
+    """Per-row id lists as (group, right column[, value]) triples sorted by group; ids outside the tile dropped."""
+    lists = [np.empty(0, "int64") if v is None else np.asarray(v) for v in ids]
+    groups = np.repeat(group, [len(v) for v in lists])
+    cols = right_index.get_indexer(np.concatenate(lists))
+    here = cols >= 0
+    out = [groups[here], cols[here]]
+    if values is not None:
+        out.append(np.concatenate([np.empty(0) if v is None else np.asarray(v) for v in values])[here])
+    return out
+
+
 def _score_tile(left: pd.DataFrame, right: pd.DataFrame, kind: str, exclude_self: bool, with_ties: bool,
-                min_common: int) -> pd.DataFrame:
+                min_common: int, weight: float) -> pd.DataFrame:
     empty = pd.DataFrame({"left_id": np.empty(0, "int64"), "right_id": np.empty(0, "int64"),
                           "score": np.empty(0), "n_common": np.empty(0, "int64")})
     if left.empty or right.empty:
@@ -152,7 +164,9 @@ def _score_tile(left: pd.DataFrame, right: pd.DataFrame, kind: str, exclude_self
     ids, group = np.unique(left["id"].to_numpy(), return_inverse=True)
     firsts = np.append(np.searchsorted(group, np.arange(len(ids))), len(left))
     k_all = left["k"].to_numpy()[firsts[:-1]] if "k" in left else None
-    skips = left["skip"].to_numpy()[firsts[:-1]] if "skip" in left else None
+    skip = _ragged(left["skip"], group, right_index) if "skip" in left else None
+    boost = _ragged(left["boost_ids"], group, right_index, left["boost_vals"]) if "boost_ids" in left else None
+    counted = np.bincount(group, weights=left["counted"]) if "counted" in left else np.diff(firsts)
     cost = np.full(len(left), width)
     if kind == "dense":
         left_matrix = np.vstack(left["vals"].to_numpy())
@@ -176,10 +190,10 @@ def _score_tile(left: pd.DataFrame, right: pd.DataFrame, kind: str, exclude_self
         if exclude_self:
             rows.append(np.arange(g1 - g0))
             cols.append(right_index.get_indexer(ids[g0:g1]))
-        if skips is not None:
-            part = [np.empty(0, int) if s is None else np.asarray(s) for s in skips[g0:g1]]
-            rows.append(np.repeat(np.arange(g1 - g0), [len(s) for s in part]))
-            cols.append(right_index.get_indexer(np.concatenate(part)))
+        if skip is not None:
+            lo, hi = np.searchsorted(skip[0], (g0, g1))
+            rows.append(skip[0][lo:hi] - g0)
+            cols.append(skip[1][lo:hi])
         rows, cols = np.concatenate(rows), np.concatenate(cols)
         return rows[cols >= 0], cols[cols >= 0]
 
@@ -198,7 +212,7 @@ def _score_tile(left: pd.DataFrame, right: pd.DataFrame, kind: str, exclude_self
             parts.append(_best(found // width, found % width, score, n, ids[g0:g1], right_ids, k, with_ties))
             continue
         if kind == "dense":
-            score = left_matrix[lo:hi] @ right_matrix.T + bias
+            score = left_matrix[lo:hi] @ right_matrix.T * weight + bias
             valid = np.ones_like(score, dtype=bool)
         else:
             score = np.zeros((g1 - g0) * width)
@@ -216,7 +230,11 @@ def _score_tile(left: pd.DataFrame, right: pd.DataFrame, kind: str, exclude_self
                     score.reshape(-1, width)[first[0]] += np.add.reduceat(shared / np.maximum(united, 1), first[1], axis=0)
             score = score.reshape(g1 - g0, width)
             if kind == "jaccard":
-                score /= np.diff(firsts)[g0:g1, None]
+                score /= np.maximum(counted[g0:g1, None], 1)
+            score *= weight
+            if boost is not None:
+                a, b = np.searchsorted(boost[0], (g0, g1))
+                np.add.at(score, (boost[0][a:b] - g0, boost[1][a:b]), boost[2][a:b])
             valid = score > 0
         valid[out_rows, out_cols] = False
         rows, cols = _cells_worth_ranking(score, valid, k)
@@ -225,7 +243,7 @@ def _score_tile(left: pd.DataFrame, right: pd.DataFrame, kind: str, exclude_self
 
 
 def match(left: DataFrame, right: DataFrame, *, kind: str, k: int | None = None, exclude_self: bool = False,
-          with_ties: bool = False, min_common: int = 2) -> DataFrame:
+          with_ties: bool = False, min_common: int = 2, weight: float = 1.0) -> DataFrame:
     """Best matches of each left row among the right rows.
 
     Rows are ``(id bigint, terms array, vals array<double>)``; ``dense`` uses
@@ -237,7 +255,10 @@ def match(left: DataFrame, right: DataFrame, *, kind: str, k: int | None = None,
     * ``dense``    dot product plus the right side's optional ``bias``
 
     A left ``k`` column overrides the constant ``k`` per row (no limit when both
-    are absent); a left ``skip`` array lists right ids that may not match.
+    are absent).  A left ``skip`` array lists right ids that may not match,
+    ``boost_ids``/``boost_vals`` add to the (``weight``-ed) scores of single right ids, and
+    ``counted`` (0 or 1) says which left rows the jaccard average counts; the
+    lists of all rows of an id are taken together.
     ``with_ties`` keeps every match that ties with the last kept one.
     """
     spark = left.sparkSession
@@ -250,12 +271,15 @@ def match(left: DataFrame, right: DataFrame, *, kind: str, k: int | None = None,
     lefts = left.select(
         "*", F.explode(F.sequence(F.lit(0), F.lit(n_right - 1))).alias("_other")
     ).withColumn("tile", F.pmod(F.xxhash64("id"), F.lit(n_left)).cast("int") * n_right + F.col("_other")).drop("_other")
+    # The right columns are renamed so that matching a table with itself stays unambiguous.
     rights = right.select(
-        "*", F.explode(F.sequence(F.lit(0), F.lit(n_left - 1))).alias("_other")
-    ).withColumn("tile", F.col("_other") * n_right + F.pmod(F.xxhash64("id"), F.lit(n_right)).cast("int")).drop("_other")
+        *[F.col(c).alias(f"r_{c}") for c in right.columns],
+        F.explode(F.sequence(F.lit(0), F.lit(n_left - 1))).alias("_other")
+    ).withColumn("tile", F.col("_other") * n_right + F.pmod(F.xxhash64("r_id"), F.lit(n_right)).cast("int")).drop("_other")
 
     def run(left_rows: pd.DataFrame, right_rows: pd.DataFrame) -> pd.DataFrame:
-        return _score_tile(left_rows, right_rows, kind, exclude_self, with_ties, min_common)
+        right_rows = right_rows.rename(columns=lambda c: c.removeprefix("r_"))
+        return _score_tile(left_rows, right_rows, kind, exclude_self, with_ties, min_common, weight)
 
     scored = (
         lefts.repartition(tiles, "tile").groupBy("tile")
