@@ -157,3 +157,8 @@ def orphan_filter(rows: DataFrame, users: DataFrame, items: DataFrame) -> DataFr
     return rows.join(users.select("user_id"), "user_id", "left_semi").join(
         items.select("item_id"), "item_id", "left_semi"
     )
+
+
+def liked10_popularity(ratings: DataFrame, *, like10: int = LIKE10) -> DataFrame:
+    """Sum of liked scores (in tenths) per item."""
+    return ratings.filter(F.col("score10") >= like10).groupBy("item_id").agg(F.sum("score10").alias("likes10"))

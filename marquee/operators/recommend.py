@@ -86,24 +86,57 @@ def content_rec(ratings: DataFrame, items: DataFrame, *, n: int = 10, like10: in
     return rank_scores(scores, n=n)
 
 
-def jaccard_rows(ratings: DataFrame, vectors: DataFrame, *, like10: int = LIKE10) -> DataFrame:
-    """Match rows of users: one per rated item, which is skipped; liked items carry their tokens."""
-    rows = ratings.join(vectors.withColumnRenamed("id", "item_id"), "item_id", "left")
-    like = F.col("score10") >= like10
-    tokens, ones = F.array().cast("array<string>"), F.array().cast("array<double>")
-    return rows.select(
-        F.col("user_id").alias("id"),
-        F.when(like & F.col("terms").isNotNull(), F.col("terms")).otherwise(tokens).alias("terms"),
-        F.when(like & F.col("vals").isNotNull(), F.col("vals")).otherwise(ones).alias("vals"),
-        F.array("item_id").alias("skip"), F.when(like, 1).otherwise(0).alias("counted"))
-
-
-def content_rec_jaccard(ratings: DataFrame, items: DataFrame, *, n: int = 10, like10: int = LIKE10) -> DataFrame:
-    """Mean token Jaccard to the user's liked items, without rated ones."""
+def _pairs(rows: DataFrame) -> DataFrame:
+    return rows.select(F.col("user_id").alias("id"), F.col("item_id").alias("right_id"))
+
+
+def content_rec_jaccard(ratings: DataFrame, items: DataFrame, *, n: int = 10, like10: int = LIKE10,
+                        weight: float = 1.0, boost: DataFrame | None = None, max_likes: int = 20_000) -> DataFrame:
+    """Mean token Jaccard to the user's liked items, without rated ones.
+
+    ``boost`` (user_id, item_id, score) is added to ``weight`` times the mean
+    before ranking.  A user with more than ``max_likes`` likes is scored by a
+    join on tokens instead, so no task holds all likes of a very active user.
+    """
     vectors = materialize(sim.jaccard_vectors(items))
-    rows = materialize(jaccard_rows(ratings, vectors, like10=like10))
-    return tiles.match(rows, vectors, kind="jaccard", k=n).select(
+    ratings = materialize(ratings.select("user_id", "item_id", "score10"))
+    likes = liked(ratings, like10=like10).select(F.col("user_id").alias("id"), "item_id").join(
+        vectors.withColumnRenamed("id", "item_id"), "item_id", "left").select(
+        "id", "item_id", F.coalesce("terms", F.array().cast("array<string>")).alias("terms"),
+        F.coalesce("vals", F.array().cast("array<double>")).alias("vals"))
+    counts = likes.groupBy("id").count()
+    busy = materialize(counts.filter(F.col("count") > max_likes))
+    has_busy = not busy.isEmpty()
+    rows = likes.join(busy, "id", "left_anti") if has_busy else likes
+    added = None if boost is None else boost.select(
+        F.col("user_id").alias("id"), F.col("item_id").alias("right_id"), F.col("score").alias("boost"))
+    if boost is not None:
+        # users without likes still rank their boosted items
+        idle = boost.select(F.col("user_id").alias("id")).distinct().join(counts, "id", "left_anti")
+        rows = rows.select("id", "terms", "vals").unionByName(idle.select(
+            "id", F.array().cast("array<string>").alias("terms"), F.array().cast("array<double>").alias("vals")))
+    found = tiles.match(materialize(rows.select("id", "terms", "vals")), vectors, kind="jaccard", k=n, weight=weight,
+                        skip=_pairs(ratings), boost=added).select(
         F.col("left_id").alias("user_id"), F.col("right_id").alias("item_id"), "score", "rank")
+    if not has_busy:
+        return found
+    return found.unionByName(_jaccard_join(likes.join(busy, "id"), vectors, ratings, n, weight, added))
+
+
+def _jaccard_join(likes: DataFrame, vectors: DataFrame, ratings: DataFrame, n: int, weight: float,
+                  added: DataFrame | None) -> DataFrame:
+    """Jaccard means by a join on tokens; ``likes`` carries each user's like ``count``."""
+    mine = likes.select("id", "item_id", "count", F.size("terms").alias("n_a"), F.explode("terms").alias("token"))
+    theirs = vectors.select(F.col("id").alias("right_id"), F.size("terms").alias("n_b"), F.explode("terms").alias("token"))
+    shared = mine.join(theirs, "token").groupBy("id", "item_id", "right_id", "count", "n_a", "n_b").agg(
+        F.count(F.lit(1)).alias("c"))
+    score = F.sum(F.col("c") / (F.col("n_a") + F.col("n_b") - F.col("c"))) / F.first("count") * weight
+    sums = shared.groupBy("id", "right_id").agg(score.alias("score"))
+    if added is not None:
+        wanted = added.join(likes.select("id").distinct(), "id", "left_semi").withColumnRenamed("boost", "score")
+        sums = sums.unionByName(wanted).groupBy("id", "right_id").agg(F.sum("score").alias("score"))
+    kept = sums.join(_pairs(ratings), ["id", "right_id"], "left_anti")
+    return rank_scores(kept.select(F.col("id").alias("user_id"), F.col("right_id").alias("item_id"), "score"), n=n)
 
 
 def jaccard_cf_hybrid(ratings: DataFrame, items: DataFrame, cf: DataFrame, *, n: int, weight_cf: float = 0.55,
@@ -111,20 +144,11 @@ def jaccard_cf_hybrid(ratings: DataFrame, items: DataFrame, cf: DataFrame, *, n:
     """Best ``n`` by weighted sum of collaborative and Jaccard content scores.
 
     The content score covers nearly every item, the collaborative one few, so
-    the latter rides along as per-item additions while tiles are scored and
-    the dense score table never exists.
+    the latter is added pair by pair while tiles are scored and the dense
+    score table never exists.
     """
-    vectors = materialize(sim.jaccard_vectors(items))
-    rows = jaccard_rows(ratings, vectors, like10=like10).withColumn("boost_ids", F.array().cast("array<bigint>")).withColumn(
-        "boost_vals", F.array().cast("array<double>"))
-    boosts = cf.select(
-        F.col("user_id").alias("id"), F.array().cast("array<string>").alias("terms"),
-        F.array().cast("array<double>").alias("vals"), F.array().cast("array<bigint>").alias("skip"),
-        F.lit(0).alias("counted"), F.array("item_id").alias("boost_ids"),
-        F.array(F.col("score") * F.lit(weight_cf)).alias("boost_vals"))
-    everything = materialize(rows.unionByName(boosts))
-    return tiles.match(everything, vectors, kind="jaccard", k=n, weight=weight_content).select(
-        F.col("left_id").alias("user_id"), F.col("right_id").alias("item_id"), "score", "rank")
+    boost = cf.select("user_id", "item_id", (F.col("score") * F.lit(weight_cf)).alias("score"))
+    return content_rec_jaccard(ratings, items, n=n, like10=like10, weight=weight_content, boost=boost)
 
 
 def item_cf(ratings: DataFrame, *, n: int = 5) -> DataFrame:
@@ -149,10 +173,10 @@ def cf_nearest(ratings: DataFrame, *, n: int = 5, neighbours: int = 32) -> DataF
     bound are settled; only the others are redone with all their neighbours.
     """
     ratings = materialize(ratings.select("user_id", "item_id", "score10"))
-    vectors = sim._unit_vectors(ratings, "user_id", "item_id")
+    vectors = sim.unit_ratings(ratings, "user_id", "item_id")
 
     def near(left: DataFrame, k: int | None) -> DataFrame:
-        return tiles.match(left, vectors, kind="dot", k=k, exclude_self=True).select(
+        return tiles.match_long(left, vectors, kind="dot", k=k).select(
             F.col("left_id").alias("user_a"), F.col("right_id").alias("user_b"), F.col("score").alias("sim"))
 
     some = materialize(near(vectors, neighbours))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from marquee.functions.text import ENGLISH_STOP_WORDS, attribute_tokens, split_multi, words
 from marquee.operators import tiles
@@ -12,63 +12,21 @@ from marquee.operators.ranking import top_per_group
 from marquee.session import materialize
 
 
-def _wide_rows(rows: DataFrame, id_col: str, limit: int) -> DataFrame:
-    return rows.groupBy(id_col).count().filter(F.col("count") > limit).select(id_col)
-
-
 def user_similarity_pearson(ratings: DataFrame, others: DataFrame | None = None, *, min_common: int = 2,
                             k: int | None = None, max_entries: int | None = None) -> DataFrame:
     """Positive Pearson correlations over co-rated items: user_a, user_b, n_common, sim.
 
     ``others`` (default: the same ratings) supplies the neighbours; ``k`` keeps
-    the best per user.  Sums are over integers, so the sign test is exact.  A
-    user with more ratings than ``max_entries`` is not packed into one row but
-    compared by a join, which is linear in the partners it has.
+    the best per user.  Sums are over integers, so the sign test is exact.
     """
-    limit = max_entries or tiles.MAX_ROW_ENTRIES
-    left = materialize(ratings.select("user_id", "item_id", "score10"))
-    right = left if others is None else materialize(others.select("user_id", "item_id", "score10"))
-    wide_left = _wide_rows(left, "user_id", limit)
-    wide_right = wide_left if others is None else _wide_rows(right, "user_id", limit)
-    has_wide = not wide_left.isEmpty() or (others is not None and not wide_right.isEmpty())
-    slim_left, slim_right = left, right
-    if has_wide:
-        slim_left = left.join(wide_left, "user_id", "left_anti")
-        slim_right = right.join(wide_right, "user_id", "left_anti")
-    found = tiles.match(
-        tiles.pack(slim_left, "user_id", "item_id", "score10"),
-        tiles.pack(slim_right, "user_id", "item_id", "score10"),
-        kind="pearson", k=k, exclude_self=True, min_common=min_common,
-    ).select(F.col("left_id").alias("user_a"), F.col("right_id").alias("user_b"), "n_common",
-             F.col("score").alias("sim"))
-    if has_wide:
-        wide_a = left.join(F.broadcast(wide_left), "user_id", "left_semi")
-        wide_b = right.join(F.broadcast(wide_right), "user_id", "left_semi")
-        found = found.unionByName(_pearson_join(wide_a, right, min_common)).unionByName(
-            _pearson_join(slim_left, wide_b, min_common)
-        )
-        if k is not None:
-            best = Window.partitionBy("user_a").orderBy(tiles.micro(F.col("sim")).desc(), "user_b")
-            found = found.withColumn("_r", F.row_number().over(best)).filter(F.col("_r") <= k).drop("_r")
-    return found
-
-
-def _pearson_join(left: DataFrame, right: DataFrame, min_common: int) -> DataFrame:
-    a = left.select(F.col("user_id").alias("user_a"), "item_id", F.col("score10").alias("x"))
-    b = right.select(F.col("user_id").alias("user_b"), "item_id", F.col("score10").alias("y"))
-    x, y = F.col("x"), F.col("y")
-    sums = (
-        a.join(b, "item_id").filter(F.col("user_a") != F.col("user_b"))
-        .groupBy("user_a", "user_b")
-        .agg(F.count(F.lit(1)).alias("n"), F.sum(x).alias("sx"), F.sum(y).alias("sy"),
-             F.sum(x * x).alias("sxx"), F.sum(y * y).alias("syy"), F.sum(x * y).alias("sxy"))
-        .filter(F.col("n") >= min_common)
-        .withColumn("cov", F.col("n") * F.col("sxy") - F.col("sx") * F.col("sy"))
-        .filter(F.col("cov") > 0)
-    )
-    norm = F.sqrt((F.col("n") * F.col("sxx") - F.col("sx") * F.col("sx")).cast("double")) * F.sqrt(
-        (F.col("n") * F.col("syy") - F.col("sy") * F.col("sy")).cast("double"))
-    return sums.select("user_a", "user_b", F.col("n").alias("n_common"), (F.col("cov") / norm).alias("sim"))
+    def long(rows: DataFrame) -> DataFrame:
+        return materialize(rows.select(F.col("user_id").alias("id"), F.col("item_id").alias("term"),
+                                       F.col("score10").alias("val")))
+
+    left = long(ratings)
+    right = left if others is None else long(others)
+    return tiles.match_long(left, right, kind="pearson", k=k, min_common=min_common, max_entries=max_entries).select(
+        F.col("left_id").alias("user_a"), F.col("right_id").alias("user_b"), "n_common", F.col("score").alias("sim"))
 
 
 def item_tags(items: DataFrame) -> DataFrame:
@@ -137,23 +95,23 @@ def item_jaccard(items: DataFrame, *, n: int = 6) -> DataFrame:
         F.col("left_id").alias("item_a"), F.col("right_id").alias("item_b"), F.col("score").alias("sim"), "rank")
 
 
-def _unit_vectors(ratings: DataFrame, id_col: str, term_col: str) -> DataFrame:
-    """Zero-filled rating vectors scaled to length 1."""
+def unit_ratings(ratings: DataFrame, id_col: str, term_col: str) -> DataFrame:
+    """Zero-filled rating vectors scaled to length 1, as long rows (id, term, val)."""
     norms = ratings.groupBy(id_col).agg(F.sqrt(F.sum(F.col("score10") * F.col("score10")).cast("double")).alias("norm"))
     unit = ratings.join(norms.filter(F.col("norm") > 0), id_col).select(
-        id_col, term_col, (F.col("score10") / F.col("norm")).alias("val"))
-    return materialize(tiles.pack(unit, id_col, term_col, "val"))
+        F.col(id_col).alias("id"), F.col(term_col).alias("term"), (F.col("score10") / F.col("norm")).alias("val"))
+    return materialize(unit)
 
 
-def user_cosine(ratings: DataFrame, *, k: int | None = 20) -> DataFrame:
-    vectors = _unit_vectors(ratings, "user_id", "item_id")
-    return tiles.match(vectors, vectors, kind="dot", k=k, exclude_self=True).select(
+def user_cosine(ratings: DataFrame, *, k: int | None = 20, max_entries: int | None = None) -> DataFrame:
+    vectors = unit_ratings(ratings, "user_id", "item_id")
+    return tiles.match_long(vectors, vectors, kind="dot", k=k, max_entries=max_entries).select(
         F.col("left_id").alias("user_a"), F.col("right_id").alias("user_b"), F.col("score").alias("sim"))
 
 
-def item_cosine(ratings: DataFrame, *, k: int | None = 20) -> DataFrame:
-    vectors = _unit_vectors(ratings, "item_id", "user_id")
-    return tiles.match(vectors, vectors, kind="dot", k=k, exclude_self=True).select(
+def item_cosine(ratings: DataFrame, *, k: int | None = 20, max_entries: int | None = None) -> DataFrame:
+    vectors = unit_ratings(ratings, "item_id", "user_id")
+    return tiles.match_long(vectors, vectors, kind="dot", k=k, max_entries=max_entries).select(
         F.col("left_id").alias("item_a"), F.col("right_id").alias("item_b"), F.col("score").alias("sim"))
 
 

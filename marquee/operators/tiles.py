@@ -139,18 +139,6 @@ def _cells_worth_ranking(score, valid, k):
     return np.nonzero(valid)
 
 
-def _ragged(ids: pd.Series, group: np.ndarray, right_index: pd.Index, values: pd.Series | None = None):
-    """Per-row id lists as (group, right column[, value]) triples sorted by group; ids outside the tile dropped."""
-    lists = [np.empty(0, "int64") if v is None else np.asarray(v) for v in ids]
-    groups = np.repeat(group, [len(v) for v in lists])
-    cols = right_index.get_indexer(np.concatenate(lists))
-    here = cols >= 0
-    out = [groups[here], cols[here]]
-    if values is not None:
-        out.append(np.concatenate([np.empty(0) if v is None else np.asarray(v) for v in values])[here])
-    return out
-
-
 def _score_tile(left: pd.DataFrame, right: pd.DataFrame, kind: str, exclude_self: bool, with_ties: bool,
                 min_common: int, weight: float) -> pd.DataFrame:
     empty = pd.DataFrame({"left_id": np.empty(0, "int64"), "right_id": np.empty(0, "int64"),
@@ -160,13 +148,26 @@ def _score_tile(left: pd.DataFrame, right: pd.DataFrame, kind: str, exclude_self
     right_ids = right["id"].to_numpy()
     right_index = pd.Index(right_ids)
     width = len(right)
+    notes = None
+    if "x_right" in left:
+        noted = left["x_right"].notna()
+        notes, left = left.loc[noted, ["id", "x_right", "x_boost"]], left[~noted]
+        if left.empty:
+            return empty
     left = left.sort_values("id", kind="stable").reset_index(drop=True)
     ids, group = np.unique(left["id"].to_numpy(), return_inverse=True)
     firsts = np.append(np.searchsorted(group, np.arange(len(ids))), len(left))
     k_all = left["k"].to_numpy()[firsts[:-1]] if "k" in left else None
-    skip = _ragged(left["skip"], group, right_index) if "skip" in left else None
-    boost = _ragged(left["boost_ids"], group, right_index, left["boost_vals"]) if "boost_ids" in left else None
-    counted = np.bincount(group, weights=left["counted"]) if "counted" in left else np.diff(firsts)
+    skip = boost = None
+    if notes is not None:
+        rows = pd.Index(ids).get_indexer(notes["id"].to_numpy())
+        cols = right_index.get_indexer(notes["x_right"].to_numpy().astype("int64"))
+        order = np.argsort(rows, kind="stable")
+        order = order[(rows[order] >= 0) & (cols[order] >= 0)]
+        rows, cols, added = rows[order], cols[order], notes["x_boost"].to_numpy().astype(float)[order]
+        gone = np.isnan(added)
+        skip, boost = (rows[gone], cols[gone]), (rows[~gone], cols[~gone], added[~gone])
+    counted = np.diff(firsts)
     cost = np.full(len(left), width)
     if kind == "dense":
         left_matrix = np.vstack(left["vals"].to_numpy())
@@ -243,7 +244,8 @@ def _score_tile(left: pd.DataFrame, right: pd.DataFrame, kind: str, exclude_self
 
 
 def match(left: DataFrame, right: DataFrame, *, kind: str, k: int | None = None, exclude_self: bool = False,
-          with_ties: bool = False, min_common: int = 2, weight: float = 1.0) -> DataFrame:
+          with_ties: bool = False, min_common: int = 2, weight: float = 1.0, skip: DataFrame | None = None,
+          boost: DataFrame | None = None) -> DataFrame:
     """Best matches of each left row among the right rows.
 
     Rows are ``(id bigint, terms array, vals array<double>)``; ``dense`` uses
@@ -255,11 +257,10 @@ def match(left: DataFrame, right: DataFrame, *, kind: str, k: int | None = None,
     * ``dense``    dot product plus the right side's optional ``bias``
 
     A left ``k`` column overrides the constant ``k`` per row (no limit when both
-    are absent).  A left ``skip`` array lists right ids that may not match,
-    ``boost_ids``/``boost_vals`` add to the (``weight``-ed) scores of single right ids, and
-    ``counted`` (0 or 1) says which left rows the jaccard average counts; the
-    lists of all rows of an id are taken together.
-    ``with_ties`` keeps every match that ties with the last kept one.
+    are absent).  ``skip`` (id, right_id) lists pairs that may not match and
+    ``boost`` (id, right_id, boost) adds to the ``weight``-ed score of single
+    pairs; each such row travels to the one tile it concerns.  ``with_ties``
+    keeps every match that ties with the last kept one.
     """
     spark = left.sparkSession
     cores = spark.sparkContext.defaultParallelism
@@ -268,14 +269,25 @@ def match(left: DataFrame, right: DataFrame, *, kind: str, k: int | None = None,
     if k is not None and "k" not in left.columns:
         left = left.withColumn("k", F.lit(k))
     tiles = n_left * n_right
+
+    def chunk(column: str, n: int) -> Column:
+        return F.pmod(F.xxhash64(column), F.lit(n)).cast("int")
+
     lefts = left.select(
         "*", F.explode(F.sequence(F.lit(0), F.lit(n_right - 1))).alias("_other")
-    ).withColumn("tile", F.pmod(F.xxhash64("id"), F.lit(n_left)).cast("int") * n_right + F.col("_other")).drop("_other")
+    ).withColumn("tile", chunk("id", n_left) * n_right + F.col("_other")).drop("_other")
+    for notes, value in ((skip, F.lit(None).cast("double")), (boost, F.col("boost"))):
+        if notes is None:
+            continue
+        routed = notes.select(
+            F.col("id"), F.col("right_id").alias("x_right"), value.alias("x_boost"),
+            (chunk("id", n_left) * n_right + chunk("right_id", n_right)).alias("tile"))
+        lefts = lefts.unionByName(routed, allowMissingColumns=True)
     # The right columns are renamed so that matching a table with itself stays unambiguous.
     rights = right.select(
         *[F.col(c).alias(f"r_{c}") for c in right.columns],
         F.explode(F.sequence(F.lit(0), F.lit(n_left - 1))).alias("_other")
-    ).withColumn("tile", F.col("_other") * n_right + F.pmod(F.xxhash64("r_id"), F.lit(n_right)).cast("int")).drop("_other")
+    ).withColumn("tile", F.col("_other") * n_right + chunk("r_id", n_right)).drop("_other")
 
     def run(left_rows: pd.DataFrame, right_rows: pd.DataFrame) -> pd.DataFrame:
         right_rows = right_rows.rename(columns=lambda c: c.removeprefix("r_"))
@@ -288,18 +300,65 @@ def match(left: DataFrame, right: DataFrame, *, kind: str, k: int | None = None,
     )
     if k is None and "k" not in left.columns:
         return scored
-    best = Window.partitionBy("left_id").orderBy(F.col("micro").desc(), "right_id")
-    if with_ties:
-        limits = left.select(F.col("id").alias("left_id"), F.col("k").alias("_k")).distinct()
-        ranked = scored.withColumn("micro", micro(F.col("score"))).join(limits, "left_id").withColumn(
-            "rank", F.rank().over(Window.partitionBy("left_id").orderBy(F.col("micro").desc()))
-        )
-        return ranked.filter(F.col("rank") <= F.col("_k")).drop("_k", "micro", "rank")
-    ranked = scored.withColumn("micro", micro(F.col("score"))).withColumn("rank", F.row_number().over(best))
+    keyed = scored.withColumn("micro", micro(F.col("score")))
+    order = [F.col("micro").desc()] if with_ties else [F.col("micro").desc(), F.col("right_id")]
+    place = (F.rank() if with_ties else F.row_number()).over(Window.partitionBy("left_id").orderBy(*order))
+    ranked = keyed.withColumn("rank", place).drop("micro")
     if k is not None:
-        return ranked.filter(F.col("rank") <= k).drop("micro")
-    limits = left.select(F.col("id").alias("left_id"), F.col("k").alias("_k")).distinct()
-    return ranked.join(limits, "left_id").filter(F.col("rank") <= F.col("_k")).drop("_k", "micro")
+        return ranked.filter(F.col("rank") <= k)
+    limits = left.groupBy(F.col("id").alias("left_id")).agg(F.max("k").alias("_k"))
+    return ranked.join(limits, "left_id").filter(F.col("rank") <= F.col("_k")).drop("_k")
+
+
+def match_long(left: DataFrame, right: DataFrame, *, kind: str, k: int | None = None, min_common: int = 2,
+               max_entries: int | None = None) -> DataFrame:
+    """``match`` of a table of long rows (id, term, val) with another or itself, self pairs left out.
+
+    Ids with more than ``max_entries`` rows are never packed into one row: all
+    their pairs come from a plain join on the term, which is linear in the rows
+    their partners hold, and its sums combine before the shuffle.
+    """
+    limit = max_entries or MAX_ROW_ENTRIES
+    same = left is right
+    wide_left = _wide(left, limit)
+    wide_right = wide_left if same else _wide(right, limit)
+    has_wide = not wide_left.isEmpty() or not (same or wide_right.isEmpty())
+    slim_left, slim_right = left, right
+    if has_wide:
+        slim_left, slim_right = left.join(wide_left, "id", "left_anti"), right.join(wide_right, "id", "left_anti")
+    packed = pack(slim_left, "id", "term", "val")
+    found = match(packed, packed if same else pack(slim_right, "id", "term", "val"), kind=kind, k=k,
+                  exclude_self=True, min_common=min_common).select(OUTPUT.names)
+    if not has_wide:
+        return found
+    joined = _join_pairs(left.join(wide_left, "id", "left_semi"), right, kind, min_common).unionByName(
+        _join_pairs(slim_left, right.join(wide_right, "id", "left_semi"), kind, min_common))
+    everything = found.unionByName(joined)
+    if k is None:
+        return everything
+    best = Window.partitionBy("left_id").orderBy(micro(F.col("score")).desc(), "right_id")
+    return everything.withColumn("_place", F.row_number().over(best)).filter(F.col("_place") <= k).drop("_place")
+
+
+def _wide(rows: DataFrame, limit: int) -> DataFrame:
+    return rows.groupBy("id").count().filter(F.col("count") > limit).select("id")
+
+
+def _join_pairs(left: DataFrame, right: DataFrame, kind: str, min_common: int) -> DataFrame:
+    a = left.select(F.col("id").alias("left_id"), "term", F.col("val").alias("x"))
+    b = right.select(F.col("id").alias("right_id"), "term", F.col("val").alias("y"))
+    x, y = F.col("x"), F.col("y")
+    sums = a.join(b, "term").filter(F.col("left_id") != F.col("right_id")).groupBy("left_id", "right_id").agg(
+        F.count(F.lit(1)).alias("n_common"), F.sum(x).alias("sx"), F.sum(y).alias("sy"), F.sum(x * x).alias("sxx"),
+        F.sum(y * y).alias("syy"), F.sum(x * y).alias("sxy"))
+    if kind == "dot":
+        return sums.filter(F.col("sxy") > 0).select(
+            "left_id", "right_id", F.col("sxy").alias("score"), F.lit(0).cast("bigint").alias("n_common"))
+    n = F.col("n_common")
+    norm = F.sqrt((n * F.col("sxx") - F.col("sx") * F.col("sx")).cast("double")) * F.sqrt(
+        (n * F.col("syy") - F.col("sy") * F.col("sy")).cast("double"))
+    return sums.filter(n >= min_common).withColumn("cov", n * F.col("sxy") - F.col("sx") * F.col("sy")).filter(
+        F.col("cov") > 0).select("left_id", "right_id", (F.col("cov") / norm).alias("score"), "n_common")
 
 
 def pack(rows: DataFrame, id_col: str, term_col: str, val_col: str) -> DataFrame:

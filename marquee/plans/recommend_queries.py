@@ -141,14 +141,15 @@ def content_rec_jaccard(t):
     return rec.content_rec_jaccard(t.ratings(), t.items(summary=True)).select("user_id", "item_id", _big("rank"), _r("score"))
 
 
-@query("weighted_merge", sql(f"""SELECT user_id, item_id, round(score, 5) AS score, row_number() OVER (PARTITION BY user_id ORDER BY
+@query("weighted_merge", sql(f"""SELECT user_id, item_id, round(score, 3) AS score, row_number() OVER (PARTITION BY user_id ORDER BY
     {micro('score')} DESC, item_id) AS rank FROM (SELECT user_id, item_id, sum(s) AS score FROM (SELECT user_id, item_id,
     0.55 * score AS s FROM cf_map UNION ALL SELECT user_id, item_id, 0.45 * score FROM jac_map) GROUP BY 1, 2) QUALIFY rank <= 10""",
     "ratings", "items", **chain("cf_map", "jac_map")))
 def weighted_merge(t):
     ratings = materialize(t.ratings())
     cf = rec.cf_scores(sim.user_similarity_pearson(ratings, k=20), ratings, ratings)
-    return rec.jaccard_cf_hybrid(ratings, t.items(summary=True), cf, n=10).select("user_id", "item_id", _big("rank"), _r("score"))
+    return rec.jaccard_cf_hybrid(ratings, t.items(summary=True), cf, n=10).select("user_id", "item_id", _big("rank"),
+                                                                                    _r("score", 3))
 
 
 @query("user_cosine", sql(f"""SELECT user_a, user_b, round(sim, 5) AS sim FROM ucos QUALIFY row_number() OVER (PARTITION BY user_a
