@@ -132,3 +132,10 @@ def keyword_tags(text: Column, table: Mapping[str, str] = KEYWORD_TAGS, *, most:
     body = F.coalesce(text, F.lit(""))
     found = F.filter(pairs, lambda p: F.contains(body, p["key"]))
     return F.slice(F.transform(found, lambda p: p["tag"]), 1, most)
+
+
+def term_frequency(texts, column: str, *, n: int | None = 200, stop_words: Sequence[str] = ENGLISH_STOP_WORDS):
+    """Most frequent words of a text column: term, n."""
+    terms = texts.select(F.explode(words(F.col(column))).alias("term")).filter(~F.col("term").isin(*stop_words))
+    counts = terms.groupBy("term").agg(F.count(F.lit(1)).alias("n"))
+    return counts if n is None else counts.orderBy(F.col("n").desc(), "term").limit(n)

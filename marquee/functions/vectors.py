@@ -2,11 +2,20 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, functions as F
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body(value)`` with the value computed once.
+
+    An expression used inside a lambda is otherwise evaluated again for every
+    array element.
+    """
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def hash_bucket(token: Column, size: int, namespace: str) -> Column:
     """md5("namespace:token") modulo ``size``; the last byte decides, so ``size`` must divide 256."""
     if 256 % size:
@@ -21,17 +30,19 @@ def entry(slot: Column, value: Column) -> Column:
 
 def fixed_counts(tokens: Column, vocabulary: Sequence[str], offset: int) -> Column:
     """Sparse counts of the vocabulary words among the tokens."""
-    cleaned = F.transform(tokens, lambda t: F.lower(F.btrim(t)))
-    return F.array(*[entry(F.lit(offset + i), F.size(F.filter(cleaned, lambda t, w=w: t == w)))
-                     for i, w in enumerate(vocabulary)])
+    def times(cleaned: Column, word: str) -> Column:
+        return F.size(F.filter(cleaned, lambda t: t == word))
+
+    return let(F.transform(tokens, lambda t: F.lower(F.btrim(t))), lambda cleaned: F.array(
+        *[entry(F.lit(offset + i), times(cleaned, word)) for i, word in enumerate(vocabulary)]))
 
 
 def hashed_shares(tokens: Column, size: int, namespace: str, offset: int) -> Column:
     """Sparse share of tokens per hash bucket; shares sum to 1."""
     cleaned = F.filter(F.transform(tokens, lambda t: F.lower(F.btrim(t))), lambda t: t != "")
-    buckets = F.transform(cleaned, lambda t: hash_bucket(t, size, namespace))
-    return F.transform(F.array_distinct(buckets), lambda b: entry(
-        b + offset, F.size(F.filter(buckets, lambda x: x == b)) / F.size(buckets)))
+    return let(F.transform(cleaned, lambda t: hash_bucket(t, size, namespace)), lambda buckets: F.transform(
+        F.array_distinct(buckets),
+        lambda b: entry(b + offset, F.size(F.filter(buckets, lambda x: x == b)) / F.size(buckets))))
 
 
 def scaled(value: Column, low: float, high: float) -> Column:
@@ -63,3 +74,7 @@ def cosine(a: Column, b: Column) -> Column:
 
 def sigmoid(x: Column, *, clip: float = 8.0) -> Column:
     return 1 / (1 + F.exp(-F.greatest(F.lit(-clip), F.least(F.lit(clip), x))))
+
+
+def unit(vec: Column) -> Column:
+    return let(norm(vec), lambda n: F.transform(vec, lambda x: x / n))

@@ -15,6 +15,7 @@ from pyspark.ml.recommendation import ALS
 from pyspark.sql import Column, DataFrame, functions as F
 
 from marquee.functions.text import item_tokens
+from marquee.functions.vectors import dot, unit
 from marquee.operators import tiles
 from marquee.operators.interactions import liked10_popularity, positive_sequences
 from marquee.operators.ranking import positions
@@ -111,8 +112,6 @@ def train(sequences: DataFrame, *, model: str, dimensions: int = DIMENSIONS) ->
 
 def weighted_log_loss(pairs: DataFrame, vectors: DataFrame, *, x_max: float = 10.0, alpha: float = 0.75) -> DataFrame:
     """Mean of min(1, (x / x_max)^alpha) * (centred log - dot)^2 over the pairs."""
-    from marquee.functions.vectors import dot
-
     a = vectors.select(F.col("token").alias("left"), F.col("vec").alias("u"))
     b = vectors.select(F.col("token").alias("right"), F.col("vec").alias("v"))
     rows = centred_logs(pairs).join(pairs.select("left", "right", "weight"), ["left", "right"]).join(a, "left").join(b, "right")
@@ -157,10 +156,8 @@ def user_profiles(ratings: DataFrame, vectors: DataFrame) -> DataFrame:
     return mean_vectors(members, named, weight=F.col("weight")).select(F.col("id").alias("user_id"), "vec")
 
 
-def unit(vec: Column) -> Column:
-    from marquee.functions.vectors import norm
-
-    return F.transform(vec, lambda x: x / norm(vec))
+def _times(vec: Column, factor: float) -> Column:
+    return F.transform(vec, lambda x: x * F.lit(factor))
 
 
 def popularity(ratings: DataFrame, *, weight: float = POPULARITY) -> DataFrame:
@@ -190,7 +187,7 @@ def blended_embedding_scores(ratings: DataFrame, models: list[tuple[DataFrame, f
     for i, (vectors, weight) in enumerate(models):
         vectors = materialize(vectors)
         profile = user_profiles(ratings, vectors).select(
-            "user_id", F.lit(i).alias("space"), F.transform(unit(F.col("vec")), lambda x, w=weight: x * F.lit(w)).alias("vec"))
+            "user_id", F.lit(i).alias("space"), _times(unit(F.col("vec")), weight).alias("vec"))
         item = vectors.select("item_id", F.lit(i).alias("space"), unit(F.col("vec").cast("array<double>")).alias("vec"))
         left_parts = profile if left_parts is None else left_parts.unionByName(profile)
         right_parts = item if right_parts is None else right_parts.unionByName(item)

@@ -7,7 +7,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, functions as F
 
 from marquee.functions.text import FEATURE_STOP_WORDS, KEYWORD_TAGS, feature_tokens, keyword_tags, split_list
-from marquee.functions.vectors import entry, fixed_counts, half_life_decay, hashed_shares, scaled
+from marquee.functions.vectors import entry, fixed_counts, half_life_decay, hashed_shares, let, scaled
 from marquee.operators.interactions import COLLECT, RATE, WATCH
 
 # Genre vocabulary of the first feature block.
@@ -53,9 +53,8 @@ def long_form(features: DataFrame, id_col: str = "item_id") -> DataFrame:
 
 def to_dense(features: Column, size: int = SLOTS) -> Column:
     """Sparse entries (distinct slots) as a dense array."""
-    table = F.map_from_entries(features)
-    return F.transform(F.sequence(F.lit(0), F.lit(size - 1)),
-                       lambda i: F.coalesce(F.try_element_at(table, i), F.lit(0.0)))
+    return let(F.map_from_entries(features), lambda table: F.transform(
+        F.sequence(F.lit(0), F.lit(size - 1)), lambda i: F.coalesce(F.try_element_at(table, i), F.lit(0.0))))
 
 
 def user_stats(interactions: DataFrame) -> DataFrame:

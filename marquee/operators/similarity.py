@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, functions as F
 
 from marquee.functions.text import ENGLISH_STOP_WORDS, attribute_tokens, split_multi, words
+from marquee.functions.vectors import unit
 from marquee.operators import tiles
 from marquee.operators.ranking import top_per_group
 from marquee.session import materialize
@@ -129,9 +130,7 @@ def tfidf_vectors(texts: DataFrame, *, stop_words: Sequence[str] = ENGLISH_STOP_
         F.broadcast(size), "one").select("term", (F.ln((1 + F.col("n")) / (1 + F.col("df"))) + 1).alias("idf"))
     weighted = counts.join(idf, "term").select("id", "term", (F.col("tf") * F.col("idf")).alias("w"))
     packed = tiles.pack(weighted, "id", "term", "w")
-    length = F.sqrt(F.aggregate("vals", F.lit(0.0), lambda a, x: a + x * x))
-    return packed.withColumn("_len", length).select(
-        "id", "terms", F.transform("vals", lambda x: x / F.col("_len")).alias("vals"))
+    return packed.select("id", "terms", unit(F.col("vals")).alias("vals"))
 
 
 def tfidf_similar(texts: DataFrame, *, n: int = 10, stop_words: Sequence[str] = ENGLISH_STOP_WORDS) -> DataFrame:

@@ -15,7 +15,7 @@ rejected here (``MAX_ROW_ENTRIES``); callers send those through a plain join.
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -243,32 +243,16 @@ def _score_tile(left: pd.DataFrame, right: pd.DataFrame, kind: str, exclude_self
     return pd.concat(parts, ignore_index=True) if parts else empty
 
 
-def match(left: DataFrame, right: DataFrame, *, kind: str, k: int | None = None, exclude_self: bool = False,
-          with_ties: bool = False, min_common: int = 2, weight: float = 1.0, skip: DataFrame | None = None,
-          boost: DataFrame | None = None) -> DataFrame:
-    """Best matches of each left row among the right rows.
-
-    Rows are ``(id bigint, terms array, vals array<double>)``; ``dense`` uses
-    ``vals`` as coordinates and needs no ``terms``.  Kinds:
+def over_tiles(left: DataFrame, right: DataFrame, run: Callable[[pd.DataFrame, pd.DataFrame], pd.DataFrame],
+               schema: T.StructType, *, skip: DataFrame | None = None, boost: DataFrame | None = None) -> DataFrame:
+    """Run ``run(left rows, right rows)`` on every tile of the grid of hash chunks of ``id``.
 
-    * ``dot``      sum of products over shared terms
-    * ``jaccard``  shared / united term count, averaged over the left rows of an id
-    * ``pearson``  correlation over the shared terms (at least ``min_common``, positive only)
-    * ``dense``    dot product plus the right side's optional ``bias``
-
-    A left ``k`` column overrides the constant ``k`` per row (no limit when both
-    are absent).  ``skip`` (id, right_id) lists pairs that may not match and
-    ``boost`` (id, right_id, boost) adds to the ``weight``-ed score of single
-    pairs; each such row travels to the one tile it concerns.  ``with_ties``
-    keeps every match that ties with the last kept one.
+    Each side is shuffled once, replicated as often as the other has chunks;
+    the square grid keeps that replication at the root of the task count.
     """
-    spark = left.sparkSession
-    cores = spark.sparkContext.defaultParallelism
+    cores = left.sparkSession.sparkContext.defaultParallelism
     size = F.size("vals")
     n_left, n_right = grid_side(left, size, cores), grid_side(right, size, cores)
-    if k is not None and "k" not in left.columns:
-        left = left.withColumn("k", F.lit(k))
-    tiles = n_left * n_right
 
     def chunk(column: str, n: int) -> Column:
         return F.pmod(F.xxhash64(column), F.lit(n)).cast("int")
@@ -289,15 +273,42 @@ def match(left: DataFrame, right: DataFrame, *, kind: str, k: int | None = None,
         F.explode(F.sequence(F.lit(0), F.lit(n_left - 1))).alias("_other")
     ).withColumn("tile", F.col("_other") * n_right + chunk("r_id", n_right)).drop("_other")
 
-    def run(left_rows: pd.DataFrame, right_rows: pd.DataFrame) -> pd.DataFrame:
-        right_rows = right_rows.rename(columns=lambda c: c.removeprefix("r_"))
-        return _score_tile(left_rows, right_rows, kind, exclude_self, with_ties, min_common, weight)
+    def tile(left_rows: pd.DataFrame, right_rows: pd.DataFrame) -> pd.DataFrame:
+        return run(left_rows, right_rows.rename(columns=lambda c: c.removeprefix("r_")))
 
-    scored = (
+    tiles = n_left * n_right
+    return (
         lefts.repartition(tiles, "tile").groupBy("tile")
-        .cogroup(rights.repartition(tiles, "tile").groupBy("tile"))
-        .applyInPandas(run, OUTPUT)
+        .cogroup(rights.repartition(tiles, "tile").groupBy("tile")).applyInPandas(tile, schema)
     )
+
+
+def match(left: DataFrame, right: DataFrame, *, kind: str, k: int | None = None, exclude_self: bool = False,
+          with_ties: bool = False, min_common: int = 2, weight: float = 1.0, skip: DataFrame | None = None,
+          boost: DataFrame | None = None) -> DataFrame:
+    """Best matches of each left row among the right rows.
+
+    Rows are ``(id bigint, terms array, vals array<double>)``; ``dense`` uses
+    ``vals`` as coordinates and needs no ``terms``.  Kinds:
+
+    * ``dot``      sum of products over shared terms
+    * ``jaccard``  shared / united term count, averaged over the left rows of an id
+    * ``pearson``  correlation over the shared terms (at least ``min_common``, positive only)
+    * ``dense``    dot product plus the right side's optional ``bias``
+
+    A left ``k`` column overrides the constant ``k`` per row (no limit when both
+    are absent).  ``skip`` (id, right_id) lists pairs that may not match and
+    ``boost`` (id, right_id, boost) adds to the ``weight``-ed score of single
+    pairs; each such row travels to the one tile it concerns.  ``with_ties``
+    keeps every match that ties with the last kept one.
+    """
+    if k is not None and "k" not in left.columns:
+        left = left.withColumn("k", F.lit(k))
+
+    def run(left_rows: pd.DataFrame, right_rows: pd.DataFrame) -> pd.DataFrame:
+        return _score_tile(left_rows, right_rows, kind, exclude_self, with_ties, min_common, weight)
+
+    scored = over_tiles(left, right, run, OUTPUT, skip=skip, boost=boost)
     if k is None and "k" not in left.columns:
         return scored
     keyed = scored.withColumn("micro", micro(F.col("score")))
