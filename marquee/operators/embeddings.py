@@ -165,67 +165,81 @@ def popularity(ratings: DataFrame, *, weight: float = POPULARITY) -> DataFrame:
     return liked10_popularity(ratings).select("item_id", (F.col("likes10") * F.lit(weight) / 100).alias("bias"))
 
 
+Space = tuple[DataFrame, DataFrame]
+
+
+def embedding_space(ratings: DataFrame, vectors: DataFrame) -> Space:
+    """Unit vectors of users (their profiles) and items in one vector space: (id, vec) each, written once."""
+    vectors = materialize(vectors)
+    users = user_profiles(ratings, vectors).select(F.col("user_id").alias("id"), unit(F.col("vec")).alias("vec"))
+    items = vectors.select(F.col("item_id").alias("id"), unit(F.col("vec").cast("array<double>")).alias("vec"))
+    return materialize(users), materialize(items)
+
+
 def embedding_scores(ratings: DataFrame, vectors: DataFrame, *, popular: DataFrame | None = None, n: int = 10) -> DataFrame:
     """Best ``n`` unrated items per user by cosine to the user's profile, plus the item's popularity bias.
 
     A user's own likes would have to be left out of the popularity of an item,
     but rated items are never candidates, so the sum needs no correction.
     """
-    return blended_embedding_scores(ratings, [(vectors, 1.0)], popular=popular, n=n)
+    ratings = materialize(ratings.select("user_id", "item_id", "score10"))
+    return score_spaces(ratings, [(embedding_space(ratings, vectors), 1.0)], popular=popular, n=n)
 
 
-def blended_embedding_scores(ratings: DataFrame, models: list[tuple[DataFrame, float]], *,
-                             popular: DataFrame | None = None, n: int = 10) -> DataFrame:
+def score_spaces(ratings: DataFrame, spaces: list[tuple[Space, float]], *, popular: DataFrame | None = None,
+                 n: int = 10) -> DataFrame:
     """Best ``n`` unrated items per user by the weighted sum of cosines in several vector spaces.
 
     Profiles and items become one concatenated vector each (weights folded
     into the profile side), so the blend is a single dot product.  An item or
     user missing from a space contributes 0 there.
     """
-    ratings = materialize(ratings.select("user_id", "item_id", "score10"))
-    left_parts, right_parts = None, None
-    for i, (vectors, weight) in enumerate(models):
-        vectors = materialize(vectors)
-        profile = user_profiles(ratings, vectors).select(
-            "user_id", F.lit(i).alias("space"), _times(unit(F.col("vec")), weight).alias("vec"))
-        item = vectors.select("item_id", F.lit(i).alias("space"), unit(F.col("vec").cast("array<double>")).alias("vec"))
-        left_parts = profile if left_parts is None else left_parts.unionByName(profile)
-        right_parts = item if right_parts is None else right_parts.unionByName(item)
-    left, right = _concatenate(left_parts, "user_id", len(models)), _concatenate(right_parts, "item_id", len(models))
+    lefts = [users.select("id", _times(F.col("vec"), weight).alias("vec")) for (users, _), weight in spaces]
+    left, right = _concatenate(lefts), _concatenate([items for (_, items), _ in spaces])
     if popular is not None:
         right = right.join(popular, F.col("id") == F.col("item_id"), "left").select(
             "id", "vals", F.coalesce("bias", F.lit(0.0)).alias("bias"))
     own = ratings.select(F.col("user_id").alias("id"), F.col("item_id").alias("right_id"))
-    return tiles.match(materialize(left), materialize(right), kind="dense", k=n, skip=own).select(
+    return tiles.match(left, right, kind="dense", k=n, skip=own).select(
         F.col("left_id").alias("user_id"), F.col("right_id").alias("item_id"), "score", "rank")
 
 
-def _concatenate(parts: DataFrame, id_col: str, spaces: int) -> DataFrame:
-    by_space = parts.groupBy(F.col(id_col).alias("id")).agg(
-        *[F.max(F.when(F.col("space") == i, F.col("vec"))).alias(f"v{i}") for i in range(spaces)],
+def _concatenate(parts: list[DataFrame]) -> DataFrame:
+    """One row per id with the vectors of all parts end to end, zeros where a part lacks the id."""
+    if len(parts) == 1:
+        return parts[0].select("id", F.col("vec").alias("vals"))
+    rows = None
+    for i, part in enumerate(parts):
+        tagged = part.select("id", F.lit(i).alias("space"), "vec")
+        rows = tagged if rows is None else rows.unionByName(tagged)
+    by_space = rows.groupBy("id").agg(
+        *[F.max(F.when(F.col("space") == i, F.col("vec"))).alias(f"v{i}") for i in range(len(parts))],
         F.max(F.size("vec")).alias("width"))
     zeros = F.transform(F.sequence(F.lit(1), F.col("width")), lambda _: F.lit(0.0))
-    return by_space.select("id", F.concat(*[F.coalesce(f"v{i}", zeros) for i in range(spaces)]).alias("vals"))
+    return by_space.select("id", F.concat(*[F.coalesce(f"v{i}", zeros) for i in range(len(parts))]).alias("vals"))
 
 
-def decorated_models(ratings: DataFrame, vectors: dict[str, DataFrame], *, n: int = 10) -> dict[str, DataFrame]:
-    """Ranked lists of the four single-model recommenders and their blend.
+# Weights of the four vector spaces in the blend.
+BLEND = {"word2vec_content": 0.3, "glove_content": 0.3, "word2vec_cf": 0.2, "glove_cf": 0.2}
 
-    ``vectors`` maps word2vec_content, glove_content, word2vec_cf and glove_cf to
-    (item_id, vec); the two cf models add the popularity bias.
+
+def model_lists(ratings: DataFrame, vectors: dict[str, DataFrame], *, n: int = 10, pool: int | None = None,
+                single: bool = True) -> dict[str, DataFrame]:
+    """Ranked lists of the four single-model recommenders (``single``) and of their blend, ``semantic_hybrid``.
+
+    ``vectors`` maps the names of ``BLEND`` to (item_id, vec).  The two cf models
+    add the popularity bias, and with them the blend.  ``pool`` lengthens the
+    blend's list.  Each vector space is prepared once for all lists.
     """
-    ratings = materialize(ratings)
+    ratings = materialize(ratings.select("user_id", "item_id", "score10"))
     popular = materialize(popularity(ratings))
-    lists = {name: embedding_scores(ratings, vec, popular=popular if name.endswith("_cf") else None, n=n)
-             for name, vec in vectors.items()}
-    lists["semantic_hybrid"] = semantic_hybrid(ratings, vectors, n=n)
+    spaces = {name: embedding_space(ratings, vec) for name, vec in vectors.items()}
+    lists = {}
+    if single:
+        lists = {name: score_spaces(ratings, [(space, 1.0)], popular=popular if name.endswith("_cf") else None, n=n)
+                 for name, space in spaces.items()}
+    cf_weight = sum(w for name, w in BLEND.items() if name.endswith("_cf"))
+    lists["semantic_hybrid"] = score_spaces(
+        ratings, [(spaces[name], w) for name, w in BLEND.items()],
+        popular=popular.select("item_id", (F.col("bias") * F.lit(cf_weight)).alias("bias")), n=pool or n)
     return lists
-
-
-def semantic_hybrid(ratings: DataFrame, vectors: dict[str, DataFrame], *, n: int = 10) -> DataFrame:
-    """0.3 / 0.3 content and 0.2 / 0.2 interaction models, popularity included with the latter."""
-    weights = {"word2vec_content": 0.3, "glove_content": 0.3, "word2vec_cf": 0.2, "glove_cf": 0.2}
-    cf_weight = sum(w for name, w in weights.items() if name.endswith("_cf"))
-    popular = popularity(ratings, weight=POPULARITY * cf_weight)
-    return blended_embedding_scores(ratings, [(vectors[m], w) for m, w in weights.items()], popular=popular, n=n)
-

@@ -8,8 +8,6 @@ from marquee.operators import catalog as cat, embeddings as em, evaluation as ev
     recommend as rec, similarity as sim
 from marquee.session import materialize
 
-BASELINES = ["hot", "baseline_content", "baseline_cf", "baseline_hybrid"]
-SEMANTIC = ["word2vec_content", "glove_content", "word2vec_cf", "glove_cf", "semantic_hybrid"]
 
 
 def as_interactions(ratings: DataFrame) -> DataFrame:
@@ -50,10 +48,10 @@ def semantic_lists(train: DataFrame, items: DataFrame, features: DataFrame, poli
     Interaction vectors are trained on the training rows only, so the held-out
     item cannot leak.
     """
-    vectors = model_vectors(items, as_interactions(train))
-    lists = em.decorated_models(train, vectors, n=k)
-    pool = materialize(em.semantic_hybrid(train, vectors, n=3 * k))
+    lists = em.model_lists(train, model_vectors(items, as_interactions(train)), n=k, pool=3 * k)
+    pool = materialize(lists["semantic_hybrid"])
     states = ft.pack_entries(ft.rating_profiles(train, features), "user_id")
+    lists["semantic_hybrid"] = pool.filter(F.col("rank") <= k)
     lists["ppo_rerank"] = po.policy_rank(pool, states, features, policy, n=k)
     return lists
 
@@ -98,7 +96,7 @@ def recommend(ratings: DataFrame, items: DataFrame, features: DataFrame, interac
 def candidates(ratings: DataFrame, items: DataFrame, *, n: int) -> DataFrame:
     """Semantic blend, filled up from the baseline hybrid list."""
     vectors = model_vectors(items, as_interactions(ratings))
-    blend = materialize(em.semantic_hybrid(ratings, vectors, n=n))
+    blend = em.model_lists(ratings, vectors, n=n, single=False)["semantic_hybrid"]
     hot = rec.hot_for_users(ratings.select("user_id").distinct(), cat.hot_items(items, n=n))
     base = rec.baseline_hybrid(rec.user_cf(ratings, items, n=n), rec.content_rec(ratings, items, n=n), hot, n=n)
     return rec.priority_merge([("semantic_hybrid", blend), ("baseline_hybrid", base)], n=n)
