@@ -55,7 +55,7 @@ def half_life_decay(ts: Column, as_of: Column, *, hours: float = 168.0) -> Colum
     """0.5 ** (age / half-life), clipped to [0.05, 1]; 0.5 without a time."""
     age = (F.unix_timestamp(as_of.cast("timestamp")) - F.unix_timestamp(ts.cast("timestamp"))) / 3600.0
     decay = F.least(F.lit(1.0), F.greatest(F.lit(0.05), F.pow(F.lit(0.5), age / hours)))
-    return F.coalesce(decay, F.lit(0.5))
+    return F.when(ts.isNull(), F.lit(0.5)).otherwise(decay)
 
 
 def dot(a: Column, b: Column) -> Column:

@@ -52,17 +52,19 @@ def interaction_sequences(interactions: DataFrame) -> DataFrame:
         F.col("user_id").alias("seq"), "pos", F.concat(F.lit("movie_"), F.col("item_id")).alias("token"))
 
 
-def shifted_pmi(pairs: DataFrame, *, negatives: int = 4, smoothing: float = 0.75) -> DataFrame:
-    """max(PMI - ln(negatives), 0) with smoothed context frequencies: left, right, value."""
+def positive_pmi(pairs: DataFrame, *, negatives: int = 1, smoothing: float = 0.75) -> DataFrame:
+    """max(PMI - ln(negatives), 0) with smoothed context frequencies: left, right, value.
+
+    Observed pairs keep a 0, so every token gets a vector.  More negatives
+    shift all pairs alike and, in a small vocabulary, would clip them all.
+    """
     one = F.lit(0).alias("one")
     lefts = pairs.groupBy("left").agg(F.sum("n").alias("n_left"))
     rights = pairs.groupBy("right").agg(F.pow(F.sum("n"), F.lit(smoothing)).alias("n_right"))
-    all_pairs = lefts.agg(F.sum("n_left").alias("pairs_total")).select("pairs_total", one)
     all_right = rights.agg(F.sum("n_right").alias("right_total")).select("right_total", one)
     value = F.ln(F.col("n") / F.col("n_left") * F.col("right_total") / F.col("n_right")) - math.log(negatives)
-    joined = pairs.join(lefts, "left").join(rights, "right").withColumn("one", F.lit(0)).join(
-        F.broadcast(all_pairs), "one").join(F.broadcast(all_right), "one")
-    return joined.select("left", "right", value.alias("value")).filter(F.col("value") > 0)
+    joined = pairs.join(lefts, "left").join(rights, "right").withColumn("one", F.lit(0)).join(F.broadcast(all_right), "one")
+    return joined.select("left", "right", F.greatest(value, F.lit(0.0)).alias("value"))
 
 
 def centred_logs(pairs: DataFrame) -> DataFrame:
@@ -102,7 +104,7 @@ def _blocks(df: DataFrame) -> int:
 def train(sequences: DataFrame, *, model: str, dimensions: int = DIMENSIONS) -> DataFrame:
     """Token vectors of a corpus by ``word2vec`` (window 2) or ``glove`` (window 3)."""
     if model == "word2vec":
-        matrix = shifted_pmi(materialize(cooccurrence(sequences, window=2, weighted=False)))
+        matrix = positive_pmi(materialize(cooccurrence(sequences, window=2, weighted=False)))
     elif model == "glove":
         matrix = centred_logs(materialize(cooccurrence(sequences, window=3)))
     else:
