@@ -175,14 +175,15 @@ def policy_rank(t):
 
 @query("policy_training")
 def policy_training(t):
-    """Loss per epoch of a policy trained on all accepted behaviours."""
+    """Value error and ratio-weighted reward per epoch of a policy trained on all accepted behaviours."""
     features = materialize(features_of(t))
     valid = materialize(behaviors(t))
     n_items = t.raw("part").count()
     rows = xp.experience_rows(valid, materialize(_bonus(t))).withColumn("old_prob", F.lit(1.0 / n_items))
     states = ft.pack_entries(ft.user_features(valid, features, as_of="2024-02-01 00:00:00"), "user_id")
     _, log = po.train(rows, states, features, po.Policy.initial(), epochs=3)
-    return t.spark.createDataFrame([(r["epoch"], r["n"], r["loss"]) for r in log], "epoch int, n long, loss double")
+    return t.spark.createDataFrame([(r["epoch"], r["n"], r["value_loss"], r["gain"]) for r in log],
+                                   "epoch int, n long, value_loss double, gain double")
 
 
 @query("recommend")
