@@ -24,6 +24,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 ENTRIES_PER_CHUNK = 4_000_000
 ROWS_PER_CHUNK = 50_000
 MAX_ROW_ENTRIES = 1_000_000
+MAX_PARTITIONS = 20_000
 _CELLS = 4_000_000
 
 OUTPUT = T.StructType([
@@ -276,7 +277,8 @@ def over_tiles(left: DataFrame, right: DataFrame, run: Callable[[pd.DataFrame, p
     def tile(left_rows: pd.DataFrame, right_rows: pd.DataFrame) -> pd.DataFrame:
         return run(left_rows, right_rows.rename(columns=lambda c: c.removeprefix("r_")))
 
-    tiles = n_left * n_right
+    # A partition may hold several tiles; they are still scored one at a time.
+    tiles = min(n_left * n_right, MAX_PARTITIONS)
     return (
         lefts.repartition(tiles, "tile").groupBy("tile")
         .cogroup(rights.repartition(tiles, "tile").groupBy("tile")).applyInPandas(tile, schema)

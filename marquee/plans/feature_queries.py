@@ -235,6 +235,34 @@ def softmax_scores(t):
         F.exp(F.col("x") - F.col("top")) / (F.col("total") * F.exp(-F.col("top"))), 6).alias("p"))
 
 
+_BIASED = """(SELECT user_id, item_id, score + {0} * coalesce(bias, 0) AS score FROM cosines LEFT JOIN (SELECT item_id,
+    sum(score10)::BIGINT * 0.03 / 100 AS bias FROM ratings WHERE score10 >= 80 GROUP BY 1) USING (item_id))"""
+_MODEL = """SELECT '{0}' AS algorithm, user_id, item_id, row_number() OVER (PARTITION BY user_id ORDER BY """ + micro("score") + \
+    """ DESC, item_id) AS rank FROM {1} QUALIFY rank <= 10"""
+
+
+@query("model_lists", sql(" UNION ALL ".join([
+    _MODEL.format("word2vec_content", "cosines"), _MODEL.format("glove_content", "cosines"),
+    _MODEL.format("word2vec_cf", _BIASED.format(1)), _MODEL.format("glove_cf", _BIASED.format(1)),
+    _MODEL.format("semantic_hybrid", _BIASED.format(0.4))]), "ratings", **E_VIEWS))
+def model_lists(t):
+    """The four single-model lists and their blend, all over the given vectors."""
+    from marquee.operators.recommend import by_algorithm
+
+    vectors = materialize(given_vectors(t))
+    lists = em.model_lists(t.ratings(), dict.fromkeys(em.BLEND, vectors))
+    return by_algorithm(lists).withColumn("rank", F.col("rank").cast("bigint"))
+
+
+@query("vector_cosine", """SELECT vec_id, round(list_cosine_similarity(embedding::DOUBLE[], c::DOUBLE[]), 5) AS cos FROM embeddings,
+    (SELECT embedding AS c FROM embeddings WHERE vec_id = 0)""")
+def vector_cosine(t):
+    """Cosine of every vector to the first one."""
+    first = given_vectors(t).filter(F.col("item_id") == 0).select(F.col("vec").alias("c"), F.lit(0).alias("one"))
+    rows = given_vectors(t).withColumn("one", F.lit(0)).join(F.broadcast(first), "one")
+    return rows.select(F.col("item_id").alias("vec_id"), F.round(vx.cosine(F.col("vec"), F.col("c")), 5).alias("cos"))
+
+
 @query("item_vectors_word2vec")
 def item_vectors_word2vec(t):
     return em.text_vectors(t.items(summary=True), model="word2vec")

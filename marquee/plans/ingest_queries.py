@@ -302,3 +302,22 @@ def latest_run(t):
     return ver.latest_metrics(_runs(t)).select(F.col("id").cast("bigint").alias("id"), "algorithm",
                                                F.col("precision_at_k").cast("bigint").alias("n"),
                                                F.col("ndcg_at_k").cast("bigint").alias("u"))
+
+
+@query("ingest_catalog", sql("""SELECT title, replace(types, '/', '/') AS types, CASE WHEN item_id % 5 = 0 THEN 0 ELSE rate END AS rate,
+    release_year, CASE WHEN item_id % 3 = 0 THEN 0 ELSE duration END AS duration, coalesce(meta.directors, '未知导演') AS directors,
+    coalesce(meta.country, '未知') AS country, coalesce(meta.casts, '未知主演') AS casts FROM items LEFT JOIN (SELECT title AS t,
+    max(directors) AS directors, max(country) AS country, max(casts) AS casts FROM items WHERE title < 'm' GROUP BY 1) meta ON t = title""",
+    "items"))
+def ingest_catalog(t):
+    """Scraped text rows of the catalogue with gaps, joined to known titles."""
+    from marquee.sources.files import catalog_from_csv
+
+    i = t.items()
+    rows = i.select(
+        F.concat(F.lit(" "), "title").alias("title"), F.replace(F.col("types"), F.lit("/"), F.lit(",")).alias("genre"),
+        F.when(F.col("item_id") % 5 == 0, F.lit("-")).otherwise(F.col("rate").cast("string")).alias("rating"),
+        F.col("release_year").cast("string").alias("release_year"),
+        F.when(F.col("item_id") % 3 != 0, F.col("duration").cast("string")).alias("duration"), F.lit(None).cast("string").alias("summary"))
+    meta = i.filter(F.col("title") < "m").groupBy("title").agg(*[F.max(c).alias(c) for c in ("directors", "country", "casts")])
+    return catalog_from_csv(rows, meta).drop("summary")

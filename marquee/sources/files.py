@@ -18,11 +18,15 @@ BEHAVIOR_FIELDS = ("user_email", "movie_title", "movie_subject_id", "behavior_ty
 UNKNOWN_GENRE, UNKNOWN_DIRECTOR, UNKNOWN_COUNTRY, UNKNOWN_CAST = "未知", "未知导演", "未知", "未知主演"
 
 
-def read_csv(spark: SparkSession, path: str, fields: Sequence[str]) -> DataFrame:
-    """CSV with header, every column a string; a byte order mark and quoted line breaks are handled."""
+def read_csv(spark: SparkSession, path: str, fields: Sequence[str], *, multi_line: bool = True) -> DataFrame:
+    """CSV with header, every column a string; a byte order mark and quoted line breaks are handled.
+
+    Quoted line breaks make a file unsplittable; turn ``multi_line`` off for
+    large files that have none.
+    """
     schema = T.StructType([T.StructField(f, T.StringType()) for f in fields])
     return (
-        spark.read.schema(schema).option("header", True).option("multiLine", True).option("quote", '"')
+        spark.read.schema(schema).option("header", True).option("multiLine", multi_line).option("quote", '"')
         .option("escape", '"').option("encoding", "UTF-8").csv(path)
     )
 

@@ -110,7 +110,7 @@ def processed_experiences(spark: SparkSession, folder: str) -> DataFrame:
         return pool.withColumn("fired_in", F.lit(None).cast("int"))
     spans = fired.select(F.explode(F.sequence(F.col("after") + 1, F.col("batch_id").cast("int"))).alias("batch_id"),
                          F.col("batch_id").cast("int").alias("fired_in"))
-    return pool.join(F.broadcast(spans), "batch_id", "left")
+    return pool.join(spans, "batch_id", "left")
 
 
 def exposure_stream(stream: DataFrame) -> DataFrame:
