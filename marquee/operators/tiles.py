@@ -161,11 +161,12 @@ def _score_tile(left: pd.DataFrame, right: pd.DataFrame, kind: str, exclude_self
     k_all = left["k"].to_numpy()[firsts[:-1]] if "k" in left else None
     skip = boost = None
     if notes is not None:
-        rows = pd.Index(ids).get_indexer(notes["id"].to_numpy())
-        cols = right_index.get_indexer(notes["x_right"].to_numpy().astype("int64"))
+        many = notes["x_right"].map(len).to_numpy()
+        rows = np.repeat(pd.Index(ids).get_indexer(notes["id"].to_numpy()), many)
+        cols = right_index.get_indexer(_flat(notes["x_right"]).astype("int64"))
         order = np.argsort(rows, kind="stable")
         order = order[(rows[order] >= 0) & (cols[order] >= 0)]
-        rows, cols, added = rows[order], cols[order], notes["x_boost"].to_numpy().astype(float)[order]
+        rows, cols, added = rows[order], cols[order], _flat(notes["x_boost"]).astype(float)[order]
         gone = np.isnan(added)
         skip, boost = (rows[gone], cols[gone]), (rows[~gone], cols[~gone], added[~gone])
     counted = np.diff(firsts)
@@ -261,13 +262,18 @@ def over_tiles(left: DataFrame, right: DataFrame, run: Callable[[pd.DataFrame, p
     lefts = left.select(
         "*", F.explode(F.sequence(F.lit(0), F.lit(n_right - 1))).alias("_other")
     ).withColumn("tile", chunk("id", n_left) * n_right + F.col("_other")).drop("_other")
-    for notes, value in ((skip, F.lit(None).cast("double")), (boost, F.col("boost"))):
-        if notes is None:
-            continue
-        routed = notes.select(
-            F.col("id"), F.col("right_id").alias("x_right"), value.alias("x_boost"),
-            (chunk("id", n_left) * n_right + chunk("right_id", n_right)).alias("tile"))
-        lefts = lefts.unionByName(routed, allowMissingColumns=True)
+    notes = None
+    for pairs, value in ((skip, F.lit(float("nan"))), (boost, F.col("boost"))):
+        if pairs is not None:
+            routed = pairs.select(
+                "id", (chunk("id", n_left) * n_right + chunk("right_id", n_right)).alias("tile"),
+                F.struct(F.col("right_id").alias("r"), value.alias("b")).alias("n"))
+            notes = routed if notes is None else notes.unionByName(routed)
+    if notes is not None:
+        # One row per (tile, id), no longer than a right chunk: far fewer rows to hand over one by one.
+        packed = notes.groupBy("tile", "id").agg(F.collect_list("n").alias("n")).select(
+            "tile", "id", F.col("n.r").alias("x_right"), F.col("n.b").alias("x_boost"))
+        lefts = lefts.unionByName(packed, allowMissingColumns=True)
     # The right columns are renamed so that matching a table with itself stays unambiguous.
     rights = right.select(
         *[F.col(c).alias(f"r_{c}") for c in right.columns],
@@ -277,11 +283,12 @@ def over_tiles(left: DataFrame, right: DataFrame, run: Callable[[pd.DataFrame, p
     def tile(left_rows: pd.DataFrame, right_rows: pd.DataFrame) -> pd.DataFrame:
         return run(left_rows, right_rows.rename(columns=lambda c: c.removeprefix("r_")))
 
-    # A partition may hold several tiles; they are still scored one at a time.
+    # Tile numbers serve as partition numbers, so tiles spread evenly; where a partition
+    # holds several, they are still scored one at a time.
     tiles = min(n_left * n_right, MAX_PARTITIONS)
     return (
-        lefts.repartition(tiles, "tile").groupBy("tile")
-        .cogroup(rights.repartition(tiles, "tile").groupBy("tile")).applyInPandas(tile, schema)
+        lefts.repartitionById(tiles, F.col("tile")).groupBy("tile")
+        .cogroup(rights.repartitionById(tiles, F.col("tile")).groupBy("tile")).applyInPandas(tile, schema)
     )
 
 
