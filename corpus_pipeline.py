@@ -1,12 +1,58 @@
-"""The corpus pipeline."""
+"""The corpus pipeline: quality, exact copies, near copies, repeated passages, packing.
+
+Every stage takes all documents its predecessor kept and returns the columns of ``documents``, the last one the packed
+pieces.  Null or empty texts pass the stages as the operators define it; an empty table gives an empty result.
+"""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+import public_tokenizers
+from pyspark.sql import DataFrame, SparkSession, functions as F
+
+from marquee.llm import exact_dedup, ngram_join, packing, quality, staging, suffix_dedup
+
+COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
+#: Documents that score less are rejected: the threshold of the quality query.
+LEAST_QUALITY = 0.3
+
+
+def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Drops documents that the quality classifier rejects; it learns from the labels outside the held-out fold."""
+    labels = spark.read.parquet(f"{sf_dir.rstrip('/')}/labels.parquet").select("doc_id", "quality")
+    model = quality.fit(docs, labels, usable=quality.fold(F.col("doc_id"), 5) != 0)
+    return model.score(docs, out="_score").filter(F.col("_score") >= LEAST_QUALITY).select(*COLUMNS)
+
+
+def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of equal texts the one with the smallest id stays."""
+    return exact_dedup.drop_exact_copies(docs).select(*COLUMNS)
+
+
+def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each group of near duplicates the one with the smallest id stays."""
+    return ngram_join.keep_one_of_each(docs).select(*COLUMNS)
+
+
+def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Later copies of repeated passages are cut out of their texts, the first stays; texts that vanish are dropped."""
+    cut = suffix_dedup.remove_repeats(docs, length=REPEAT_BYTES, keep_first=True)
+    return cut.withColumn("text", F.when(F.col("n_removed") > 0, F.col("kept_text")).otherwise(F.col("text"))).withColumn(
+        "n_chars", F.when(F.col("n_removed") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars"))).filter(
+        ~((F.col("n_removed") > 0) & (F.trim("text") == ""))).select(*COLUMNS)
+
+
+#: Passages from this length on count as repeated: about fifty short words.
+REPEAT_BYTES = 200
+
+
+def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Packs what is left into sequences of 4096 tokens."""
+    return packing.pack_documents(docs, path=public_tokenizers.path("word_bpe_49k.json"))
 
-from marquee.llm import staging
 
-STAGES: list = []
+STAGES = [("quality", keep_quality), ("exact_dedup", drop_copies), ("near_duplicates", drop_near_copies),
+          ("repeated_passages", cut_repeats), ("packing", pack)]
+#: Training, shingles and tokens are no SQL; tests hold the stages against brute force.
 ORACLE_SQL = None
 
 

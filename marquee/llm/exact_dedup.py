@@ -53,8 +53,9 @@ def exact_groups(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text")
         "doc_id", F.col("doc_id").alias("keep_id"), F.lit(1).cast("long").alias("group_size"),
         F.lit(True).alias("kept"), "text_sha256")
     # rows that repeat id and text are one row with a count until the end
-    members = hashed.filter("text_sha256 is not null").groupBy("text_sha256", "doc_id").agg(F.count(F.lit(1)).alias("_times"))
-    groups = members.groupBy("text_sha256").agg(F.min("doc_id").alias("keep_id"), F.sum("_times").alias("group_size"))
+    # both sides of the join below are written first, so that it reads two plain shuffles and a hot text can be split
+    members = staged(hashed.filter("text_sha256 is not null").groupBy("text_sha256", "doc_id").agg(F.count(F.lit(1)).alias("_times")), "members")
+    groups = staged(members.groupBy("text_sha256").agg(F.min("doc_id").alias("keep_id"), F.sum("_times").alias("group_size")), "groups")
     opened = members.join(groups.hint("shuffle_hash"), "text_sha256").select(
         "doc_id", "keep_id", "group_size", "text_sha256", F.posexplode(F.array_repeat(F.lit(0), F.col("_times").cast("int"))).alias("_copy", "_"))
     grouped = opened.select("doc_id", "keep_id", "group_size",

@@ -72,3 +72,54 @@ def op10(spark: SparkSession, folder: str) -> DataFrame:
 
     return judge_urls(table(spark, folder, "pages", "page_id", "url"), rules_table(spark, URL_RULES)).select(
         "page_id", "host", "path", "rule", "verdict")
+
+
+@query("op3_quality")
+def op3(spark: SparkSession, folder: str) -> DataFrame:
+    from marquee.llm.quality import fit, fold
+
+    docs = table(spark, folder, "documents", "doc_id", "text")
+    held_out = fold(F.col("doc_id"), 5) == 0
+    model = fit(docs, table(spark, folder, "labels", "doc_id", "quality"), usable=~held_out)
+    return model.score(docs).select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
+
+
+@query("op4_html_text")
+def op4(spark: SparkSession, folder: str) -> DataFrame:
+    from marquee.llm.site_style import extract
+
+    return extract(table(spark, folder, "pages", "page_id", "url", "html")).select(
+        "page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
+
+
+@query("op5_top_k")
+def op5(spark: SparkSession, folder: str) -> DataFrame:
+    from marquee.llm.bit_sliced import top_k
+
+    return top_k(table(spark, folder, "embeddings", "vec_id", "embedding"), k=20, query=F.col("vec_id") % 20 == 0)
+
+
+@query("op6_suffix_dedup")
+def op6(spark: SparkSession, folder: str) -> DataFrame:
+    from marquee.llm.suffix_dedup import remove_repeats
+
+    return remove_repeats(table(spark, folder, "documents", "doc_id", "text"), length=400).select(
+        "doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
+
+
+@query("op7_ngram_join")
+def op7(spark: SparkSession, folder: str) -> DataFrame:
+    from marquee.llm.ngram_join import near_duplicates
+
+    return near_duplicates(table(spark, folder, "documents", "doc_id", "text"))
+
+
+@query("op8_lm_score")
+def op8(spark: SparkSession, folder: str) -> DataFrame:
+    from marquee.llm.kneser_ney import score, train
+    from marquee.llm.quality import fold
+
+    docs = table(spark, folder, "documents", "doc_id", "text")
+    held_out = fold(F.col("doc_id"), 10) == 0
+    return score(docs, train(docs.filter(~held_out))).select(
+        "doc_id", held_out.alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
