@@ -103,35 +103,39 @@ def with_synonyms(tokens: Column, synonyms: Mapping[str, Sequence[str]] = SYNONY
     return F.flatten(F.transform(tokens, lambda t: F.concat(F.array(t), F.coalesce(F.try_element_at(table, t), none))))
 
 
-def item_tokens(title: Column, types: Column, directors: Column, country: Column, summary: Column) -> Column:
-    """Title, list values and the first 24 summary tokens, with synonyms."""
+def first(values: Column, head: int | None) -> Column:
+    """The first ``head`` values, or all of them."""
+    return values if head is None else F.slice(values, 1, head)
+
+
+def item_tokens(title: Column, types: Column, directors: Column, country: Column, summary: Column, *, head: int | None = None) -> Column:
+    """Title, list values and summary tokens (all, or the first ``head``), with synonyms."""
     lists = [F.filter(F.transform(split_list(c), normalize_token), lambda x: x != "")
              for c in (types, directors, country)]
-    head = F.slice(semantic_tokens(summary), 1, 24)
-    return with_synonyms(F.concat(semantic_tokens(title), *lists, head))
+    return with_synonyms(F.concat(semantic_tokens(title), *lists, first(semantic_tokens(summary), head)))
 
 
-def feature_tokens(text: Column, *, stop_words: Sequence[str] = FEATURE_STOP_WORDS, head: int = 30) -> Column:
-    """First ``head`` lower-case tokens longer than one character that are not stop words."""
+def feature_tokens(text: Column, *, stop_words: Sequence[str] = FEATURE_STOP_WORDS, head: int | None = None) -> Column:
+    """Lower-case tokens (all, or the first ``head``) longer than one character that are not stop words."""
     parts = F.split(F.lower(F.coalesce(text, F.lit(""))), r"(?U)[\s,，。/；;：:()（）.!?]+")
     kept = F.filter(parts, lambda t: (F.char_length(t) > 1) & ~t.isin(*stop_words))
-    return F.slice(kept, 1, head)
+    return first(kept, head)
 
 
-def attribute_tokens(types: Column, directors: Column, country: Column, summary: Column) -> Column:
-    """Distinct lower-case list values and the first 12 summary words."""
+def attribute_tokens(types: Column, directors: Column, country: Column, summary: Column, *, head: int | None = None) -> Column:
+    """Distinct lower-case list values and summary words (all, or the first ``head``)."""
     lists = [F.transform(split_list(c), lambda x: F.lower(x)) for c in (types, directors, country)]
     spaced = F.translate(F.coalesce(summary, F.lit("")), "，。", "  ")
-    head = F.slice(F.filter(F.split(spaced, _SPACE), lambda t: t != ""), 1, 12)
-    return F.array_distinct(F.concat(*lists, F.transform(head, lambda x: F.lower(x))))
+    summary_words = first(F.filter(F.split(spaced, _SPACE), lambda t: t != ""), head)
+    return F.array_distinct(F.concat(*lists, F.transform(summary_words, lambda x: F.lower(x))))
 
 
-def keyword_tags(text: Column, table: Mapping[str, str] = KEYWORD_TAGS, *, most: int = 6) -> Column:
-    """Tags whose keyword occurs in the text, in vocabulary order."""
+def keyword_tags(text: Column, table: Mapping[str, str] = KEYWORD_TAGS, *, most: int | None = None) -> Column:
+    """Tags (all, or the first ``most``) whose keyword occurs in the text, in vocabulary order."""
     pairs = F.array(*[F.struct(F.lit(k).alias("key"), F.lit(v).alias("tag")) for k, v in table.items()])
     body = F.coalesce(text, F.lit(""))
     found = F.filter(pairs, lambda p: F.contains(body, p["key"]))
-    return F.slice(F.transform(found, lambda p: p["tag"]), 1, most)
+    return first(F.transform(found, lambda p: p["tag"]), most)
 
 
 def term_frequency(texts, column: str, *, n: int | None = 200, stop_words: Sequence[str] = ENGLISH_STOP_WORDS):

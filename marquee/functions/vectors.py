@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Sequence
 
-from pyspark.sql import Column, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
@@ -76,5 +76,12 @@ def sigmoid(x: Column, *, clip: float = 8.0) -> Column:
     return 1 / (1 + F.exp(-F.greatest(F.lit(-clip), F.least(F.lit(clip), x))))
 
 
+def softmax(rows: DataFrame, keys: list[str], column: str, *, out: str) -> DataFrame:
+    """``rows`` with the softmax of ``column`` within ``keys``; the largest value is subtracted first, nulls stay null."""
+    every = Window.partitionBy(*keys)
+    weight = F.exp(F.col(column) - F.max(column).over(every))
+    return rows.withColumn("_weight", weight).withColumn(out, F.col("_weight") / F.sum("_weight").over(every)).drop("_weight")
+
+
 def unit(vec: Column) -> Column:
     return let(norm(vec), lambda n: F.transform(vec, lambda x: x / n))

@@ -191,7 +191,3 @@ def rating_table(items: DataFrame, ratings: DataFrame, comments: DataFrame) -> D
 def actor_items(items: DataFrame) -> DataFrame:
     """Cast list entries as rows: actor, item, title."""
     return items.select(F.explode(split_list(F.col("casts"))).alias("actor"), "item_id", "title")
-
-
-def split_types(items: DataFrame, *, separator: str = "/") -> DataFrame:
-    return items.select("item_id", F.posexplode(split_multi(F.col("types"), separator)).alias("pos", "value"))

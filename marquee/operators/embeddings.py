@@ -82,8 +82,10 @@ def factorise(matrix: DataFrame, *, dimensions: int = DIMENSIONS, iterations: in
     """Token vectors, the mean of a token's row and column factors: token, vec."""
     ensure_checkpoint_dir(matrix.sparkSession)
     names = matrix.select(F.explode(F.array("left", "right")).alias("token")).distinct()
-    ids = materialize(positions(names, [], ["token"], F.substring("token", 1, 3), name="id").withColumn(
-        "id", F.col("id").cast("int")))
+    # numbered in hash order, in 4096 ranges of the hash, so that no task sorts the whole vocabulary
+    names = names.withColumn("_hash", F.xxhash64("token"))
+    ids = materialize(positions(names, [], ["_hash", "token"], F.shiftright("_hash", 52), name="id").select(
+        "token", F.col("id").cast("int").alias("id")))
     coded = matrix.join(ids.select(F.col("token").alias("left"), F.col("id").alias("row")), "left").join(
         ids.select(F.col("token").alias("right"), F.col("id").alias("col")), "right").select(
         "row", "col", F.col("value").cast("float").alias("value"))
@@ -112,16 +114,6 @@ def train(sequences: DataFrame, *, model: str, dimensions: int = DIMENSIONS) ->
     return factorise(materialize(matrix), dimensions=dimensions)
 
 
-def weighted_log_loss(pairs: DataFrame, vectors: DataFrame, *, x_max: float = 10.0, alpha: float = 0.75) -> DataFrame:
-    """Mean of min(1, (x / x_max)^alpha) * (centred log - dot)^2 over the pairs."""
-    a = vectors.select(F.col("token").alias("left"), F.col("vec").alias("u"))
-    b = vectors.select(F.col("token").alias("right"), F.col("vec").alias("v"))
-    rows = centred_logs(pairs).join(pairs.select("left", "right", "weight"), ["left", "right"]).join(a, "left").join(b, "right")
-    f = F.least(F.lit(1.0), F.pow(F.col("weight") / x_max, F.lit(alpha)))
-    return rows.agg(F.avg(f * F.pow(F.col("value") - dot(F.col("u"), F.col("v")), F.lit(2))).alias("loss"),
-                    F.avg(f * F.pow(F.col("value"), F.lit(2))).alias("zero_loss"))
-
-
 def mean_vectors(members: DataFrame, vectors: DataFrame, *, weight: Column | None = None) -> DataFrame:
     """(Weighted) mean vector per id from (id, token) rows: id, vec.
 

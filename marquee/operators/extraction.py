@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from marquee.functions.text import distinct_sorted_list, normalize_whitespace, trimmed_list
+from marquee.functions.text import distinct_sorted_list, first, normalize_whitespace, trimmed_list
 from marquee.operators.interactions import dedupe_last
 
 ANONYMOUS = "匿名用户"
@@ -23,9 +23,10 @@ def strip_tags(html: Column) -> Column:
     return text
 
 
-def page_titles(pages: DataFrame) -> DataFrame:
+def page_titles(pages: DataFrame, *more: Column) -> DataFrame:
+    """Title of each page, and what else is asked of it in the same scan."""
     title = F.regexp_extract("html", r"(?is)<title>(.*?)</title>", 1)
-    return pages.select("page_id", "url", normalize_whitespace(strip_tags(title)).alias("title"))
+    return pages.select("page_id", "url", normalize_whitespace(strip_tags(title)).alias("title"), *more)
 
 
 def page_links(pages: DataFrame) -> DataFrame:
@@ -66,8 +67,12 @@ def _pick(pattern: str) -> Column:
     return F.regexp_extract("block", pattern, 1)
 
 
-def list_page_items(pages: DataFrame) -> DataFrame:
-    """Item records of catalogue list pages (one ``div.item`` block per item), cleaned and deduplicated."""
+def list_page_items(pages: DataFrame, *, most_directors: int | None = None, most_countries: int | None = None,
+                    most_genres: int | None = None) -> DataFrame:
+    """Item records of catalogue list pages (one ``div.item`` block per item), cleaned and deduplicated.
+
+    The ``most_`` arguments keep only the first names of a list; 3, 3 and 4 give short display records.
+    """
     blocks = _blocks(pages, r'(?i)<div\s+class="item"\s*>')
     raw_info = F.regexp_replace(_pick(r'(?is)<div\s+class="bd"[^>]*>.*?<p[^>]*>(.*?)</p>'), r"(?i)<br\s*/?>", " ")
     info = normalize_whitespace(strip_tags(raw_info))
@@ -80,9 +85,9 @@ def list_page_items(pages: DataFrame) -> DataFrame:
     )
     parts = F.filter(F.transform(F.split("info", "/"), lambda x: F.btrim(x)), lambda x: x != "")
     crew = F.btrim(F.regexp_extract("info", r"导演:\s*(.*?)(?:主演:|$)", 1))
-    directors = F.slice(F.filter(F.split(crew, r"\s+"), lambda x: x != ""), 1, 3)
-    countries = F.slice(F.filter(parts, lambda x: x.rlike("^[一-龥A-Za-z· ]{2,20}$")), 1, 3)
-    genres = F.slice(F.filter(parts, lambda x: F.char_length(x) <= 12), 1, 4)
+    directors = first(F.filter(F.split(crew, r"\s+"), lambda x: x != ""), most_directors)
+    countries = first(F.filter(parts, lambda x: x.rlike("^[一-龥A-Za-z· ]{2,20}$")), most_countries)
+    genres = first(F.filter(parts, lambda x: F.char_length(x) <= 12), most_genres)
     records = fields.select(
         F.regexp_extract("detail_url", r"/subject/(\d+)/", 1).alias("subject_id"), "title", "rating",
         F.array_join(genres, "/").alias("genre"),

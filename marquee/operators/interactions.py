@@ -44,18 +44,21 @@ def accepted(validated: DataFrame) -> DataFrame:
     return validated.filter(F.col("reject_reason").isNull()).drop("reject_reason")
 
 
-def interaction_upsert(existing: DataFrame, batch: DataFrame) -> DataFrame:
+def interaction_upsert(existing: DataFrame, batch: DataFrame, *, arrival: str | None = None) -> DataFrame:
     """Merge a batch on (user, item, type).
 
     Ratings take the newest score and time, collect and watch keep the first
     row.  ``is_new`` marks keys the existing snapshot did not have.  Both sides
-    carry ``event_id`` (arrival order), ``score10`` and ``ts``; existing rows
-    precede the batch.  The pick is an aggregate of ordered structs, so it
+    carry ``event_id``, ``score10`` and ``ts``; existing rows precede the batch,
+    and rows of the batch come in the order of the column ``arrival``, if
+    given, and ``event_id``.  The pick is an aggregate of ordered structs, so it
     combines map-side.
     """
     cols = ["user_id", "item_id", "behavior_type", "score10", "ts", "event_id"]
-    both = existing.select(*cols, F.lit(0).alias("side")).unionByName(batch.select(*cols, F.lit(1).alias("side")))
-    row = F.struct("side", "event_id", "score10", "ts")
+    place = F.lit(0).cast("bigint") if arrival is None else F.col(arrival).cast("bigint")
+    both = existing.select(*cols, F.lit(0).alias("side"), F.lit(0).cast("bigint").alias("arrival")).unionByName(
+        batch.select(*cols, F.lit(1).alias("side"), place.alias("arrival")))
+    row = F.struct("side", "arrival", "event_id", "score10", "ts")
     return (
         both.groupBy("user_id", "item_id", "behavior_type")
         .agg(F.max(row).alias("newest"), F.min(row).alias("oldest"))

@@ -11,10 +11,6 @@ from marquee.operators.interactions import LIKE10
 from marquee.operators.ranking import positions, priority_merge, rank_scores, top_per_group
 from marquee.session import materialize
 
-ALGORITHMS = ("hot", "baseline_content", "baseline_cf", "baseline_hybrid", "word2vec_content", "glove_content",
-              "word2vec_cf", "glove_cf", "semantic_hybrid")
-
-
 def liked(ratings: DataFrame, *, like10: int = LIKE10) -> DataFrame:
     return ratings.filter(F.col("score10") >= like10)
 
@@ -44,7 +40,9 @@ def content_rec(ratings: DataFrame, items: DataFrame, *, n: int = 10, like10: in
     The mean over liked items factors into one profile per user, and items with
     equal tags share one score, so users are matched against distinct tag sets.
     A user needs at most ``n`` plus the number of own rated items tag sets;
-    these are then opened into items.
+    these are then opened into items.  Sets of equal score come in the order of
+    their smallest item, so each of the first sets holds an item that goes before
+    any item of a later one, and ties need no extra sets.
     """
     tagged = materialize(sim.item_tags(items).filter(F.size("tags") > 0))
     members, groups = sim.group_copies(tagged, F.array_join("tags", "\u0001"))
@@ -65,7 +63,7 @@ def content_rec(ratings: DataFrame, items: DataFrame, *, n: int = 10, like10: in
     vectors = sets.join(groups.select("copy_id"), "copy_id", "left_semi").select(
         F.col("copy_id").alias("id"), F.col("tags").alias("terms"),
         F.transform("tags", lambda x: 1 / F.sqrt(F.size("tags"))).alias("vals"))
-    matched = tiles.match(profiles, vectors, kind="dot", with_ties=True).select(
+    matched = tiles.match(profiles, vectors, kind="dot").select(
         F.col("left_id").alias("user_id"), F.col("right_id").alias("copy_id"), "score")
     taken = rated.groupBy("user_id", "copy_id").agg(F.count(F.lit(1)).alias("taken"))
     open_sets = matched.join(taken, ["user_id", "copy_id"], "left").join(groups, "copy_id").withColumn(
@@ -91,14 +89,16 @@ def _pairs(rows: DataFrame) -> DataFrame:
 
 
 def content_rec_jaccard(ratings: DataFrame, items: DataFrame, *, n: int = 10, like10: int = LIKE10,
-                        weight: float = 1.0, boost: DataFrame | None = None, max_likes: int = 20_000) -> DataFrame:
+                        weight: float = 1.0, boost: DataFrame | None = None, max_likes: int = 20_000,
+                        head: int | None = 12) -> DataFrame:
     """Mean token Jaccard to the user's liked items, without rated ones.
 
     ``boost`` (user_id, item_id, score) is added to ``weight`` times the mean
     before ranking.  A user with more than ``max_likes`` likes is scored by a
     join on tokens instead, so no task holds all likes of a very active user.
+    ``head`` is the number of summary words that count; None takes them all.
     """
-    vectors = materialize(sim.jaccard_vectors(items))
+    vectors = materialize(sim.jaccard_vectors(items, head=head))
     ratings = materialize(ratings.select("user_id", "item_id", "score10"))
     likes = liked(ratings, like10=like10).select(F.col("user_id").alias("id"), "item_id").join(
         vectors.withColumnRenamed("id", "item_id"), "item_id", "left").select(

@@ -82,9 +82,9 @@ def similar_items(items: DataFrame, *, n: int = 6) -> DataFrame:
     return expand_copies(tiles.match(vectors, vectors, kind="dot", k=n + 1), members, n=n)
 
 
-def jaccard_vectors(items: DataFrame) -> DataFrame:
-    """Attribute token sets of items as match rows."""
-    tokens = attribute_tokens(F.col("types"), F.col("directors"), F.col("country"), F.col("summary"))
+def jaccard_vectors(items: DataFrame, *, head: int | None = None) -> DataFrame:
+    """Attribute token sets of items as match rows; all summary words, or the first ``head``."""
+    tokens = attribute_tokens(F.col("types"), F.col("directors"), F.col("country"), F.col("summary"), head=head)
     sets = items.select(F.col("item_id").alias("id"), tokens.alias("terms"))
     return sets.filter(F.size("terms") > 0).withColumn("vals", F.transform("terms", lambda x: F.lit(1.0)))
 

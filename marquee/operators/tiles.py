@@ -257,7 +257,7 @@ def over_tiles(left: DataFrame, right: DataFrame, run: Callable[[pd.DataFrame, p
     n_left, n_right = grid_side(left, size, cores), grid_side(right, size, cores)
 
     def chunk(column: str, n: int) -> Column:
-        return F.pmod(F.xxhash64(column), F.lit(n)).cast("int")
+        return F.pmod(F.xxhash64(column), F.lit(n).cast("bigint"))
 
     lefts = left.select(
         "*", F.explode(F.sequence(F.lit(0), F.lit(n_right - 1))).alias("_other")
@@ -286,9 +286,10 @@ def over_tiles(left: DataFrame, right: DataFrame, run: Callable[[pd.DataFrame, p
     # Tile numbers serve as partition numbers, so tiles spread evenly; where a partition
     # holds several, they are still scored one at a time.
     tiles = min(n_left * n_right, MAX_PARTITIONS)
+    place = F.pmod("tile", F.lit(tiles)).cast("int")
     return (
-        lefts.repartitionById(tiles, F.col("tile")).groupBy("tile")
-        .cogroup(rights.repartitionById(tiles, F.col("tile")).groupBy("tile")).applyInPandas(tile, schema)
+        lefts.repartitionById(tiles, place).groupBy("tile")
+        .cogroup(rights.repartitionById(tiles, place).groupBy("tile")).applyInPandas(tile, schema)
     )
 
 

@@ -36,7 +36,7 @@ def semantic_tokens(t):
 
 _ITEM_TOKENS = f"""{_semantic('title')} || list_transform(string_split(types, '/'), lambda x: regexp_replace(lower(trim(x)),
     '[^0-9a-zA-Z\\x{{4e00}}-\\x{{9fa5}}_+-]+', '', 'g')) || [regexp_replace(lower(directors), '[^0-9a-zA-Z_+-]+', '', 'g'),
-    regexp_replace(lower(country), '[^0-9a-zA-Z_+-]+', '', 'g')] || {_semantic("coalesce(summary, '')")}[1:24]"""
+    regexp_replace(lower(country), '[^0-9a-zA-Z_+-]+', '', 'g')] || {_semantic("coalesce(summary, '')")}"""
 
 
 @query("item_tokens", sql(f"SELECT item_id, array_to_string({_ITEM_TOKENS}, ' ') AS tokens FROM items", "items"))
@@ -48,7 +48,7 @@ def item_tokens(t):
 def _feature_words(text: str) -> str:
     stops = ", ".join(repr(w) for w in tx.FEATURE_STOP_WORDS)
     return f"""list_filter(regexp_split_to_array(lower(coalesce({text}, '')), '[{_INNER},，。/；;：:()（）.!?]+'), lambda t:
-    length(t) > 1 AND NOT list_contains([{stops}], t))[1:30]"""
+    length(t) > 1 AND NOT list_contains([{stops}], t))"""
 
 
 @query("feature_tokens", f"SELECT doc_id, array_to_string({_feature_words('text')}, ' ') AS tokens FROM documents")
@@ -58,7 +58,7 @@ def feature_tokens(t):
 
 def _tags(text: str) -> str:
     cases = ", ".join(f"CASE WHEN contains({text}, '{k}') THEN '{v}' END" for k, v in KEYWORDS.items())
-    return f"list_filter([{cases}], lambda x: x IS NOT NULL)[1:6]"
+    return f"list_filter([{cases}], lambda x: x IS NOT NULL)"
 
 
 @query("keyword_tags", f"SELECT doc_id, array_to_string({_tags('text')}, ',') AS tags FROM documents")
@@ -228,11 +228,9 @@ def mean_vectors(t):
     (PARTITION BY user_id) * exp(max(x) OVER (PARTITION BY user_id)), 6) AS p FROM (SELECT user_id, item_id, score10 / 10 AS x
     FROM ratings)""", "ratings"))
 def softmax_scores(t):
-    """Softmax of each user's ratings, with the normaliser summed per user before the join back."""
+    """Softmax of each user's ratings."""
     rows = t.ratings().select("user_id", "item_id", (F.col("score10") / 10).alias("x"))
-    top = rows.groupBy("user_id").agg(F.max("x").alias("top"), F.sum(F.exp("x")).alias("total"))
-    return rows.join(top, "user_id").select("user_id", "item_id", F.round(
-        F.exp(F.col("x") - F.col("top")) / (F.col("total") * F.exp(-F.col("top"))), 6).alias("p"))
+    return vx.softmax(rows, ["user_id"], "x", out="p").select("user_id", "item_id", F.round("p", 6).alias("p"))
 
 
 _BIASED = """(SELECT user_id, item_id, score + {0} * coalesce(bias, 0) AS score FROM cosines LEFT JOIN (SELECT item_id,

@@ -118,9 +118,7 @@ _UNESCAPE = "replace(replace(replace(replace(replace(replace({}, '&lt;', '<'), '
 def page_extract(t):
     pages = t.raw("pages")
     links = F.regexp_extract_all("html", F.lit(r'(?i)<a\s[^>]*href="([^"]*)"'), 1)
-    title = F.regexp_extract("html", r"(?is)<title>(.*?)</title>", 1)
-    return pages.select("page_id", "url", ex.normalize_whitespace(ex.strip_tags(title)).alias("title"),
-                        F.size(links).cast("bigint").alias("n_links"))
+    return ex.page_titles(pages.select("page_id", "url", "html"), F.size(links).cast("bigint").alias("n_links"))
 
 
 @query("page_links", """SELECT page_id, href, count(*) AS n FROM (SELECT page_id, unnest(regexp_extract_all(html,

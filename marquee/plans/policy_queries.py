@@ -60,14 +60,13 @@ _NORMS = "SELECT item_id, sqrt(sum(value * value)) AS n FROM features GROUP BY 1
 
 @query("evaluate_baselines", sql("""SELECT algorithm, round(hits / (n_users * 5), 4) AS precision_at_k, round(hits / n_users, 4)
     AS recall_at_k, round(ndcg / n_users, 4) AS ndcg_at_k, round(covered / (SELECT count(*) FROM part), 4) AS coverage,
-    round(spread / n_users, 3) AS diversity FROM (SELECT algorithm, count(t.item_id) AS hits, coalesce(sum(CASE WHEN t.item_id
+    round(spread / n_users, 4) AS diversity FROM (SELECT algorithm, count(t.item_id) AS hits, coalesce(sum(CASE WHEN t.item_id
     IS NOT NULL THEN 1 / log2(rank + 1) END), 0) AS ndcg, count(DISTINCT ranked.item_id) AS covered FROM ranked LEFT JOIN targets t ON
     t.user_id = ranked.user_id AND t.item_id = ranked.item_id GROUP BY 1) JOIN (SELECT algorithm, sum(diversity) AS spread
     FROM spreads GROUP BY 1) USING (algorithm) CROSS JOIN (SELECT count(*) AS n_users FROM targets)""", "ratings", "items",
     **_LISTS, features=_FEATURES, norms=_NORMS, spreads=_DIVERSITY))
 def evaluate_baselines(t):
-    return evl.evaluate(t.ratings(), t.items(summary=True, comment_len=True), features_of(t), semantic=False).withColumn(
-        "diversity", F.round("diversity", 3))
+    return evl.evaluate(t.ratings(), t.items(summary=True, comment_len=True), features_of(t), semantic=False)
 
 
 def _top_rated_lists(t):
@@ -181,7 +180,7 @@ def policy_training(t):
     n_items = t.raw("part").count()
     rows = xp.experience_rows(valid, materialize(_bonus(t))).withColumn("old_prob", F.lit(1.0 / n_items))
     states = ft.pack_entries(ft.user_features(valid, features, as_of="2024-02-01 00:00:00"), "user_id")
-    _, log = po.train(rows, states, features, po.Policy.initial(), epochs=3)
+    _, log = po.train(rows, states, features, po.Policy.initial())
     return t.spark.createDataFrame([(r["epoch"], r["n"], r["value_loss"], r["gain"]) for r in log],
                                    "epoch int, n long, value_loss double, gain double")
 

@@ -42,6 +42,12 @@ V = {
     "tokens": f"""SELECT item_id, unnest(list_distinct(list_transform(string_split(types, '/') || [directors, country] ||
         list_filter(regexp_split_to_array(translate(coalesce(summary, ''), '，。', '  '), '{SPACE}'), lambda x: x <> '')[1:12],
         lambda x: lower(x)))) AS tok FROM items""",
+    "all_tokens": f"""SELECT item_id, unnest(list_distinct(list_transform(string_split(types, '/') || [directors, country] ||
+        list_filter(regexp_split_to_array(translate(coalesce(summary, ''), '，。', '  '), '{SPACE}'), lambda x: x <> ''),
+        lambda x: lower(x)))) AS tok FROM items""",
+    "all_sets": "SELECT *, count(*) OVER (PARTITION BY item_id) AS n FROM all_tokens",
+    "all_jac": """SELECT a.item_id AS item_a, b.item_id AS item_b, count(*) / (any_value(a.n) + any_value(b.n) - count(*)) AS sim
+        FROM all_sets a JOIN all_sets b ON a.tok = b.tok GROUP BY 1, 2""",
     "sets": "SELECT *, count(*) OVER (PARTITION BY item_id) AS n FROM tokens",
     "jac": """SELECT a.item_id AS item_a, b.item_id AS item_b, count(*) / (any_value(a.n) + any_value(b.n) - count(*)) AS sim
         FROM sets a JOIN sets b ON a.tok = b.tok GROUP BY 1, 2""",
@@ -76,7 +82,7 @@ V = {
         a.term = b.term AND a.doc_id <> b.doc_id GROUP BY 1, 2""",
 }
 _NEEDS = {"sims": ["pairs"], "near": ["sims"], "cf_map": ["near"], "cf": ["cf_map"], "tag_sim": ["tags"], "content": ["tag_sim"],
-          "sets": ["tokens"], "jac": ["sets"], "jac_map": ["jac"], "hot_all": ["hot", "raters"],
+          "all_sets": ["all_tokens"], "all_jac": ["all_sets"], "sets": ["tokens"], "jac": ["sets"], "jac_map": ["jac"], "hot_all": ["hot", "raters"],
           "hybrid": ["cf", "content", "hot_all"], "ucos": ["pairs"], "nearest": ["ucos"], "weights": ["terms"],
           "text_sim": ["weights"]}
 
@@ -125,7 +131,7 @@ def similar_items(t):
 
 
 @query("item_jaccard", sql(f"""SELECT item_a, item_b, round(sim, 5) AS sim, row_number() OVER (PARTITION BY item_a ORDER BY
-    {micro('sim')} DESC, item_b) AS rank FROM jac WHERE item_a <> item_b QUALIFY rank <= 6""", "items", **chain("jac")))
+    {micro('sim')} DESC, item_b) AS rank FROM all_jac WHERE item_a <> item_b QUALIFY rank <= 6""", "items", **chain("all_jac")))
 def item_jaccard(t):
     return sim.item_jaccard(t.items(summary=True)).select("item_a", "item_b", _r("sim"), _big("rank"))
 

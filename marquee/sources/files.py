@@ -90,8 +90,9 @@ def merge_parquet(spark: SparkSession, current: str | None, incoming: DataFrame,
 
 
 def save_parameters(params: DataFrame, folder: str, *, version_tag: str) -> None:
-    """Model parameters (name, row, values) under their version."""
-    params.withColumn("version_tag", F.lit(version_tag)).write.mode("append").partitionBy("version_tag").parquet(folder)
+    """Model parameters (name, row, values) under their version; a version saved again replaces its rows, and no others."""
+    params.withColumn("version_tag", F.lit(version_tag)).write.mode("overwrite").option(
+        "partitionOverwriteMode", "dynamic").partitionBy("version_tag").parquet(folder)
 
 
 def load_parameters(spark: SparkSession, folder: str, *, version_tag: str) -> DataFrame:

@@ -49,13 +49,13 @@ def ingest_interactions(stream: DataFrame, items: DataFrame, folder: str, checkp
 
 
 def current_interactions(spark: SparkSession, folder: str) -> DataFrame:
-    """Snapshot of the latest base and all deltas after it; ``event_id`` grows with arrival."""
+    """Snapshot of the latest base and all deltas after it, in order of arrival: micro-batch, then ``event_id``."""
     deltas = spark.read.parquet(f"{folder}/accepted")
     base = _latest_base(spark, folder)
     if base is None:
-        return interaction_upsert(deltas.limit(0), deltas).drop("is_new")
+        return interaction_upsert(deltas.limit(0), deltas, arrival="batch_id").drop("is_new")
     upto, rows = base
-    return interaction_upsert(rows, deltas.filter(F.col("batch_id") > upto)).drop("is_new")
+    return interaction_upsert(rows, deltas.filter(F.col("batch_id") > upto), arrival="batch_id").drop("is_new")
 
 
 def _latest_base(spark: SparkSession, folder: str) -> tuple[int, DataFrame] | None:
@@ -81,7 +81,9 @@ def ingest_experiences(stream: DataFrame, folder: str, checkpoint: str, *, thres
     After each micro-batch, if at least ``threshold`` rows are pending, all of
     them form one training batch: it is handed to ``on_batch`` and recorded in
     ``fired``.  Pending rows are those of the micro-batches after the last
-    fired one, found by partition pruning.
+    fired one, found by partition pruning.  A run that dies between ``on_batch``
+    and the record calls it again with the same ``batch_id`` and rows: that id is
+    the key by which a handler recognises what it has done.
     """
     def handle(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
