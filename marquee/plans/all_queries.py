@@ -6,7 +6,7 @@ import importlib
 
 from marquee.plans import registry
 
-MODULES = ("catalog_queries", "ingest_queries", "recommend_queries", "feature_queries", "policy_queries")
+MODULES = ("catalog_queries", "ingest_queries", "recommend_queries", "feature_queries", "policy_queries", "stream_queries")
 
 
 def load():
