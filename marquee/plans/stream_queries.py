@@ -88,7 +88,7 @@ def stream_pages(t):
     return ingest.current_records(t.spark, out, ["page_id"]).select("page_id", "title").join(F.broadcast(state))
 
 
-@query("csv_catalog", sql("""SELECT title, string_agg(DISTINCT types, ',' ORDER BY types) AS types, count(*) AS n, round(sum(rate), 1) AS rate,
+@query("csv_catalog", sql("""SELECT title, string_agg(DISTINCT types, ',' ORDER BY types) AS types, count(*) AS n, sum(round(rate * 100)::BIGINT)::BIGINT AS rate,
     sum(release_year) AS years, sum(length(trim(coalesce(summary, '')))) AS letters FROM items GROUP BY 1""", "items"))
 def csv_catalog(t):
     """The catalogue written as CSV files, read and parsed again; summaries hold line breaks and quotes."""
@@ -98,7 +98,7 @@ def csv_catalog(t):
     files.write_csv(rows, folder, files.MOVIE_FIELDS)
     parsed = files.catalog_from_csv(files.read_csv(t.spark, folder, files.MOVIE_FIELDS))
     return parsed.groupBy("title").agg(
-        F.array_join(F.array_sort(F.collect_set("types")), ",").alias("types"), F.count(F.lit(1)).alias("n"), F.round(F.sum("rate"), 1).alias("rate"),
+        F.array_join(F.array_sort(F.collect_set("types")), ",").alias("types"), F.count(F.lit(1)).alias("n"), F.sum(F.round(F.col("rate") * 100).cast("bigint")).alias("rate"),
         F.sum("release_year").alias("years"), F.sum(F.length("summary")).cast("bigint").alias("letters"))
 
 
