@@ -38,6 +38,8 @@ GRAM = 32
 BLOCK = 128
 #: Blocks of a bucket up to which one suffix array takes it (about 5 MB).
 MOST = 256
+#: Bytes of text handled together; a longer text is handled in overlapping parts.
+PART = 1_000_000
 #: Names (16 bytes) up to which a list is sent to every executor: 32 MB.
 BROADCAST_ROWS = 2_000_000
 POSITION = np.uint64((1 << 24) - 1)
@@ -86,22 +88,37 @@ def blocks_of(data: np.ndarray, offsets: np.ndarray, length: int = LENGTH) -> di
             "whole": high - low == far - near}
 
 
+def parts(texts: list[str | None], length: int, most: int) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+    """(number of the first text, position in it, bytes, offsets); a block cut by the end of a part counts as two unwhole ones."""
+    for first, data, offsets in W.chunks(texts, most):
+        if len(data) < 2 * most:
+            yield first, 0, data, offsets
+            continue
+        for low in range(0, len(data) - length + 1, most):
+            part = data[low: low + most + length - 1]
+            yield first, low, part, np.array([0, len(part)])
+
+
 def repeats_in_bucket(strings: list[bytes], order: list, length: int = LENGTH, keep_first: bool = False) -> list[tuple[int, int]]:
     """(number of the string, position in it) of each suffix with a factor of ``length`` in the bucket, by LPF over suffix order.
 
     ``order`` gives each string's place in the corpus; earlier positions have smaller ones.
     """
-    suffixes = [(s[p: p + length], order[k], k, p) for k, s in enumerate(strings) for p in range(len(s) - length + 1)]
-    positions = {i: n for n, i in enumerate(sorted(range(len(suffixes)), key=lambda i: (suffixes[i][1], suffixes[i][3])))}
-    array = sorted(range(len(suffixes)), key=lambda i: (suffixes[i][0], positions[i]))
+    places, suffixes = [], []
+    for k in sorted(range(len(strings)), key=order.__getitem__):
+        for p in range(len(strings[k]) - length + 1):
+            places.append((k, p))
+            suffixes.append(strings[k][p: p + length])
+    # suffixes are listed in order of position, and sorting keeps that order among equals
+    array = sorted(range(len(suffixes)), key=suffixes.__getitem__)
     # common prefixes of neighbours, as far as they matter: length or less
-    same = [0] + [length if suffixes[a][0] == suffixes[b][0] else 0 for a, b in zip(array, array[1:])]
+    same = [0] + [length if suffixes[a] == suffixes[b] else 0 for a, b in zip(array, array[1:])]
     factor = [0] * len(suffixes)  # longest previous factor, cut at length
     following = [0] * len(suffixes)  # the same towards later positions
     stack: list[tuple[int, int]] = []  # (suffix, common prefix with the one below it)
     for n, i in enumerate(array):
         reach = same[n]
-        while stack and positions[stack[-1][0]] > positions[i]:
+        while stack and stack[-1][0] > i:
             top, below = stack.pop()
             # i is the next smaller position of top, what lies below it the previous smaller
             factor[top] = max(factor[top], reach)
@@ -111,7 +128,7 @@ def repeats_in_bucket(strings: list[bytes], order: list, length: int = LENGTH, k
             factor[i] = max(factor[i], reach)
             following[stack[-1][0]] = max(following[stack[-1][0]], reach)
         stack.append((i, reach))
-    return [suffixes[i][2:] for i in range(len(suffixes)) if factor[i] >= length or not keep_first and following[i] >= length]
+    return [places[i] for i in range(len(suffixes)) if factor[i] >= length or not keep_first and following[i] >= length]
 
 
 def spans(ranges: list[tuple[int, int]], length: int, size: int) -> list[tuple[int, int]]:
@@ -148,7 +165,7 @@ def repeated_ranges(docs: DataFrame, *, length: int = LENGTH, keep_first: bool =
 
     def list_cores(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for first, data, offsets in W.chunks(batch.column(2).to_pylist()):
+            for first, _, data, offsets in parts(batch.column(2).to_pylist(), length, PART):
                 found = blocks_of(data, offsets, length)
                 owner = found["doc"].astype(np.uint64)
                 key = found["core"].view(np.uint64) ^ W.mix(owner + np.uint64(1))
@@ -165,7 +182,7 @@ def repeated_ranges(docs: DataFrame, *, length: int = LENGTH, keep_first: bool =
     def describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             wanted = batch.column(3).to_pylist()
-            for first, data, offsets in W.chunks(batch.column(2).to_pylist()):
+            for first, begin, data, offsets in parts(batch.column(2).to_pylist(), length, PART):
                 found = blocks_of(data, offsets, length)
                 own = wanted[first: first + len(offsets) - 1]
                 owner = np.repeat(np.arange(len(own), dtype=np.uint64), [len(c) for c in own])
@@ -175,7 +192,7 @@ def repeated_ranges(docs: DataFrame, *, length: int = LENGTH, keep_first: bool =
                 take = pa.array(found["doc"][on] + first)
                 part = ~found["whole"][on].astype(bool)
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).take(take), batch.column(1).take(take), pa.array(found["low"][on]), pa.array(found["high"][on]),
+                    [batch.column(0).take(take), batch.column(1).take(take), pa.array(found["low"][on] + begin), pa.array(found["high"][on] + begin),
                      pa.array(found["core"][on]), pa.array(found["one"][on], mask=part), pa.array(found["two"][on], mask=part)],
                     names=["doc_id", "text_hash", "low", "high", "core", "one", "two"])
 
@@ -201,9 +218,11 @@ def repeated_ranges(docs: DataFrame, *, length: int = LENGTH, keep_first: bool =
         for batch in batches:
             out: list[tuple] = []
             size = 0
-            for name, code, text_, own in zip(*[c.to_pylist() for c in batch.columns]):
-                raw = text_.encode("utf-8", "surrogatepass")
-                for e in own:
+            names, codes, texts, own = batch.columns
+            ends = own.offsets.to_pylist()
+            for n in range(len(batch)):
+                name, code, raw = names[n].as_py(), codes[n].as_py(), texts[n].as_buffer().to_pybytes()
+                for e in own.values.slice(ends[n], ends[n + 1] - ends[n]).to_pylist():
                     piece = raw[e["low"]: e["high"] + length]
                     out.append((name, code, e["core"], e["low"], e["blocks"], piece))
                     size += len(piece)
@@ -292,23 +311,6 @@ def remove_repeats(docs: DataFrame, *, length: int = LENGTH, keep_first: bool =
     ranges = repeated_ranges(docs, length=length, keep_first=keep_first, text=text, doc_id=doc_id)
     ranges = staged(ranges.groupBy("doc_id", "text_hash").agg(F.collect_list(F.struct("low", "high")).alias("ranges")), "ranges")
 
-    def remove(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            out = []
-            for text_, own in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                raw = b"" if text_ is None else text_.encode("utf-8", "surrogatepass")
-                cuts = spans([(r["low"], r["high"]) for r in own or ()], length, len(raw))
-                kept, at = [], 0
-                for a, b in cuts:
-                    kept.append(raw[at:a])
-                    at = b
-                rest = b"".join([*kept, raw[at:]])
-                out.append((len(raw), len(raw) - len(rest), len(cuts), hashlib.sha256(rest).hexdigest(), rest.decode("utf-8", "ignore")))
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(c, t) for c, t in zip(zip(*out), (pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.string()))] if out
-                else [pa.array([], t) for t in (pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.string())],
-                names=["n_bytes", "n_removed", "n_spans", "kept_sha256", "kept_text"])
-
     kept = F.struct(*[F.col(f"`{c}`") for c in docs.columns if c not in NEW])
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.hash(text).alias("text_hash"), kept.alias("row"), F.col(text).alias("text"))
     names = _few(ranges.select("doc_id", "text_hash"))
@@ -316,15 +318,28 @@ def remove_repeats(docs: DataFrame, *, length: int = LENGTH, keep_first: bool =
     others = _same(rows, names, "left_anti").withColumn("ranges", F.lit(None).cast(ranges.schema["ranges"].dataType))
     both = touched.select("row", "text", "ranges").unionByName(others.select("row", "text", "ranges"))
 
-    @F.pandas_udf("n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept_text string")
-    def removed(texts, own):
-        import pandas as pd
-
-        frame = pa.RecordBatch.from_arrays([pa.array(list(texts), pa.string()), pa.array(
-            [None if o is None else [{"low": r["low"], "high": r["high"]} for r in o] for o in own],
-            pa.list_(pa.struct([("low", pa.int64()), ("high", pa.int64())])))], names=["text", "ranges"])
-        done = list(remove(iter([frame])))
-        return done[0].to_pandas() if done else pd.DataFrame({c: [] for c in NEW})
+    @F.arrow_udf("n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept_text string")
+    def removed(texts: pa.Array, own: pa.Array) -> pa.Array:
+        ends = own.offsets.to_pylist()
+        sizes, left, runs, digests, kept_texts = [], [], [], [], []
+        for n, text_ in enumerate(texts):
+            raw = text_.as_buffer().to_pybytes() if text_.is_valid else b""
+            mine = own.values.slice(ends[n], ends[n + 1] - ends[n])
+            cuts = spans(list(zip(mine.field("low").to_pylist(), mine.field("high").to_pylist())), length, len(raw))
+            kept, at = [], 0
+            for a, b in cuts:
+                kept.append(raw[at:a])
+                at = b
+            rest = b"".join([*kept, raw[at:]]) if cuts else raw
+            sizes.append(len(raw))
+            left.append(len(rest))
+            runs.append(len(cuts))
+            digests.append(hashlib.sha256(rest).hexdigest())
+            kept_texts.append(rest.decode("utf-8", "ignore").encode("utf-8") if cuts else rest)
+        sizes, left = np.array(sizes, np.int64), np.array(left, np.int64)
+        return pa.StructArray.from_arrays(
+            [pa.array(sizes), pa.array(sizes - left), pa.array(runs, pa.int64()), pa.array(digests, pa.string()),
+             pa.array(kept_texts, pa.binary()).cast(pa.string())], names=list(NEW))
 
     return both.withColumn("_cut", removed(F.col("text"), F.col("ranges"))).select("row.*", *[f"_cut.{c}" for c in NEW])
 

@@ -236,9 +236,10 @@ def repeats_by_hand(texts, length, keep_first):
 
 
 @pytest.mark.parametrize("keep_first", [False, True])
-@pytest.mark.parametrize("most", [256, 2])
-def test_repeats_equal_brute_force(spark, small_texts, keep_first, most, monkeypatch):
+@pytest.mark.parametrize("most,part", [(256, 1_000_000), (2, 200)])
+def test_repeats_equal_brute_force(spark, small_texts, keep_first, most, part, monkeypatch):
     monkeypatch.setattr(suffix_dedup, "MOST", most)
+    monkeypatch.setattr(suffix_dedup, "PART", part)
     sample = [x for x in small_texts if x[0] not in (13, 10)] + [(20 + k, word_soup(30, k) + " " + word_soup(40, 77) + " " + word_soup(k, 99)) for k in range(12)]
     out = suffix_dedup.remove_repeats(docs_of(spark, sample), length=100, keep_first=keep_first).collect()
     found = sorted((r.doc_id or -1, r.n_bytes, r.n_removed, r.kept_sha256) for r in out)
