@@ -1,4 +1,4 @@
-"""Registered queries of this subpackage, op1 to op10, and their SQL where SQL can express them."""
+"""Registered queries of this subpackage, op1 to op13, and their SQL where SQL can express them."""
 
 from __future__ import annotations
 
@@ -123,3 +123,57 @@ def op8(spark: SparkSession, folder: str) -> DataFrame:
     held_out = fold(F.col("doc_id"), 10) == 0
     return score(docs, train(docs.filter(~held_out))).select(
         "doc_id", held_out.alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
+@query("op11_alignment")
+def op11(spark: SparkSession, folder: str) -> DataFrame:
+    from marquee.llm.alignment import alignments
+
+    return alignments(table(spark, folder, "documents", "doc_id", "text"), path_a=public_tokenizers.path("byte_bpe_50k.json"),
+                      path_b=public_tokenizers.path("piece_bpe_32k.model"))
+
+
+@query("op12_prefix_trie", r"""
+with tab as (select list(c order by n) as of_byte from (
+         select n, list_reduce(list_prepend(n, [0, 0, 0, 0, 0, 0, 0, 0]), lambda c, x: xor(c >> 1, 3988292384 * (c & 1))) as c
+         from (select unnest(range(256)) as n))),
+     t as (select conv_id, sha256(length(coalesce(role, '')) || ':' || coalesce(role, '') || coalesce(text, '')) as turn_key,
+                  octet_length(encode(coalesce(text, ''))) as n_bytes,
+                  row_number() over (partition by conv_id order by turn nulls first, coalesce(role, ''), coalesce(text, '')) - 1 as place
+           from conversations where conv_id is not null),
+     c as (select conv_id, conv_id - conv_id % 5 as base, cast(conv_id as varchar) as s from t group by conv_id),
+     h as (select conv_id, base, xor(list_reduce(list_prepend(4294967295, list_transform(range(1, length(s) + 1), lambda k: ascii(substr(s, k, 1)))),
+                  lambda a, b: xor(a >> 8, of_byte[(xor(a, b) & 255) + 1])), 4294967295) % 9 as shared from c, tab),
+     taken as (select h.conv_id, t.place, turn_key, n_bytes from h join t on t.conv_id = h.base and t.place < h.shared),
+     n_taken as (select conv_id, count(*) as n from taken group by conv_id),
+     own as (select h.conv_id, coalesce(n, 0) + t.place - shared as place, turn_key, n_bytes
+             from h join t on t.conv_id = h.conv_id left join n_taken on n_taken.conv_id = h.conv_id where t.place >= shared),
+     turns as (select * from taken union all select * from own),
+     depths as (select conv_id, place + 1 as depth, n_bytes, string_agg(turn_key, ',') over (partition by conv_id order by place) as key,
+                       count(*) over (partition by conv_id) as n_turns from turns
+                union all select conv_id, 0, 0, '', (select count(*) from turns where turns.conv_id = h.conv_id) from h),
+     nodes as (select depth, key, min(conv_id) as conv_id, count(*) as n_convs, max(n_bytes) as n_bytes,
+                      sha256(coalesce(string_agg(cast(conv_id as varchar), ',' order by conv_id) filter (n_turns = depth), '')) as ends_sha256
+               from depths group by depth, key),
+     linked as (select nodes.*, p.key as up, p.conv_id as parent_conv_id from nodes
+                left join nodes p on nodes.depth > 0 and p.depth = nodes.depth - 1 and p.key = substr(nodes.key, 1, greatest(0, 65 * (nodes.depth - 1) - 1))),
+     kids as (select depth - 1 as depth, up as key, count(*) as n_children from linked where depth > 0 group by all),
+     marked as (select linked.*, coalesce(n_children, 0) as n_children from linked left join kids using (depth, key)),
+     sums as (select d as depth, substr(key, 1, greatest(0, 65 * d - 1)) as key, sum(case when n_children = 0 then 1 else 0 end) as n_leaves,
+                     sum((n_convs - 1) * n_bytes) as saved_tokens from (select *, unnest(range(0, depth + 1)) as d from marked) group by all)
+select conv_id, cast(depth as bigint) as depth, parent_conv_id, n_convs, n_children, cast(n_leaves as bigint) as n_leaves,
+       cast(saved_tokens as bigint) as saved_tokens, ends_sha256 from marked join sums using (depth, key)""")
+def op12(spark: SparkSession, folder: str) -> DataFrame:
+    from marquee.llm.prefix_trie import rebuilt_trie
+
+    return rebuilt_trie(table(spark, folder, "conversations", "conv_id", "turn", "role", "text"))
+
+
+@query("op13_language_id")
+def op13(spark: SparkSession, folder: str) -> DataFrame:
+    from marquee.llm.language_id import train
+    from marquee.llm.quality import fold
+
+    docs = table(spark, folder, "documents", "doc_id", "text", "lang")
+    held_out = fold(F.col("doc_id"), 5) == 0
+    return train(docs, usable=~held_out).predict(docs).select("doc_id", held_out.alias("held_out"), "lang_pred", "score")
