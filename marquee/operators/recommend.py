@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, Window, functions as F
 
 from marquee.operators import similarity as sim, tiles
 from marquee.operators.interactions import LIKE10
+from marquee.operators.overlap import mean_overlap
 from marquee.operators.ranking import positions, priority_merge, rank_scores, top_per_group
 from marquee.session import materialize
 
@@ -65,8 +66,17 @@ def content_rec(ratings: DataFrame, items: DataFrame, *, n: int = 10, like10: in
         F.transform("tags", lambda x: 1 / F.sqrt(F.size("tags"))).alias("vals"))
     matched = tiles.match(profiles, vectors, kind="dot").select(
         F.col("left_id").alias("user_id"), F.col("right_id").alias("copy_id"), "score")
+    return rank_scores(_open_sets(matched, members, groups, rated, n), n=n)
+
+
+def _open_sets(matched: DataFrame, members: DataFrame, groups: DataFrame, rated: DataFrame, n: int) -> DataFrame:
+    """Unrated items of the sets a user may need for the best ``n``: user_id, item_id, score.
+
+    ``matched`` (user_id, copy_id, score) holds ``n`` sets more than a user has rated; ``members`` (item_id, copy_id) and
+    ``groups`` (copy_id, n_copies) describe the sets, ``rated`` is (user_id, item_id, copy_id).
+    """
     taken = rated.groupBy("user_id", "copy_id").agg(F.count(F.lit(1)).alias("taken"))
-    open_sets = matched.join(taken, ["user_id", "copy_id"], "left").join(groups, "copy_id").withColumn(
+    open_sets = matched.join(taken, ["user_id", "copy_id"], "left").join(groups.select("copy_id", "n_copies"), "copy_id").withColumn(
         "taken", F.coalesce("taken", F.lit(0))).withColumn("micro", tiles.micro(F.col("score")))
     better = Window.partitionBy("user_id").orderBy(F.col("micro").desc()).rangeBetween(Window.unboundedPreceding, -1)
     needed = open_sets.withColumn(
@@ -76,79 +86,56 @@ def content_rec(ratings: DataFrame, items: DataFrame, *, n: int = 10, like10: in
     deepest = taken.agg(F.coalesce(F.max("taken"), F.lit(0)).alias("deepest")).withColumn("one", F.lit(0))
     reachable = placed.withColumn("one", F.lit(0)).join(F.broadcast(deepest), "one").filter(
         F.col("pos") < F.col("deepest") + n).select("copy_id", "item_id", "pos")
-    scores = (
+    return (
         needed.join(reachable, "copy_id").filter(F.col("pos") < F.col("taken") + n)
         .select("user_id", "item_id", "score")
         .join(rated.select("user_id", "item_id"), ["user_id", "item_id"], "left_anti")
     )
-    return rank_scores(scores, n=n)
-
-
-def _pairs(rows: DataFrame) -> DataFrame:
-    return rows.select(F.col("user_id").alias("id"), F.col("item_id").alias("right_id"))
 
 
 def content_rec_jaccard(ratings: DataFrame, items: DataFrame, *, n: int = 10, like10: int = LIKE10,
-                        weight: float = 1.0, boost: DataFrame | None = None, max_likes: int = 20_000,
-                        head: int | None = 12) -> DataFrame:
+                        weight: float = 1.0, boost: DataFrame | None = None, head: int | None = None) -> DataFrame:
     """Mean token Jaccard to the user's liked items, without rated ones.
 
-    ``boost`` (user_id, item_id, score) is added to ``weight`` times the mean
-    before ranking.  A user with more than ``max_likes`` likes is scored by a
-    join on tokens instead, so no task holds all likes of a very active user.
-    ``head`` is the number of summary words that count; None takes them all.
+    Users are matched against distinct token sets (``overlap``), of which a user
+    needs at most ``n`` plus the number of rated items; these are then opened into
+    items.  ``boost`` (user_id, item_id, score; positive) is added to ``weight`` times
+    the mean before ranking: boosted items are scored one by one, and of the
+    others none beyond the best ``n`` can come into the list.  ``head`` is the number
+    of summary words that count; None takes them all.
     """
-    vectors = materialize(sim.jaccard_vectors(items, head=head))
+    members, sets = sim.attribute_sets(items, head=head)
     ratings = materialize(ratings.select("user_id", "item_id", "score10"))
-    likes = liked(ratings, like10=like10).select(F.col("user_id").alias("id"), "item_id").join(
-        vectors.withColumnRenamed("id", "item_id"), "item_id", "left").select(
-        "id", "item_id", F.coalesce("terms", F.array().cast("array<string>")).alias("terms"),
-        F.coalesce("vals", F.array().cast("array<double>")).alias("vals"))
-    counts = likes.groupBy("id").count()
-    busy = materialize(counts.filter(F.col("count") > max_likes))
-    has_busy = not busy.isEmpty()
-    rows = likes.join(busy, "id", "left_anti") if has_busy else likes
-    added = None if boost is None else boost.select(
-        F.col("user_id").alias("id"), F.col("item_id").alias("right_id"), F.col("score").alias("boost"))
+    rated = materialize(ratings.join(members, "item_id"))
+    likes = rated.filter(F.col("score10") >= like10).groupBy(F.col("user_id").alias("id"), "copy_id").agg(F.count(F.lit(1)).alias("n"))
+    # liked items without tokens count in the mean, rated ones in the number of sets a user needs
+    users = ratings.groupBy(F.col("user_id").alias("id")).agg(F.count_if(F.col("score10") >= like10).alias("total"), F.count(F.lit(1)).alias("k"))
+    users = users.filter("total > 0").withColumn("k", F.col("k") + n)
+    wanted = None
     if boost is not None:
-        # users without likes still rank their boosted items
-        idle = boost.select(F.col("user_id").alias("id")).distinct().join(counts, "id", "left_anti")
-        rows = rows.select("id", "terms", "vals").unionByName(idle.select(
-            "id", F.array().cast("array<string>").alias("terms"), F.array().cast("array<double>").alias("vals")))
-    found = tiles.match(materialize(rows.select("id", "terms", "vals")), vectors, kind="jaccard", k=n, weight=weight,
-                        skip=_pairs(ratings), boost=added).select(
-        F.col("left_id").alias("user_id"), F.col("right_id").alias("item_id"), "score", "rank")
-    if not has_busy:
-        return found
-    return found.unionByName(_jaccard_join(likes.join(busy, "id"), vectors, ratings, n, weight, added))
-
-
-def _jaccard_join(likes: DataFrame, vectors: DataFrame, ratings: DataFrame, n: int, weight: float,
-                  added: DataFrame | None) -> DataFrame:
-    """Jaccard means by a join on tokens; ``likes`` carries each user's like ``count``."""
-    mine = likes.select("id", "item_id", "count", F.size("terms").alias("n_a"), F.explode("terms").alias("token"))
-    theirs = vectors.select(F.col("id").alias("right_id"), F.size("terms").alias("n_b"), F.explode("terms").alias("token"))
-    shared = mine.join(theirs, "token").groupBy("id", "item_id", "right_id", "count", "n_a", "n_b").agg(
-        F.count(F.lit(1)).alias("c"))
-    score = F.sum(F.col("c") / (F.col("n_a") + F.col("n_b") - F.col("c"))) / F.first("count") * weight
-    sums = shared.groupBy("id", "right_id").agg(score.alias("score"))
-    if added is not None:
-        wanted = added.join(likes.select("id").distinct(), "id", "left_semi").withColumnRenamed("boost", "score")
-        sums = sums.unionByName(wanted).groupBy("id", "right_id").agg(F.sum("score").alias("score"))
-    kept = sums.join(_pairs(ratings), ["id", "right_id"], "left_anti")
-    return rank_scores(kept.select(F.col("id").alias("user_id"), F.col("right_id").alias("item_id"), "score"), n=n)
+        boost = materialize(boost.join(ratings.select("user_id", "item_id"), ["user_id", "item_id"], "left_anti"))
+        boosted = materialize(boost.join(members, "item_id", "left").select("user_id", "item_id", "copy_id", F.col("score").alias("boost")))
+        wanted = boosted.filter("copy_id is not null").select(F.col("user_id").alias("id"), "copy_id").distinct()
+    found, asked = mean_overlap(likes, users, sets, weight=weight, wanted=wanted)
+    matched = found.withColumnRenamed("id", "user_id")
+    scores = _open_sets(matched, members, sets, rated.select("user_id", "item_id", "copy_id"), n)
+    if boost is None:
+        return rank_scores(scores, n=n)
+    own = boosted.join(asked.withColumnRenamed("id", "user_id"), ["user_id", "copy_id"], "left").select(
+        "user_id", "item_id", F.coalesce("score", F.lit(0.0)).alias("score"), "boost")
+    both = rank_scores(scores, n=n).select("user_id", "item_id", "score", F.lit(0.0).alias("boost")).unionByName(own)
+    return rank_scores(both.groupBy("user_id", "item_id").agg((F.max("score") + F.max("boost")).alias("score")), n=n)
 
 
 def jaccard_cf_hybrid(ratings: DataFrame, items: DataFrame, cf: DataFrame, *, n: int, weight_cf: float = 0.55,
-                      weight_content: float = 0.45, like10: int = LIKE10) -> DataFrame:
+                      weight_content: float = 0.45, like10: int = LIKE10, head: int | None = None) -> DataFrame:
     """Best ``n`` by weighted sum of collaborative and Jaccard content scores.
 
     The content score covers nearly every item, the collaborative one few, so
-    the latter is added pair by pair while tiles are scored and the dense
-    score table never exists.
+    the latter is added pair by pair and the dense score table never exists.
     """
     boost = cf.select("user_id", "item_id", (F.col("score") * F.lit(weight_cf)).alias("score"))
-    return content_rec_jaccard(ratings, items, n=n, like10=like10, weight=weight_content, boost=boost)
+    return content_rec_jaccard(ratings, items, n=n, like10=like10, weight=weight_content, boost=boost, head=head)
 
 
 def item_cf(ratings: DataFrame, *, n: int = 5) -> DataFrame:
@@ -165,32 +152,30 @@ def _nearest(similar: DataFrame, ratings: DataFrame) -> DataFrame:
         "user_id", "item_id", (F.col("f.sim") * F.col("f.score10") / 10).alias("score"))
 
 
-def cf_nearest(ratings: DataFrame, *, n: int = 5, neighbours: int = 32) -> DataFrame:
+def cf_nearest(ratings: DataFrame, *, n: int = 5, neighbours: int = 8) -> DataFrame:
     """Nearest-neighbour-wins filtering by zero-filled cosine; rated items stay in.
 
-    An item none of the first ``neighbours`` users rated scores at most 10
-    times the similarity of the next one.  Users whose n-th score reaches that
-    bound are settled; only the others are redone with all their neighbours.
+    A progressive search: an item none of a user's first k neighbours rated scores at
+    most 10 times the similarity of the k-th.  A user whose n-th score is above that
+    bound, or who has no further neighbour, is settled; for the others only,
+    k doubles, starting from ``neighbours``.
     """
     ratings = materialize(ratings.select("user_id", "item_id", "score10"))
     vectors = sim.unit_ratings(ratings, "user_id", "item_id")
-
-    def near(left: DataFrame, k: int | None) -> DataFrame:
-        return tiles.match_long(left, vectors, kind="dot", k=k).select(
-            F.col("left_id").alias("user_a"), F.col("right_id").alias("user_b"), F.col("score").alias("sim"))
-
-    some = materialize(near(vectors, neighbours))
-    edge = some.groupBy("user_a").agg(F.count(F.lit(1)).alias("have"), F.min("sim").alias("edge"))
-    ranked = materialize(rank_scores(_nearest(some, ratings), n=n))
-    nth = ranked.filter(F.col("rank") == n).select("user_id", F.col("score").alias("nth"))
-    unsettled = edge.filter(F.col("have") >= neighbours).join(nth, edge.user_a == nth.user_id, "left").filter(
-        F.col("nth").isNull() | (F.col("nth") <= 10 * F.col("edge"))).select(F.col("user_a").alias("id"))
-    unsettled = materialize(unsettled)
-    settled = ranked.join(unsettled, F.col("user_id") == F.col("id"), "left_anti")
-    if unsettled.isEmpty():
-        return settled
-    rest = near(vectors.join(unsettled, "id", "left_semi"), None)
-    return settled.unionByName(rank_scores(_nearest(rest, ratings), n=n))
+    open_, k, settled = vectors, neighbours, None
+    while True:
+        near = materialize(tiles.match_long(open_, vectors, kind="dot", k=k).select(
+            F.col("left_id").alias("user_a"), F.col("right_id").alias("user_b"), F.col("score").alias("sim")))
+        edge = near.groupBy("user_a").agg(F.count(F.lit(1)).alias("have"), F.min("sim").alias("edge")).filter(F.col("have") >= k)
+        ranked = materialize(rank_scores(_nearest(near, ratings), n=n))
+        nth = ranked.filter(F.col("rank") == n).select("user_id", F.col("score").alias("nth"))
+        still = materialize(edge.join(nth, F.col("user_a") == F.col("user_id"), "left").filter(
+            F.col("nth").isNull() | (tiles.micro(F.col("nth")) <= tiles.micro(10 * F.col("edge")))).select(F.col("user_a").alias("id")))
+        done = ranked.join(still, F.col("user_id") == F.col("id"), "left_anti")
+        settled = done if settled is None else settled.unionByName(done)
+        if still.isEmpty():
+            return settled
+        open_, k = materialize(vectors.join(still, "id", "left_semi")), 2 * k
 
 
 def hot_for_users(users: DataFrame, hot: DataFrame) -> DataFrame:

@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from marquee.functions.text import ENGLISH_STOP_WORDS, attribute_tokens, split_multi, words
 from marquee.functions.vectors import unit
 from marquee.operators import tiles
+from marquee.operators.overlap import mean_overlap, token_sets
 from marquee.operators.ranking import top_per_group
 from marquee.session import materialize
 
@@ -82,18 +83,18 @@ def similar_items(items: DataFrame, *, n: int = 6) -> DataFrame:
     return expand_copies(tiles.match(vectors, vectors, kind="dot", k=n + 1), members, n=n)
 
 
-def jaccard_vectors(items: DataFrame, *, head: int | None = None) -> DataFrame:
-    """Attribute token sets of items as match rows; all summary words, or the first ``head``."""
-    tokens = attribute_tokens(F.col("types"), F.col("directors"), F.col("country"), F.col("summary"), head=head)
-    sets = items.select(F.col("item_id").alias("id"), tokens.alias("terms"))
-    return sets.filter(F.size("terms") > 0).withColumn("vals", F.transform("terms", lambda x: F.lit(1.0)))
+def attribute_sets(items: DataFrame, *, head: int | None = None) -> tuple[DataFrame, DataFrame]:
+    """Attribute token sets of items, equal ones once; all summary words, or the first ``head``."""
+    return token_sets(items, attribute_tokens(F.col("types"), F.col("directors"), F.col("country"), F.col("summary"), head=head))
 
 
 def item_jaccard(items: DataFrame, *, n: int = 6) -> DataFrame:
     """Best ``n`` items by shared / united attribute tokens."""
-    vectors = materialize(jaccard_vectors(items))
-    return tiles.match(vectors, vectors, kind="jaccard", k=n, exclude_self=True).select(
-        F.col("left_id").alias("item_a"), F.col("right_id").alias("item_b"), F.col("score").alias("sim"), "rank")
+    members, sets = attribute_sets(items)
+    own = sets.select(F.col("copy_id").alias("id"), "copy_id", F.lit(1).cast("bigint").alias("n"))
+    users = own.select("id", F.lit(1).alias("total"), F.lit(n + 1).alias("k"))
+    matched, _ = mean_overlap(own, users, sets)
+    return expand_copies(matched.select(F.col("id").alias("left_id"), F.col("copy_id").alias("right_id"), "score"), members, n=n)
 
 
 def unit_ratings(ratings: DataFrame, id_col: str, term_col: str) -> DataFrame:
@@ -117,7 +118,7 @@ def item_cosine(ratings: DataFrame, *, k: int | None = 20, max_entries: int | No
 
 
 def tfidf_vectors(texts: DataFrame, *, stop_words: Sequence[str] = ENGLISH_STOP_WORDS) -> DataFrame:
-    """Length-1 TF-IDF vectors (item_id, text) -> (id, terms, vals) with idf = ln((1+N)/(1+df)) + 1."""
+    """Length-1 TF-IDF vectors (item_id, text) -> (id, numbered terms, vals) with idf = ln((1+N)/(1+df)) + 1."""
     spark = texts.sparkSession
     stops = spark.createDataFrame([(w,) for w in stop_words], "term string")
     counts = (
@@ -126,9 +127,11 @@ def tfidf_vectors(texts: DataFrame, *, stop_words: Sequence[str] = ENGLISH_STOP_
     )
     counts = materialize(counts)
     size = texts.agg(F.count(F.lit(1)).alias("n")).withColumn("one", F.lit(0))
-    idf = counts.groupBy("term").agg(F.count(F.lit(1)).alias("df")).withColumn("one", F.lit(0)).join(
-        F.broadcast(size), "one").select("term", (F.ln((1 + F.col("n")) / (1 + F.col("df"))) + 1).alias("idf"))
-    weighted = counts.join(idf, "term").select("id", "term", (F.col("tf") * F.col("idf")).alias("w"))
+    # terms are numbered on the way: numbers travel and compare faster than words
+    idf = materialize(counts.groupBy("term").agg(F.count(F.lit(1)).alias("df")).withColumn("one", F.lit(0)).join(
+        F.broadcast(size), "one").select("term", F.monotonically_increasing_id().alias("number"),
+                                         (F.ln((1 + F.col("n")) / (1 + F.col("df"))) + 1).alias("idf")))
+    weighted = counts.join(idf, "term").select("id", F.col("number").alias("term"), (F.col("tf") * F.col("idf")).alias("w"))
     packed = tiles.pack(weighted, "id", "term", "w")
     return packed.select("id", "terms", unit(F.col("vals")).alias("vals"))
 

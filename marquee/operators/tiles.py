@@ -1,31 +1,46 @@
-"""Exact top-k matching of two sets of sparse or dense vectors.
-
-A join on the shared term would emit every pair of rows inside each term group,
-which is quadratic for a term that a third of the rows carry.  Here Spark cuts
-both sides into hash chunks, forms the grid of (left chunk, right chunk) tiles
-by one shuffle per side, and each tile is scored by array arithmetic; only the
-best ``k`` matches per left row leave a tile.  Nothing is sampled or capped: the
-union of the tile winners contains the global winners, and ties break by id.
-
-Chunk counts follow the measured number of entries, so a tile stays within a
-task's memory however large the tables are.  Rows with very many entries are
-rejected here (``MAX_ROW_ENTRIES``); callers send those through a plain join.
+"""Exact matching of two sets of sparse or dense vectors, best k or all.
+
+A join on the shared term would emit every pair of rows inside each term group, which is
+quadratic for a term that a third of the rows carry.  Here both sides are cut into chunks,
+a tile is a left chunk with a right chunk, and each tile is scored by array arithmetic; only
+matches leave it, of the best k per row only those.  Nothing is sampled or capped: the union
+of the tile winners contains the global winners, and ties break by id.
+
+Which rows go to which tiles follows from the data (``blocks``): alike rows share chunks, and a
+row travels only to chunks that hold enough of its terms.  Where the best k are wanted, a
+row first meets the chunk with the highest upper bound; its k-th score there is a floor, and
+it goes on only to chunks whose bound reaches the floor.  Small tables, and tables in
+which every row can match in every chunk, skip the index: each row goes to all chunks of
+the other side, by one shuffle a side.
+
+Chunk counts follow the measured number of entries, so a tile stays within a task's memory
+however large the tables are.  Ids with more than ``MAX_ROW_ENTRIES`` entries are not packed
+into a row; ``match_long`` takes them through a join on the term, which is linear in what
+their partners hold.
 """
 
 from __future__ import annotations
 
 import math
-from collections.abc import Callable, Iterator
+from collections.abc import Callable
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
+from marquee.operators import blocks
+from marquee.operators.blocks import flat as _flat, ranges as _ranges, slices as _cuts
+from marquee.session import materialize
+
 ENTRIES_PER_CHUNK = 4_000_000
 ROWS_PER_CHUNK = 50_000
 MAX_ROW_ENTRIES = 1_000_000
 MAX_PARTITIONS = 20_000
-_CELLS = 4_000_000
+_CELLS = blocks.CELLS
+#: Right rows of a chunk where bounds can skip chunks, and chunks from which on that pays.
+BOUNDED_ROWS, BOUNDED_CHUNKS, BOUNDED_FROM = 512, 32, 4
+#: Rows sent to the tiles of a plain grid from which on rows are routed by their terms.
+ROUTED_FROM = 2_000_000
 
 OUTPUT = T.StructType([
     T.StructField("left_id", T.LongType()),
@@ -40,34 +55,19 @@ def micro(score: Column) -> Column:
     return F.floor(score * 1e6 + 0.5)
 
 
-def grid_side(df: DataFrame, entries: Column, parallelism: int) -> int:
-    """Number of hash chunks for one side, from its measured size."""
-    rows, total = df.agg(F.count(F.lit(1)), F.coalesce(F.sum(entries), F.lit(0))).first()
-    by_size = max(math.ceil(total / ENTRIES_PER_CHUNK), math.ceil(rows / ROWS_PER_CHUNK), 1)
-    return max(by_size, min(math.ceil(math.sqrt(2 * parallelism)), max(rows // 64, 1)))
-
-
-def _ranges(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
-    """Concatenation of ``arange(start, start + length)`` for each pair."""
-    total = int(lengths.sum())
-    shift = np.repeat(starts - np.concatenate(([0], np.cumsum(lengths)[:-1])), lengths)
-    return np.arange(total) + shift
+def measured(df: DataFrame) -> tuple[int, int]:
+    """Rows and entries."""
+    return tuple(df.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.size("vals")), F.lit(0))).first())
 
 
-def _flat(column: pd.Series) -> np.ndarray:
-    return np.concatenate([np.asarray(v) for v in column]) if len(column) else np.empty(0)
+def by_size(rows: int, entries: int) -> int:
+    """Chunks that a side needs for its size."""
+    return max(math.ceil(entries / ENTRIES_PER_CHUNK), math.ceil(rows / ROWS_PER_CHUNK), 1)
 
 
-def _cuts(cost: np.ndarray, limit: float) -> Iterator[tuple[int, int]]:
-    """Consecutive row ranges whose summed cost stays within ``limit`` (a single row may exceed it)."""
-    start, used = 0, 0.0
-    for i, c in enumerate(cost):
-        if i > start and used + c > limit:
-            yield start, i
-            start, used = i, 0.0
-        used += c
-    if start < len(cost):
-        yield start, len(cost)
+def grid_side(rows: int, entries: int, parallelism: int) -> int:
+    """Number of hash chunks for one side, from its measured size."""
+    return max(by_size(rows, entries), min(math.ceil(math.sqrt(2 * parallelism)), max(rows // 64, 1)))
 
 
 class _Postings:
@@ -113,7 +113,7 @@ def _pearson(cell, x, y, cells, min_common):
     return found[up], cov[up] / norm, n[up]
 
 
-def _best(rows, cols, score, n, ids, right_ids, k, with_ties):
+def best_cells(rows, cols, score, n, ids, right_ids, k, with_ties):
     """Best ``k[row]`` of the listed cells per row, as output columns."""
     key = np.floor(score * 1e6 + 0.5)
     order = np.lexsort((right_ids[cols], -key, rows))
@@ -130,7 +130,7 @@ def _best(rows, cols, score, n, ids, right_ids, k, with_ties):
                          "n_common": n.astype("int64")})
 
 
-def _cells_worth_ranking(score, valid, k):
+def cells_worth_ranking(score, valid, k):
     """Valid cells that can still be among the row's best ``k``: those at or above its k-th score."""
     if k is not None and score.shape[1] > int(k.max()):
         kth = int(k.max())
@@ -212,7 +212,7 @@ def _score_tile(left: pd.DataFrame, right: pd.DataFrame, kind: str, exclude_self
             found, score, n = _pearson(cell, x, y, (g1 - g0) * width, min_common)
             keep = ~np.isin(found, out_rows * width + out_cols)
             found, score, n = found[keep], score[keep], n[keep]
-            parts.append(_best(found // width, found % width, score, n, ids[g0:g1], right_ids, k, with_ties))
+            parts.append(best_cells(found // width, found % width, score, n, ids[g0:g1], right_ids, k, with_ties))
             continue
         if kind == "dense":
             score = left_matrix[lo:hi] @ right_matrix.T * weight + bias
@@ -221,30 +221,52 @@ def _score_tile(left: pd.DataFrame, right: pd.DataFrame, kind: str, exclude_self
             score = np.zeros((g1 - g0) * width)
             for r0, r1 in _cuts(cost[lo:hi], _CELLS):
                 e = slice(entry_at[lo + r0], entry_at[lo + r1])
-                if kind == "dot":
-                    cell, x, y = postings.expand(group[entry_row[e]] - g0, codes[e], values[e])
-                    score += np.bincount(cell, weights=x * y, minlength=len(score))
-                else:
-                    cell, _, _ = postings.expand(entry_row[e] - lo - r0, codes[e], values[e])
-                    shared = np.bincount(cell, minlength=(r1 - r0) * width).reshape(r1 - r0, width)
-                    united = lengths[lo + r0:lo + r1, None] + postings.row_sizes[None, :] - shared
-                    at = group[lo + r0:lo + r1] - g0
-                    first = np.unique(at, return_index=True)
-                    score.reshape(-1, width)[first[0]] += np.add.reduceat(shared / np.maximum(united, 1), first[1], axis=0)
+                cell, x, y = postings.expand(group[entry_row[e]] - g0, codes[e], values[e])
+                score += np.bincount(cell, weights=x * y, minlength=len(score))
             score = score.reshape(g1 - g0, width)
-            if kind == "jaccard":
-                score /= np.maximum(counted[g0:g1, None], 1)
             score *= weight
             if boost is not None:
                 a, b = np.searchsorted(boost[0], (g0, g1))
                 np.add.at(score, (boost[0][a:b] - g0, boost[1][a:b]), boost[2][a:b])
             valid = score > 0
         valid[out_rows, out_cols] = False
-        rows, cols = _cells_worth_ranking(score, valid, k)
-        parts.append(_best(rows, cols, score[rows, cols], np.zeros(len(rows)), ids[g0:g1], right_ids, k, with_ties))
+        rows, cols = cells_worth_ranking(score, valid, k)
+        parts.append(best_cells(rows, cols, score[rows, cols], np.zeros(len(rows)), ids[g0:g1], right_ids, k, with_ties))
     return pd.concat(parts, ignore_index=True) if parts else empty
 
 
+def run_tiles(lefts: DataFrame, rights: DataFrame, notes: DataFrame | None, run: Callable[[pd.DataFrame, pd.DataFrame], pd.DataFrame],
+           schema: T.StructType, tiles: int) -> DataFrame:
+    """Run ``run`` on the left and right rows of each ``tile``; ``notes`` are (id, tile, n: (r, b)) on single pairs."""
+    if notes is not None:
+        # One row per (tile, id), no longer than a right chunk: far fewer rows to hand over one by one.
+        packed = notes.groupBy("tile", "id").agg(F.collect_list("n").alias("n")).select(
+            "tile", "id", F.col("n.r").alias("x_right"), F.col("n.b").alias("x_boost"))
+        lefts = lefts.unionByName(packed, allowMissingColumns=True)
+    # The right columns are renamed so that matching a table with itself stays unambiguous.
+    rights = rights.select(*[F.col(c).alias(c if c == "tile" else f"r_{c}") for c in rights.columns])
+
+    def tile(left_rows: pd.DataFrame, right_rows: pd.DataFrame) -> pd.DataFrame:
+        return run(left_rows, right_rows.rename(columns=lambda c: c.removeprefix("r_")))
+
+    # Tile numbers serve as partition numbers, so tiles spread evenly; where a partition
+    # holds several, they are still scored one at a time.
+    tiles = min(tiles, MAX_PARTITIONS)
+    place = F.pmod("tile", F.lit(tiles)).cast("int")
+    return lefts.repartitionById(tiles, place).groupBy("tile").cogroup(
+        rights.repartitionById(tiles, place).groupBy("tile")).applyInPandas(tile, schema)
+
+
+def _marks(skip: DataFrame | None, boost: DataFrame | None) -> DataFrame | None:
+    """(id, right_id, n) of the pairs that may not match (NaN) or get an addition."""
+    notes = None
+    for pairs, value in ((skip, F.lit(float("nan"))), (boost, F.col("boost"))):
+        if pairs is not None:
+            rows = pairs.select("id", "right_id", F.struct(F.col("right_id").alias("r"), value.alias("b")).alias("n"))
+            notes = rows if notes is None else notes.unionByName(rows)
+    return notes
+
+
 def over_tiles(left: DataFrame, right: DataFrame, run: Callable[[pd.DataFrame, pd.DataFrame], pd.DataFrame],
                schema: T.StructType, *, skip: DataFrame | None = None, boost: DataFrame | None = None) -> DataFrame:
     """Run ``run(left rows, right rows)`` on every tile of the grid of hash chunks of ``id``.
@@ -253,8 +275,7 @@ def over_tiles(left: DataFrame, right: DataFrame, run: Callable[[pd.DataFrame, p
     the square grid keeps that replication at the root of the task count.
     """
     cores = left.sparkSession.sparkContext.defaultParallelism
-    size = F.size("vals")
-    n_left, n_right = grid_side(left, size, cores), grid_side(right, size, cores)
+    n_left, n_right = grid_side(*measured(left), cores), grid_side(*measured(right), cores)
 
     def chunk(column: str, n: int) -> Column:
         return F.pmod(F.xxhash64(column), F.lit(n).cast("bigint"))
@@ -262,35 +283,78 @@ def over_tiles(left: DataFrame, right: DataFrame, run: Callable[[pd.DataFrame, p
     lefts = left.select(
         "*", F.explode(F.sequence(F.lit(0), F.lit(n_right - 1))).alias("_other")
     ).withColumn("tile", chunk("id", n_left) * n_right + F.col("_other")).drop("_other")
-    notes = None
-    for pairs, value in ((skip, F.lit(float("nan"))), (boost, F.col("boost"))):
-        if pairs is not None:
-            routed = pairs.select(
-                "id", (chunk("id", n_left) * n_right + chunk("right_id", n_right)).alias("tile"),
-                F.struct(F.col("right_id").alias("r"), value.alias("b")).alias("n"))
-            notes = routed if notes is None else notes.unionByName(routed)
-    if notes is not None:
-        # One row per (tile, id), no longer than a right chunk: far fewer rows to hand over one by one.
-        packed = notes.groupBy("tile", "id").agg(F.collect_list("n").alias("n")).select(
-            "tile", "id", F.col("n.r").alias("x_right"), F.col("n.b").alias("x_boost"))
-        lefts = lefts.unionByName(packed, allowMissingColumns=True)
-    # The right columns are renamed so that matching a table with itself stays unambiguous.
     rights = right.select(
-        *[F.col(c).alias(f"r_{c}") for c in right.columns],
-        F.explode(F.sequence(F.lit(0), F.lit(n_left - 1))).alias("_other")
-    ).withColumn("tile", F.col("_other") * n_right + chunk("r_id", n_right)).drop("_other")
-
-    def tile(left_rows: pd.DataFrame, right_rows: pd.DataFrame) -> pd.DataFrame:
-        return run(left_rows, right_rows.rename(columns=lambda c: c.removeprefix("r_")))
-
-    # Tile numbers serve as partition numbers, so tiles spread evenly; where a partition
-    # holds several, they are still scored one at a time.
-    tiles = min(n_left * n_right, MAX_PARTITIONS)
-    place = F.pmod("tile", F.lit(tiles)).cast("int")
-    return (
-        lefts.repartitionById(tiles, place).groupBy("tile")
-        .cogroup(rights.repartitionById(tiles, place).groupBy("tile")).applyInPandas(tile, schema)
-    )
+        "*", F.explode(F.sequence(F.lit(0), F.lit(n_left - 1))).alias("_other")
+    ).withColumn("tile", F.col("_other") * n_right + chunk("id", n_right)).drop("_other")
+    notes = _marks(skip, boost)
+    if notes is not None:
+        notes = notes.select("id", (chunk("id", n_left) * n_right + chunk("right_id", n_right)).alias("tile"), "n")
+    return run_tiles(lefts, rights, notes, run, schema, n_left * n_right)
+
+
+def _routed(left: DataFrame, right: DataFrame, run: Callable[[pd.DataFrame, pd.DataFrame], pd.DataFrame], *, kind: str,
+            min_common: int, best: bool, weight: float, skip: DataFrame | None, boost: DataFrame | None) -> DataFrame | None:
+    """Matches by tiles that can hold any; None where a plain grid is as good."""
+    cores, dense = left.sparkSession.sparkContext.defaultParallelism, kind == "dense"
+    size_left, size_right = measured(left), measured(right)
+    if not size_left[0] or not size_right[0]:
+        return None
+    n_left, n_right = by_size(*size_left), by_size(*size_right)
+    if best:
+        n_right = max(n_right, min(size_right[0] // BOUNDED_ROWS, BOUNDED_CHUNKS))
+        if n_right < BOUNDED_FROM:
+            return None
+    elif size_left[0] * n_right + size_right[0] * n_left < ROUTED_FROM:
+        return None
+    pivots = blocks.pivots_of(right, n_right, dense)
+    how = {"dense": dense, "by_value": kind == "dot", "entries_per_chunk": ENTRIES_PER_CHUNK}
+    rights, n_right = blocks.gather(right, pivots, rows_per_chunk=2 * math.ceil(size_right[0] / n_right), **how)
+    if n_left > 1:
+        lefts, n_left = blocks.gather(left, pivots[:n_left], rows_per_chunk=ROWS_PER_CHUNK, **how)
+    else:
+        lefts = materialize(left.withColumn("chunk", F.lit(0)))
+    if dense:
+        routed = blocks.route_dense(lefts, rights, n_right)
+    else:
+        index, own = materialize(blocks.summary(rights)), materialize(blocks.summary(lefts))
+        if not best and not blocks.rows_saved(own, index, size_left[0], n_right):
+            return None
+        routed = blocks.route(lefts, index, n_right, min_common=min_common, parts=math.ceil(2 * cores / n_left))
+        if n_left > 1:  # right rows, too, only go where they can match
+            back = blocks.route(rights, own, n_left, min_common=min_common, parts=math.ceil(2 * cores / n_right))
+            rights = back.drop("bounds")
+    columns = left.columns
+    notes = _marks(skip, boost)
+    if notes is not None:
+        at = notes.join(lefts.select("id", "chunk").distinct(), "id").join(
+            rights.select(F.col("id").alias("right_id"), F.col("chunk").alias("other")), "right_id")
+        notes = materialize(at.select("id", "chunk", "other", "n"))
+
+    def ship(rows: DataFrame) -> DataFrame:
+        """Tiles of left rows with the chunk (``other``) each of them goes to."""
+        rows = materialize(rows)
+        live = materialize(rows.select("chunk", "other").distinct())
+        tile = (F.col("chunk").cast("long") * n_right + F.col("other")).alias("tile")
+        mine = live.select(F.col("chunk").alias("_at"), F.col("other").alias("_chunk"))
+        theirs = rights.join(mine, F.col("chunk") == F.col("_chunk"))
+        if "others" in rights.columns:
+            theirs = theirs.filter(F.array_contains("others", F.col("_at")))
+        theirs = theirs.withColumn("tile", F.col("_at").cast("long") * n_right + F.col("chunk"))
+        own_notes = None if notes is None else notes.join(live, ["chunk", "other"], "left_semi").select("id", tile, "n")
+        return run_tiles(rows.select(*columns, tile), theirs.select(*right.columns, "tile"), own_notes, run, OUTPUT, max(1, min(2 * live.count(), n_left * n_right)))
+
+    if not best:
+        return ship(routed.select(*columns, "chunk", F.explode("others").alias("other")))
+    # the chunk that promises most first, then those that can still reach the k-th score found there
+    reach = F.transform(F.arrays_zip("bounds", "others"), lambda x: F.struct((x["bounds"] * weight).alias("bound"), x["others"].alias("other")))
+    reach = reach if dense else F.filter(reach, lambda x: x["bound"] > 0)
+    routed = routed.select(*columns, "chunk", reach.alias("reach")).withColumn("most", F.array_max("reach"))
+    first = materialize(ship(routed.filter("most is not null").select(*columns, "chunk", F.col("most.other").alias("other"))))
+    floors = first.groupBy(F.col("left_id").alias("id")).agg(F.count(F.lit(1)).alias("have"), F.min(micro(F.col("score"))).alias("floor"))
+    further = routed.join(floors, "id", "left").withColumn("floor", F.when(F.col("have") >= F.col("k"), F.col("floor")))
+    open_ = F.filter("reach", lambda x: (x["other"] != F.col("most.other")) & (F.col("floor").isNull() | (micro(x["bound"]) + 1 >= F.col("floor"))))
+    second = ship(further.select(*columns, "chunk", F.explode(open_).alias("to")).select(*columns, "chunk", F.col("to.other").alias("other")))
+    return first.unionByName(second)
 
 
 def match(left: DataFrame, right: DataFrame, *, kind: str, k: int | None = None, exclude_self: bool = False,
@@ -302,7 +366,6 @@ def match(left: DataFrame, right: DataFrame, *, kind: str, k: int | None = None,
     ``vals`` as coordinates and needs no ``terms``.  Kinds:
 
     * ``dot``      sum of products over shared terms
-    * ``jaccard``  shared / united term count, averaged over the left rows of an id
     * ``pearson``  correlation over the shared terms (at least ``min_common``, positive only)
     * ``dense``    dot product plus the right side's optional ``bias``
 
@@ -318,7 +381,12 @@ def match(left: DataFrame, right: DataFrame, *, kind: str, k: int | None = None,
     def run(left_rows: pd.DataFrame, right_rows: pd.DataFrame) -> pd.DataFrame:
         return _score_tile(left_rows, right_rows, kind, exclude_self, with_ties, min_common, weight)
 
-    scored = over_tiles(left, right, run, OUTPUT, skip=skip, boost=boost)
+    scored = None
+    if boost is None:  # an addition can lift a pair that shares nothing
+        scored = _routed(left, right, run, kind=kind, min_common=min_common if kind == "pearson" else 1,
+                         best="k" in left.columns and kind != "pearson", weight=weight, skip=skip, boost=boost)
+    if scored is None:
+        scored = over_tiles(left, right, run, OUTPUT, skip=skip, boost=boost)
     if k is None and "k" not in left.columns:
         return scored
     keyed = scored.withColumn("micro", micro(F.col("score")))

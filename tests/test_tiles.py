@@ -4,15 +4,25 @@ import math
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
-from marquee.operators import recommend as rec, similarity as sim, tiles
+from marquee.operators import blocks, overlap, recommend as rec, similarity as sim, tiles
 
 
-@pytest.fixture(params=[False, True])
+@pytest.fixture(params=["plain", "small", "routed"])
 def small_chunks(request, monkeypatch):
-    if request.param:
+    """Everything in few chunks, in many, and in many that rows reach by their terms and bounds only."""
+    if request.param != "plain":
         monkeypatch.setattr(tiles, "ENTRIES_PER_CHUNK", 60)
         monkeypatch.setattr(tiles, "ROWS_PER_CHUNK", 7)
+        monkeypatch.setattr(overlap, "ROWS", 7)
+        monkeypatch.setattr(overlap, "USER_SETS", 3)
+        monkeypatch.setattr(overlap, "BLOCK", 4)
+    if request.param == "routed":
+        monkeypatch.setattr(tiles, "ROUTED_FROM", 0)
+        monkeypatch.setattr(tiles, "BOUNDED_ROWS", 3)
+        monkeypatch.setattr(blocks, "rows_saved", lambda *_: True)
+        monkeypatch.setattr(blocks, "CELLS", 50)
     return request.param
 
 
@@ -96,6 +106,10 @@ def items_frame(spark, n=40, seed=2):
     return rows, spark.createDataFrame(rows, "item_id long, title string, types string, directors string, country string, summary string")
 
 
+def tokens_of(row):
+    return {x.lower() for x in row[2].split("/")} | {row[3], row[4]} | set(row[5].split())
+
+
 def tags_of(row):
     return {"t:" + x for x in row[2].split("/")} | {"d:" + row[3], "c:" + row[4]}
 
@@ -115,9 +129,7 @@ def test_similar_items_with_many_copies(spark, small_chunks):
 
 
 def brute_content(rows, ratings, n, jaccard):
-    def tokens(r):
-        return {x.lower() for x in r[2].split("/")} | {r[3], r[4]} | {w for w in r[5].split()[:12]}
-
+    tokens = tokens_of
     out = {}
     for u, mine in by_user(ratings).items():
         likes = [rows[i] for i, s in mine.items() if s >= 80]
@@ -149,15 +161,108 @@ def test_content_rec_opens_tag_sets_exactly(spark, small_chunks):
     assert lists(rec.content_rec(frame(spark, ratings), items, n=5)) == brute_content(rows, ratings, 5, False)
 
 
-@pytest.mark.parametrize("max_likes", [20_000, 2])
-def test_content_rec_jaccard(spark, small_chunks, max_likes):
+def test_content_rec_jaccard(spark, small_chunks):
     rows, items = items_frame(spark)
     ratings = ratings_of(n_items=38, seed=6)
-    got = lists(rec.content_rec_jaccard(frame(spark, ratings), items, n=5, max_likes=max_likes))
-    assert got == brute_content(rows, ratings, 5, True)
+    assert lists(rec.content_rec_jaccard(frame(spark, ratings), items, n=5)) == brute_content(rows, ratings, 5, True)
+
+
+def test_item_jaccard(spark, small_chunks):
+    rows, items = items_frame(spark)
+    got = {}
+    for r in sim.item_jaccard(items, n=4).orderBy("item_a", "rank").collect():
+        got.setdefault(r.item_a, []).append(r.item_b)
+    for a in rows:
+        scored = [(-math.floor(len(tokens_of(a) & tokens_of(b)) / len(tokens_of(a) | tokens_of(b)) * 1e6 + 0.5), b[0])
+                  for b in rows if b[0] != a[0] and tokens_of(a) & tokens_of(b)]
+        assert got[a[0]] == [i for _, i in sorted(scored)[:4]]
+
+
+def test_hybrid_scores_boosted_items_one_by_one(spark, small_chunks):
+    rows, items = items_frame(spark)
+    rows.append((99, "bare", None, None, None, None))
+    items = items.unionByName(spark.createDataFrame([rows[-1]], items.schema))
+    ratings = ratings_of(n_items=38, seed=7)
+    rng = random.Random(1)
+    boost = {(u, i): rng.random() * 9 for u in range(30) for i in rng.sample(range(40), 6)} | {(0, 99): 3.0, (77, 5): 1.0}
+    cf = spark.createDataFrame([(u, i, s) for (u, i), s in boost.items()], "user_id long, item_id long, score double")
+    got = lists(rec.jaccard_cf_hybrid(frame(spark, ratings), items, cf, n=4))
+    users = by_user(ratings)
+    for u in {*users, 77}:
+        likes = [tokens_of(rows[i]) for i, s in users.get(u, {}).items() if s >= 80]
+        scored = []
+        for b in rows:
+            own = set() if b[0] == 99 else tokens_of(b)
+            mean = sum(len(a & own) / len(a | own) for a in likes) / len(likes) if likes else 0
+            total = 0.45 * mean + 0.55 * boost.get((u, b[0]), 0)
+            if total > 0 and b[0] not in users.get(u, {}):
+                scored.append((-math.floor(total * 1e6 + 0.5), b[0]))
+        assert got.get(u, []) == [i for _, i in sorted(scored)[:4]]
+
+
+def chunked(spark, rows, chunk):
+    return spark.createDataFrame([(i, t, [1.0] * len(t), chunk(i)) for i, t in rows], "id long, terms array<long>, vals array<double>, chunk int")
+
+
+def test_block_diagonal_rows_travel_to_their_own_block_only(spark):
+    rng = random.Random(3)
+    # nine blocks of rows that share no term with each other, dealt to chunks by pivots
+    rows = [(100 * b + r, [1000 * b + t for t in rng.sample(range(20), 8)]) for b in range(9) for r in range(40)]
+    table = spark.createDataFrame([(i, t, [1.0] * len(t)) for i, t in rows], "id long, terms array<long>, vals array<double>")
+    gathered, n = blocks.gather(table, blocks.pivots_of(table, 64, False), dense=False, by_value=False, rows_per_chunk=40, entries_per_chunk=10**6)
+    held = {}
+    for r in gathered.collect():
+        held.setdefault(r.chunk, set()).add(r.id // 100)
+    routed = blocks.route(gathered, blocks.summary(gathered), n, min_common=1, parts=2).collect()
+    assert len(routed) == len(rows) and len(held) == n
+    for r in routed:
+        # to every chunk with a row of its block, and to no other
+        assert set(r.others) == {c for c, of in held.items() if r.id // 100 in of}
+    assert sum(len(r.others) for r in routed) < len(rows) * n / 4
+
+
+def test_routes_ask_for_enough_common_terms_and_bounds_hold(spark):
+    rng = random.Random(5)
+    left = [(i, rng.sample(range(60), rng.randint(0, 9))) for i in range(80)]
+    rows = chunked(spark, left, lambda i: i % 7).withColumn("vals", F.transform("terms", lambda t: (t % 5 - 2).cast("double")))
+    for need in (1, 2):
+        for r in blocks.route(rows, blocks.summary(rows), 7, min_common=need, parts=3).collect():
+            want = {}
+            for i, t in left:
+                want.setdefault(i % 7, []).append(t)
+            reach = {c for c, lists_ in want.items() if len(set(r.terms) & {x for t in lists_ for x in t}) >= need}
+            assert set(r.others) == reach
+            for c, bound in zip(r.others, r.bounds):
+                most = max(sum((t % 5 - 2) ** 2 for t in set(r.terms) & set(o)) for o in want[c])
+                assert bound >= most
+
+
+@pytest.mark.parametrize("n", [1, 3])
+def test_dense_bounds_skip_chunks_and_lose_nothing(spark, monkeypatch, n):
+    monkeypatch.setattr(tiles, "BOUNDED_ROWS", 10)
+    rng = random.Random(n)
+    centres = [[rng.gauss(0, 1) for _ in range(8)] for _ in range(6)]
+    vectors = [[x + rng.gauss(0, .05) for x in centres[i % 6]] for i in range(120)]
+    table = spark.createDataFrame([(i, v) for i, v in enumerate(vectors)], "id long, vals array<double>")
+    right = table.withColumn("bias", F.col("id") % 3 / 100)
+    scored = {}
+
+    def spy(lefts, rights, *rest):
+        scored["tiles"] = scored.get("tiles", 0) + lefts.select("tile").distinct().count()
+        return run(lefts, rights, *rest)
+
+    run = tiles.run_tiles
+    monkeypatch.setattr(tiles, "run_tiles", spy)
+    got = {}
+    for r in tiles.match(table, right, kind="dense", k=n, exclude_self=True).orderBy("left_id", "rank").collect():
+        got.setdefault(r.left_id, []).append(r.right_id)
+    for i, a in enumerate(vectors):
+        scores = [(-math.floor((sum(x * y for x, y in zip(a, b)) + j % 3 / 100) * 1e6 + .5), j) for j, b in enumerate(vectors) if j != i]
+        assert got[i] == [j for _, j in sorted(scores)[:n]]
+    assert scored["tiles"] < 12 / 2 + 12  # chunks that bounds leave open, over both rounds
 
 
-@pytest.mark.parametrize("neighbours", [2, 5, 1000])
+@pytest.mark.parametrize("neighbours", [1, 3, 1000])
 def test_cf_nearest_is_exact_for_any_first_round(spark, neighbours):
     ratings = ratings_of(n_users=40, n_items=60, seed=8)
     users = by_user(ratings)
