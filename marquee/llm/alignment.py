@@ -1,9 +1,9 @@
 """Alignment of two tokenizers' tokens on the bytes of a text.
 
 Both token sequences of a text cut the same bytes.  The cumulative ends of each
-go to a dictionary from end to index; the ends both share, the intersection of
-the two sets of keys in order, slice both id lists into groups that cover the
-same bytes.  Within a slice a link joins two tokens whose byte ranges overlap:
+go to a dictionary from end to index (a table in which an end is its own hash);
+the ends both share, the intersection of the two sets of keys in order, slice
+both id lists into groups that cover the same bytes.  Within a slice a link joins two tokens whose byte ranges overlap:
 every stretch between neighbouring ends of either side lies in exactly one token
 of each, so a slice has as many links as it has different ends.
 
@@ -27,8 +27,7 @@ from __future__ import annotations
 import hashlib
 import json
 from collections.abc import Iterator, Sequence
-from functools import cache
-from itertools import accumulate
+from functools import cache, partial
 
 import numpy as np
 import pyarrow as pa
@@ -46,19 +45,22 @@ FREQUENT = 1 << 19
 #: Characters tokenised together, and pairs a task sums before it hands them on.
 CHUNK, PAIRS = 500_000, 2_000_000
 ID_BITS = 32
+NONE = np.zeros(0, np.int64)
 
 
 class Side:
     """One tokenizer: token ids of texts and the bytes of each id."""
 
     raw: list[bytes]
+    #: whether the tokens of any text give back its bytes
+    lossless = False
 
     def __init__(self):
         self.size = np.fromiter(map(len, self.raw), np.int64, len(self.raw))
         #: decimal ids followed by each separator
         self.text = {mark: np.array([f"{i}{mark}" for i in range(len(self.raw))], object) for mark in ",|;"}
 
-    def encode(self, texts: list[str]) -> list[list[int]]:
+    def encode(self, texts: list[str]) -> Sequence[Sequence[int]]:
         raise NotImplementedError
 
 
@@ -74,9 +76,10 @@ class ByteLevel(Side):
         self.raw = [token.get(i, b"") for i in range(max([*vocab.values(), *added.values()]) + 1)]
         merged = [vocab["".join(m.split(" ") if isinstance(m, str) else m)] for m in spec["model"]["merges"]]
         # merges in the order of their ids are ranks by id, which the faster library takes
-        if merged == sorted(merged) and len(merged) + 256 == len(token):
+        if merged == sorted(merged) and len(merged) + 256 == len(token) and not spec.get("normalizer"):
             ranks = tiktoken.Encoding("ranks", pat_str=PATTERN, mergeable_ranks={b: i for i, b in token.items()}, special_tokens={})
-            self.one = ranks.encode_ordinary
+            self.one = partial(ranks.encode_to_numpy, disallowed_special=())
+            self.lossless = True  # every byte is a token, and nothing is normalised
         else:
             own = Tokenizer.from_file(path)
             own.encode_special_tokens = True
@@ -85,7 +88,7 @@ class ByteLevel(Side):
             self.one = lambda text: own.encode(text, add_special_tokens=False).ids
         super().__init__()
 
-    def encode(self, texts: list[str]) -> list[list[int]]:
+    def encode(self, texts: list[str]) -> Sequence[Sequence[int]]:
         return [self.one(" " + t) for t in texts]
 
 
@@ -99,7 +102,7 @@ class Pieces(Side):
                     for i, p in enumerate(self.own.id_to_piece(list(range(n))))]
         super().__init__()
 
-    def encode(self, texts: list[str]) -> list[list[int]]:
+    def encode(self, texts: list[str]) -> Sequence[Sequence[int]]:
         return self.own.encode(texts, num_threads=1)
 
 
@@ -109,40 +112,55 @@ def side(path: str) -> Side:
     return Pieces(path) if path.endswith(".model") else ByteLevel(path)
 
 
-def common_ends(ends_a: Sequence[int], ends_b: Sequence[int]) -> tuple[np.ndarray, np.ndarray]:
-    """Index of the last token of each group, in A and in B."""
-    at_a, at_b = dict(zip(ends_a, range(len(ends_a)))), dict(zip(ends_b, range(len(ends_b))))
-    shared = sorted(at_a.keys() & at_b.keys())
-    return (np.fromiter(map(at_a.__getitem__, shared), np.int64, len(shared)),
-            np.fromiter(map(at_b.__getitem__, shared), np.int64, len(shared)))
+def end_table(ends: np.ndarray, size: int) -> np.ndarray:
+    """Dictionary from end to index of the token, as a table with the end itself as its place; -1 where none ends."""
+    table = np.full(size + 1, -1, np.int32)
+    table[ends] = np.arange(len(ends), dtype=np.int32)
+    return table
 
 
-def links_of(ends_a: np.ndarray, ends_b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(index in A, index in B) of each link; groups never mix, since their last ends are common."""
-    ends = np.union1d(ends_a, ends_b)
-    return np.searchsorted(ends_a, ends), np.searchsorted(ends_b, ends)
-
-
-def groups_text(a: np.ndarray, b: np.ndarray, last_a: np.ndarray, last_b: np.ndarray, one: Side, two: Side) -> str:
-    """``a1,a2|b1;a3|b2,b3``."""
+def groups_text(a: np.ndarray, b: np.ndarray, last_a: np.ndarray, last_b: np.ndarray, one: Side, two: Side) -> list[str]:
+    """``a1,a2|`` and ``b1;`` pieces of all groups, those of A before those of B in each."""
     words_a, words_b = one.text[","][a], two.text[","][b]
     words_a[last_a], words_b[last_b] = one.text["|"][a[last_a]], two.text[";"][b[last_b]]
-    group_a = np.searchsorted(last_a, np.arange(len(a)))
-    group_b = np.searchsorted(last_b, np.arange(len(b)))
-    order = np.argsort(np.concatenate([2 * group_a, 2 * group_b + 1]), kind="stable")
-    return "".join(np.concatenate([words_a, words_b])[order].tolist())[:-1]
-
-
-def align(text: str, a: list[int], b: list[int], one: Side, two: Side) -> tuple | None:
-    """(ids of A, ids of B, last of each group in A, in B, linked index in A, in B); None unless both give the text back."""
-    want = (" " + text).encode("utf-8", "surrogatepass")
-    if b"".join(map(one.raw.__getitem__, a)) != want or b"".join(map(two.raw.__getitem__, b)) != want:
-        return None
-    a, b = np.asarray(a, np.int64), np.asarray(b, np.int64)
-    ends_a, ends_b = one.size[a].tolist(), two.size[b].tolist()
-    ends_a, ends_b = list(accumulate(ends_a)), list(accumulate(ends_b))
-    last_a, last_b = common_ends(ends_a, ends_b)
-    return a, b, last_a, last_b, *links_of(np.asarray(ends_a), np.asarray(ends_b))
+    many_a, many_b = np.diff(last_a, prepend=-1), np.diff(last_b, prepend=-1)
+    out = np.empty(len(a) + len(b), object)
+    out[np.arange(len(a)) + np.repeat(last_b + 1 - many_b, many_a)] = words_a  # behind the tokens of B in earlier groups
+    out[np.arange(len(b)) + np.repeat(last_a + 1, many_b)] = words_b
+    return out.tolist()
+
+
+def align(texts: list[str], one: Side, two: Side) -> Iterator[tuple]:
+    """(n_a, n_b, n_groups, n_links, digest, distinct pairs, times) of each text; zeros unless both sides give it back.
+
+    Texts are laid end to end: both sides cover the same bytes, so every text's end is a common one and texts don't mix.
+    """
+    found = []
+    for text, a, b in zip(texts, one.encode(texts), two.encode(texts)):
+        raw = (" " + text).encode("utf-8", "surrogatepass")
+        whole = text and (one.lossless or b"".join(map(one.raw.__getitem__, a)) == raw) and b"".join(map(two.raw.__getitem__, b)) == raw
+        found.append((len(raw), np.asarray(a, np.int64), np.asarray(b, np.int64)) if whole else (0, NONE, NONE))
+    a, b = (np.concatenate([NONE, *[f[k] for f in found]]) for k in (1, 2))
+    size = sum(f[0] for f in found)
+    at_a, at_b = end_table(np.cumsum(one.size[a]), size), end_table(np.cumsum(two.size[b]), size)
+    ends_a, ends_b = at_a >= 0, at_b >= 0
+    shared = np.flatnonzero(ends_a & ends_b)  # the intersection of both sets of ends, in order
+    last_a, last_b = at_a[shared], at_b[shared]
+    words = groups_text(a, b, last_a, last_b, one, two)
+    ends = np.flatnonzero(ends_a | ends_b)  # a link for each end of either side: tokens that end there or reach beyond
+    pairs = a[(np.cumsum(ends_a) - ends_a)[ends]] << ID_BITS | b[(np.cumsum(ends_b) - ends_b)[ends]]
+    stop = np.cumsum([f[0] for f in found])
+    groups, links = (np.concatenate([[0], np.searchsorted(x, stop, "right")]) for x in (shared, ends))
+    at = 0
+    for k, (length, own_a, own_b) in enumerate(found):
+        if not length:
+            yield 0, 0, 0, 0, "", NONE, NONE
+            continue
+        n = len(own_a) + len(own_b)
+        digest = hashlib.sha256("".join(words[at: at + n])[:-1].encode()).hexdigest()
+        at += n
+        pair, times = np.unique(pairs[links[k]: links[k + 1]], return_counts=True)
+        yield len(own_a), len(own_b), int(groups[k + 1] - groups[k]), int(links[k + 1] - links[k]), digest, pair, times
 
 
 def _parts(texts: Sequence[str | None]) -> Iterator[list[str]]:
@@ -176,22 +194,8 @@ def aligned(docs: DataFrame, *, path_a: str, path_b: str, text: str = "text", do
         for batch in batches:
             ids, at = batch.column(0), 0
             for part in _parts(batch.column(1).to_pylist()):
-                rows, pairs, times = [], [], []
-                filled = [t for t in part if t]
-                found = iter(zip(one.encode(filled), two.encode(filled)))
-                for t in part:
-                    got = align(t, *next(found), one, two) if t else None
-                    if got is None:
-                        rows.append((0, 0, 0, 0, ""))
-                        pairs.append(np.zeros(0, np.int64))
-                        times.append(np.zeros(0, np.int64))
-                        continue
-                    a, b, last_a, last_b, link_a, link_b = got
-                    pair, n = np.unique(a[link_a] << ID_BITS | b[link_b], return_counts=True)
-                    rows.append((len(a), len(b), len(last_a), len(link_a), hashlib.sha256(groups_text(a, b, last_a, last_b, one, two).encode()).hexdigest()))
-                    pairs.append(pair)
-                    times.append(n)
-                n_a, n_b, n_groups, n_links, digest = zip(*rows)
+                *columns, pairs, times = zip(*align(part, one, two))
+                n_a, n_b, n_groups, n_links, digest = columns
                 numbers = pa.array(np.arange(row, row + len(part)))
                 yield pa.RecordBatch.from_arrays(
                     [numbers, ids.slice(at, len(part)), *[pa.array(c, pa.int64()) for c in (n_a, n_b, n_groups, n_links)], pa.array(digest, pa.string()),
