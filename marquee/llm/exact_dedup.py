@@ -11,14 +11,14 @@ The hash of level three is SHA-256 of the normalised text in UTF-8.
 
 Defined results: a null text counts as empty; a null id sorts behind all others
 and is kept only if a group has no other; of rows that repeat id and text one is
-kept; further columns are not looked at; an empty table gives no rows.
+kept; further columns, whatever their names, are not looked at; an empty table gives no rows.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from marquee.llm.staging import staged
+from marquee.llm.staging import free_name, staged
 
 #: Characters that the second level hashes.
 PREFIX = 64
@@ -36,8 +36,11 @@ def full_hash(text: Column) -> Column:
     return F.sha2(F.encode(text, "UTF-8"), 256)
 
 
-def exact_groups(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """One row per document: doc_id, keep_id, group_size, kept and, for members of groups, text_sha256."""
+def exact_groups(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", all_digests: bool = False) -> DataFrame:
+    """One row per document: doc_id, keep_id, group_size, kept and text_sha256, of single rows only with ``all_digests``.
+
+    The digest of a single row is taken where its text is read, so rows never have to be found again by their id.
+    """
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), normalised(F.col(text)).alias("_text")).select(
         "doc_id", "_text", F.length("_text").alias("_length"), F.xxhash64(F.substring("_text", 1, PREFIX)).alias("_prefix"))
     # levels one and two look at the narrow columns only
@@ -48,13 +51,14 @@ def exact_groups(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text")
     # level three: whole texts of what survived; no text is moved while the surviving groups fit in memory everywhere
     heads = F.broadcast(heads) if heads.count() <= BROADCAST_ROWS else heads.hint("shuffle_hash")
     hashed = staged(rows.join(heads, ["_length", "_prefix"], "left").select(
-        "doc_id", F.when(F.col("_open"), full_hash(F.col("_text"))).alias("text_sha256")), "hashed")
-    single = hashed.filter("text_sha256 is null").select(
+        "doc_id", F.coalesce("_open", F.lit(False)).alias("open"),
+        (full_hash(F.col("_text")) if all_digests else F.when(F.col("_open"), full_hash(F.col("_text")))).alias("text_sha256")), "hashed")
+    single = hashed.filter("not open").select(
         "doc_id", F.col("doc_id").alias("keep_id"), F.lit(1).cast("long").alias("group_size"),
         F.lit(True).alias("kept"), "text_sha256")
     # rows that repeat id and text are one row with a count until the end
     # both sides of the join below are written first, so that it reads two plain shuffles and a hot text can be split
-    members = staged(hashed.filter("text_sha256 is not null").groupBy("text_sha256", "doc_id").agg(F.count(F.lit(1)).alias("_times")), "members")
+    members = staged(hashed.filter("open").groupBy("text_sha256", "doc_id").agg(F.count(F.lit(1)).alias("_times")), "members")
     groups = staged(members.groupBy("text_sha256").agg(F.min("doc_id").alias("keep_id"), F.sum("_times").alias("group_size")), "groups")
     opened = members.join(groups.hint("shuffle_hash"), "text_sha256").select(
         "doc_id", "keep_id", "group_size", "text_sha256", F.posexplode(F.array_repeat(F.lit(0), F.col("_times").cast("int"))).alias("_copy", "_"))
@@ -66,14 +70,14 @@ def exact_groups(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text")
 def drop_exact_copies(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """``docs`` without the copies: of equal texts the row with the smallest id stays, and one of rows that repeat it."""
     found = staged(exact_groups(docs, doc_id=doc_id, text=text), "exact-groups")
-    repeated = found.groupBy("doc_id").agg(F.count(F.lit(1)).alias("_times")).filter("_times > 1").select(F.col("doc_id").alias("_many"))
-    same = F.col(doc_id).eqNullSafe(F.col("_many"))
-    going = found.filter("not kept").select(F.col("doc_id").alias("_gone"), F.col("text_sha256").alias("_gone_text"))
-    plain = docs.join(repeated, same, "left_anti").join(going.select("_gone"), F.col(doc_id).eqNullSafe(F.col("_gone")), "left_anti")
+    many, out, digest, own = (free_name(docs, n) for n in ("many", "gone", "gone_text", "own_text"))
+    key = F.col(f"`{doc_id}`")
+    repeated = found.groupBy("doc_id").agg(F.count(F.lit(1)).alias("_times")).filter("_times > 1").select(F.col("doc_id").alias(many))
+    going = found.filter("not kept").select(F.col("doc_id").alias(out), F.col("text_sha256").alias(digest))
+    plain = docs.join(repeated, key.eqNullSafe(F.col(many)), "left_anti").join(going.select(out), key.eqNullSafe(F.col(out)), "left_anti")
     # ids that several rows share tell no rows apart: these rows, if any, are told apart by id and text
-    stay = found.filter("kept").select("doc_id", F.col("text_sha256"))
-    lost = going.join(stay, F.col("_gone").eqNullSafe(F.col("doc_id")) & (F.col("_gone_text") == F.col("text_sha256")), "left_anti")
-    shared = docs.join(repeated, same, "left_semi").withColumn("_own_text", full_hash(normalised(F.col(text))))
-    shared = shared.dropDuplicates([doc_id, "_own_text"]).join(
-        lost, F.col(doc_id).eqNullSafe(F.col("_gone")) & (F.col("_own_text") == F.col("_gone_text")), "left_anti").drop("_own_text")
+    stay = found.filter("kept").select(F.col("doc_id").alias("_id"), F.col("text_sha256").alias("_sha"))
+    lost = going.join(stay, F.col(out).eqNullSafe(F.col("_id")) & (F.col(digest) == F.col("_sha")), "left_anti")
+    shared = docs.join(repeated, key.eqNullSafe(F.col(many)), "left_semi").withColumn(own, full_hash(normalised(F.col(f"`{text}`"))))
+    shared = shared.dropDuplicates([doc_id, own]).join(lost, key.eqNullSafe(F.col(out)) & (F.col(own) == F.col(digest)), "left_anti").drop(own)
     return plain.unionByName(shared)

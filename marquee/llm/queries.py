@@ -31,14 +31,9 @@ with t as (select doc_id, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+',
 select doc_id, min(doc_id) over (partition by s) as keep_id, count(*) over (partition by s) as group_size,
        doc_id = min(doc_id) over (partition by s) as kept, text_sha256 from h""")
 def op1(spark: SparkSession, folder: str) -> DataFrame:
-    from marquee.llm.exact_dedup import exact_groups, full_hash, normalised
+    from marquee.llm.exact_dedup import exact_groups
 
-    docs = table(spark, folder, "documents", "doc_id", "text")
-    groups = exact_groups(docs)
-    # single rows were never hashed in full; the contract wants their digest all the same
-    digests = docs.select(F.col("doc_id"), full_hash(normalised(F.col("text"))).alias("_digest"))
-    return groups.join(digests, "doc_id").select(
-        "doc_id", "keep_id", "group_size", "kept", F.coalesce("text_sha256", "_digest").alias("text_sha256"))
+    return exact_groups(table(spark, folder, "documents", "doc_id", "text"), all_digests=True)
 
 
 @query("op2_packing")
