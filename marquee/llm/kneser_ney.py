@@ -8,15 +8,14 @@ writes its bigrams as arrays sorted by hash, and sends what it knows about singl
 words (occurrences, distinct words before, discounts after) to word shards, which
 write the vocabulary the same way.  The driver sees a few sums per shard.
 
-Model.  Bigrams seen once are counted in every statistic but not stored: their whole
-mass goes to the lower order (a cut-off of two).  The lower order is the
+Model.  All bigrams are stored, those seen once too.  The lower order is the
 Kneser-Ney continuation distribution, interpolated with the uniform one over the
 vocabulary and one unknown word:
 
-    p(w | v) = (c(vw) - D(c(vw))) / c(v) + g(v) p(w),   g(v) = 1 - sum of (c - D) / c(v) over stored vw
+    p(w | v) = (c(vw) - D(c(vw))) / c(v) + g(v) p(w),   g(v) = (D(1) n1(v) + D(2) n2(v) + D(3) n3(v)) / c(v)
     p(w)     = (t(w) - E(t(w))) / T + e / (V + 1),      t(w): distinct words before w, T their sum
 
-with the three modified discounts of each order from the counts of counts.
+with n1, n2 and n3 the numbers of bigrams vw seen once, twice and more often, and the three modified discounts of each order from the counts of counts.
 
 Scoring.  Workers map the arrays and look all tokens of a batch up by sorted search.
 The mapped files must be reachable as files: the shared folder has to be a ``file:``
@@ -42,7 +41,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
 from marquee.llm import words as W
-from marquee.llm.staging import new_folder
+from marquee.llm.staging import free_name, new_folder
 
 #: Characters of training text for each shard.
 SHARD_CHARS = 16_000_000
@@ -50,8 +49,6 @@ SHARD_CHARS = 16_000_000
 BATCH_TOKENS = 2_000_000
 START = np.uint64(0x0123456789ABCDEF)
 END = np.uint64(0xFEDCBA9876543210)
-#: Bigrams seen less often are not stored.
-CUTOFF = 2
 
 
 def sequence(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -92,7 +89,7 @@ def grouped(keys: np.ndarray, *columns: np.ndarray) -> tuple[np.ndarray, ...]:
 
 
 PACKED_BIGRAMS = "shard int, before binary, run binary, word binary, count binary"
-PACKED_WORDS = "shard int, word binary, count binary, types binary, stored2 binary, stored3 binary, stored binary"
+PACKED_WORDS = "shard int, word binary, count binary, types binary, once binary, twice binary, more binary"
 
 
 def local_path(folder: str) -> str:
@@ -172,7 +169,7 @@ class Model:
             before, word, doc = sequence(data, offsets)
             n = len(offsets) - 1
             vocabulary, where = np.unique(np.concatenate([word, before]), return_inverse=True)
-            count, types, two, three, stored = self.find("word", ("count", "types", "two", "three", "stored"), vocabulary,
+            count, types, once, twice, more = self.find("word", ("count", "types", "once", "twice", "more"), vocabulary,
                                                          spread(vocabulary, self.shards))
             count[vocabulary == START] = self.texts
             w, v = where[: len(word)], where[len(word):]
@@ -181,14 +178,14 @@ class Model:
             e1, e2, e3 = self.word_discounts
             less = np.select([types == 0, types == 1, types == 2], [0.0, e1, e2], e3)
             lower = (types - less) / max(self.types, 1) + self.unknown_mass / (self.vocabulary + 1)
-            _, d2, d3 = self.bigram_discounts
-            gives = np.where(count > 0, 1 - (stored - d2 * two - d3 * three) / np.maximum(count, 1), 1.0)
+            d1, d2, d3 = self.bigram_discounts
+            gives = np.where(once + twice + more > 0, (d1 * once + d2 * twice + d3 * more) / np.maximum(count, 1), 1.0)
             keys, key_of = np.unique(bigram_hash(before, word), return_inverse=True)
             first = np.zeros(len(keys), np.int64)
             first[key_of] = np.arange(len(key_of))
             (pair,) = self.find("bigram", ("count",), keys, bigram_shard(before[first], word[first], self.shards))
             pair = pair[key_of]
-            seen = np.where(pair > 0, (pair - np.where(pair == 2, d2, d3)) / np.maximum(count[v], 1), 0.0)
+            seen = (pair - np.select([pair == 0, pair == 1, pair == 2], [0.0, d1, d2], d3)) / np.maximum(count[v], 1)
             score = np.log10(seen + gives[v] * lower[w])
             frames.append(pd.DataFrame({
                 "n_tokens": np.bincount(doc, minlength=n), "n_known": np.bincount(doc, count[w] > 0, n).astype(np.int64),
@@ -250,16 +247,11 @@ def train(docs: DataFrame, *, text: str = "text") -> Model:
         keys, before, word, times = keys[order], before[order], word[order], times[order]
         first = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
         keys, before, word, times = keys[first], before[first], word[first], np.add.reduceat(times, first)
-        kept = times >= CUTOFF
-        write_array(folder, f"bigram-key-{shard}", keys[kept])
-        write_array(folder, f"bigram-count-{shard}", times[kept].astype(np.uint32))
+        write_array(folder, f"bigram-key-{shard}", keys)
+        write_array(folder, f"bigram-count-{shard}", times.astype(np.uint32))
         ones = np.ones(len(word), np.int64)
-        zeros = np.zeros(kept.sum(), np.int64)
-        of_kept = times[kept]
-        parts = grouped(np.concatenate([word, before[kept]]),
-                        np.concatenate([times, zeros]), np.concatenate([ones, zeros]),
-                        np.concatenate([0 * ones, (of_kept == 2).astype(np.int64)]), np.concatenate([0 * ones, (of_kept > 2).astype(np.int64)]),
-                        np.concatenate([0 * ones, of_kept]))
+        parts = grouped(np.concatenate([word, before]), np.concatenate([times, 0 * ones]), np.concatenate([ones, 0 * ones]),
+                        *[np.concatenate([0 * ones, seen.astype(np.int64)]) for seen in (times == 1, times == 2, times > 2)])
         to = spread(parts[0], shards)
         bounds = np.searchsorted(to, np.arange(shards + 1))  # sorted by hash, so by shard too
         rows = [(int(s), *[c[bounds[s]: bounds[s + 1]].astype(k).tobytes() for c, k in zip(parts, KINDS)], None)
@@ -267,13 +259,13 @@ def train(docs: DataFrame, *, text: str = "text") -> Model:
         # the last row carries the counts of counts
         rows.append((-1, *[b""] * 6, [int((times == k).sum()) for k in range(1, 5)]))
         return pa.Table.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), (pa.int32(), *[pa.binary()] * 6, pa.list_(pa.int64())))],
-                                    names=["shard", "word", "count", "types", "stored2", "stored3", "stored", "sums"])
+                                    names=["shard", *NAMES, "sums"])
 
     def add_words(table: pa.Table) -> pa.Table:
         shard = table["shard"][0].as_py()
         columns = [unpack(table[n], k).astype(np.uint64 if n == "word" else np.int64) for n, k in zip(NAMES, KINDS)]
-        word, times, types, two, three, stored = grouped(*columns)
-        for name, values in (("key", word), ("count", times), ("types", types), ("two", two), ("three", three), ("stored", stored)):
+        word, times, types, *seen = grouped(*columns)
+        for name, values in zip(("key", *NAMES[1:]), (word, times, types, *seen)):
             write_array(folder, f"word-{name}-{shard}", values)
         real = types > 0  # the start of a text comes before words but is none
         return pa.table({"tokens": [int(times.sum())], "words": [int(real.sum())], "types": [int(types.sum())],
@@ -296,7 +288,7 @@ def train(docs: DataFrame, *, text: str = "text") -> Model:
                  discounts([int(sums[f"n{k}"] or 0) for k in range(1, 5)]), e, unknown)
 
 
-NAMES = ("word", "count", "types", "stored2", "stored3", "stored")
+NAMES = ("word", "count", "types", "once", "twice", "more")
 KINDS = (np.uint64, np.uint32, np.uint32, np.uint32, np.uint32, np.uint32)
 
 
@@ -309,9 +301,10 @@ def score(docs: DataFrame, model: Model, *, text: str = "text") -> DataFrame:
 
     names = ("n_tokens", "n_known", "train_tokens", "base_score", "score")
     kept = [F.col(f"`{c}`") for c in docs.columns if c not in names]
-    return docs.withColumn("_scored", score_of(F.col(text))).select(
-        *kept, "_scored.n_tokens", "_scored.n_known", F.lit(model.tokens).cast("long").alias("train_tokens"),
-        "_scored.base_score", "_scored.score")
+    scored = free_name(docs, "scored")
+    return docs.withColumn(scored, score_of(F.col(f"`{text}`"))).select(
+        *kept, f"{scored}.n_tokens", f"{scored}.n_known", F.lit(model.tokens).cast("long").alias("train_tokens"),
+        f"{scored}.base_score", f"{scored}.score")
 
 
 _models: dict[str, Model] = {}

@@ -8,14 +8,13 @@ window with ``c`` free places is open, inner nodes whether any below is, so the
 tightest fit is the leftmost open leaf at or right of the piece's length.
 
 Packing runs in groups of about ``GROUP_TOKENS`` tokens: pieces are dealt to
-groups by a hash of document and start, so no source, document or length can
+groups by a hash of document, start and row, so no source, document or length can
 make a group large, and a group's memory is bounded by its tokens.  Each group
 leaves about one window partly empty, so padding doesn't grow with the input.
 Only piece lengths are shuffled, never tokens.
 
 Defined results: a null text counts as empty and is the end token alone; rows
-with the same id are separate documents whose pieces carry the same id (a
-document's number within its task keeps them apart); a null id stays null;
+with the same id are separate documents whose pieces carry the same id; a null id stays null;
 other columns are not looked at; an empty table gives no rows.
 """
 
@@ -35,6 +34,7 @@ from pyspark.sql.types import LongType, StructField, StructType
 
 from marquee.llm.bpe import PUNCTUATION, Merges, fill, parts
 from marquee.llm.staging import staged
+from marquee.llm.words import release
 
 WINDOW = 4096
 #: Expected tokens of a group: 128 windows.
@@ -97,6 +97,10 @@ class WordTokenizer:
         for token, i in self.special.items():
             known[" " + token] = array("I", [i]).tobytes()
 
+    def forget(self) -> None:
+        """Drop the runs and words remembered; they cost time only."""
+        self.known, self.of_word = {}, {}
+
     def encode_bytes(self, texts: list[str]) -> Iterator[bytes]:
         """Ids of each text as little-endian unsigned 32-bit bytes."""
         for part in parts(texts):
@@ -188,6 +192,8 @@ def pieces(docs: DataFrame, *, path: str, end: int, window: int = WINDOW, text:
                     rows.append((i, start, len(part) // 4, zlib.crc32(part), tokens))
             columns = list(zip(*rows)) or [[]] * 5
             yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], names=PIECE.names)
+        own.forget()
+        release()
 
     return docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")).mapInArrow(cut, PIECE)
 
@@ -204,7 +210,8 @@ def pack_pieces(found: DataFrame, *, window: int = WINDOW, group_tokens: int = G
         number += rows["_group"][0].as_py() << 32
         return rows.select(PIECE.names).append_column("sequence_id", pa.array(number)).append_column("offset", pa.array(offset))
 
-    group = F.pmod(F.xxhash64("doc_id", "start", "ids_crc32"), F.lit(groups)).cast("long")
+    # a row number besides: pieces that repeat id, place and content don't gather in one group
+    group = F.pmod(F.xxhash64("doc_id", "start", "ids_crc32", F.monotonically_increasing_id() % 1024), F.lit(groups)).cast("long")
     return found.withColumn("_group", group).groupBy("_group").applyInArrow(place, PACKED)
 
 

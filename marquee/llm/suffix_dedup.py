@@ -17,8 +17,9 @@ strings have equal anchors, distances and cores, so only blocks whose core occur
 ``keep_first=True`` removes later copies and keeps the first in order of id and position; ``False`` removes every copy.
 
 Defined results: a null or empty text has no bytes; texts shorter than ``length`` lose nothing; rows that repeat id
-and text are copies of each other and, being equal to the last detail, share one fate (they keep the passage only if
-it is the first); a null id sorts first; other columns pass through untouched; an empty table gives no rows.
+and text are copies of each other, of which with ``keep_first`` any one counts as the first; a null id sorts first; rows
+are told apart by id and a 64-bit hash of their text; other columns, whatever their names, pass through untouched;
+an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -28,7 +29,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
 from marquee.llm import words as W
 from marquee.llm.staging import staged
@@ -142,11 +143,11 @@ def spans(ranges: list[tuple[int, int]], length: int, size: int) -> list[tuple[i
     return [(a, min(b, size)) for a, b in out]
 
 
-REF = "doc_id long, text_hash int"
+REF = "doc_id long, text_hash long"
 
 
 def _named(docs: DataFrame, text: str, doc_id: str) -> DataFrame:
-    return docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.hash(text).alias("text_hash"), F.col(text).alias("text"))
+    return docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.xxhash64(F.col(f"`{text}`")).alias("text_hash"), F.col(text).alias("text"))
 
 
 def _same(left: DataFrame, right: DataFrame, how: str) -> DataFrame:
@@ -233,7 +234,7 @@ def repeated_ranges(docs: DataFrame, *, length: int = LENGTH, keep_first: bool =
                 yield record(out)
 
     def record(out: list[tuple]) -> pa.RecordBatch:
-        kinds = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.binary())
+        kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary())
         return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), kinds)],
                                           names=["doc_id", "text_hash", "core", "low", "blocks", "piece"])
 
@@ -255,7 +256,7 @@ def repeated_ranges(docs: DataFrame, *, length: int = LENGTH, keep_first: bool =
                 else:
                     out.append([k, at, at])
             return pa.RecordBatch.from_arrays(
-                [pa.array([held[k][1] for k, _, _ in out], pa.int64()), pa.array([held[k][2] for k, _, _ in out], pa.int32()),
+                [pa.array([held[k][1] for k, _, _ in out], pa.int64()), pa.array([held[k][2] for k, _, _ in out], pa.int64()),
                  pa.array([low for _, low, _ in out], pa.int64()), pa.array([high for _, _, high in out], pa.int64())],
                 names=["doc_id", "text_hash", "low", "high"])
 
@@ -308,15 +309,29 @@ def remove_repeats(docs: DataFrame, *, length: int = LENGTH, keep_first: bool =
 
     Cuts are made between bytes; bytes of a letter that was cut in two are left out of ``kept_text`` only.
     """
-    ranges = repeated_ranges(docs, length=length, keep_first=keep_first, text=text, doc_id=doc_id)
+    kept = F.struct(*[F.col(f"`{c}`") for c in docs.columns if c not in NEW])
+    rows = docs.select(F.col(f"`{doc_id}`").cast("long").alias("doc_id"), F.xxhash64(F.col(f"`{text}`")).alias("text_hash"), kept.alias("row"),
+                       F.col(f"`{text}`").alias("text"))
+    again = None
+    if keep_first:
+        # rows that repeat id and text: one of them takes part, the others are copies from end to end
+        times = rows.filter(F.octet_length("text") >= length).groupBy("doc_id", "text_hash").agg(F.count(F.lit(1)).alias("times"))
+        names = staged(times.filter("times > 1").select("doc_id", "text_hash"), "repeated-rows")
+        if not names.isEmpty():
+            copies = _same(rows, names, "left_semi").withColumn("copy", F.row_number().over(Window.partitionBy("doc_id", "text_hash").orderBy(F.lit(1))))
+            copies = staged(copies, "copies")
+            again = copies.filter("copy > 1").drop("copy")
+            rows = _same(rows, names, "left_anti").unionByName(copies.filter("copy = 1").drop("copy"))
+    ranges = repeated_ranges(rows.select("doc_id", "text"), length=length, keep_first=keep_first)
     ranges = staged(ranges.groupBy("doc_id", "text_hash").agg(F.collect_list(F.struct("low", "high")).alias("ranges")), "ranges")
 
-    kept = F.struct(*[F.col(f"`{c}`") for c in docs.columns if c not in NEW])
-    rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.hash(text).alias("text_hash"), kept.alias("row"), F.col(text).alias("text"))
     names = _few(ranges.select("doc_id", "text_hash"))
     touched = _same(_same(rows, names, "left_semi"), ranges, "inner")
-    others = _same(rows, names, "left_anti").withColumn("ranges", F.lit(None).cast(ranges.schema["ranges"].dataType))
-    both = touched.select("row", "text", "ranges").unionByName(others.select("row", "text", "ranges"))
+    none = F.lit(None).cast(ranges.schema["ranges"].dataType)
+    both = touched.select("row", "text", "ranges").unionByName(_same(rows, names, "left_anti").select("row", "text", none.alias("ranges")))
+    if again is not None:
+        whole = F.array(F.struct(F.lit(0).cast("long").alias("low"), (F.octet_length("text") - length).cast("long").alias("high")))
+        both = both.unionByName(again.select("row", "text", whole.alias("ranges")))
 
     @F.arrow_udf("n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept_text string")
     def removed(texts: pa.Array, own: pa.Array) -> pa.Array:
@@ -341,7 +356,7 @@ def remove_repeats(docs: DataFrame, *, length: int = LENGTH, keep_first: bool =
             [pa.array(sizes), pa.array(sizes - left), pa.array(runs, pa.int64()), pa.array(digests, pa.string()),
              pa.array(kept_texts, pa.binary()).cast(pa.string())], names=list(NEW))
 
-    return both.withColumn("_cut", removed(F.col("text"), F.col("ranges"))).select("row.*", *[f"_cut.{c}" for c in NEW])
+    return both.select("row", removed(F.col("text"), F.col("ranges")).alias("cut")).select("row.*", *[f"cut.{c}" for c in NEW])
 
 
 NEW = ("n_bytes", "n_removed", "n_spans", "kept_sha256", "kept_text")

@@ -8,6 +8,8 @@ or of all windows cost a few array operations and no loop over words.
 
 from __future__ import annotations
 
+import ctypes
+import gc
 from collections.abc import Iterator, Sequence
 
 import numpy as np
@@ -25,6 +27,17 @@ SPACE[[32, *range(9, 14)]] = True
 _powers: list[np.ndarray] = []
 
 
+def release() -> None:
+    """Give back what a finished task held: workers live on, and what they keep adds up with every stage they serve."""
+    if _powers and len(_powers[0]) > CHUNK + 1:
+        _powers[:] = []
+    gc.collect()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # another C library: its own matter
+        pass
+
+
 def _power_table(n: int) -> tuple[np.ndarray, np.ndarray]:
     """R^i and R^-i for i up to n."""
     if not _powers or len(_powers[0]) <= n:

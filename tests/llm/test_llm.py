@@ -220,7 +220,7 @@ def test_top_k_equals_brute_force(spark):
 def repeats_by_hand(texts, length, keep_first):
     seen = defaultdict(list)
     raw = [(t or "").encode() for _, t in texts]
-    order = sorted(range(len(texts)), key=lambda k: (texts[k][0] is not None, texts[k][0] or 0))
+    order = sorted(range(len(texts)), key=lambda k: (texts[k][0] is not None, texts[k][0] or 0))  # of equal rows any may be first
     for k in order:
         for p in range(len(raw[k]) - length + 1):
             seen[raw[k][p: p + length]].append((k, p))
@@ -240,7 +240,7 @@ def repeats_by_hand(texts, length, keep_first):
 def test_repeats_equal_brute_force(spark, small_texts, keep_first, most, part, monkeypatch):
     monkeypatch.setattr(suffix_dedup, "MOST", most)
     monkeypatch.setattr(suffix_dedup, "PART", part)
-    sample = [x for x in small_texts if x[0] not in (13, 10)] + [(20 + k, word_soup(30, k) + " " + word_soup(40, 77) + " " + word_soup(k, 99)) for k in range(12)]
+    sample = [x for x in small_texts if x[0] != 13] + [(20 + k, word_soup(30, k) + " " + word_soup(40, 77) + " " + word_soup(k, 99)) for k in range(12)]
     out = suffix_dedup.remove_repeats(docs_of(spark, sample), length=100, keep_first=keep_first).collect()
     found = sorted((r.doc_id or -1, r.n_bytes, r.n_removed, r.kept_sha256) for r in out)
     assert found == sorted((i or -1, n, gone, hashlib.sha256(kept).hexdigest()) for i, n, gone, kept in repeats_by_hand(sample, 100, keep_first))
@@ -351,7 +351,7 @@ def test_scores_by_hand(spark, texts):
         base = sum(math.log10((count[w] + 0.1) / (n + 0.1 * (v + 1))) for w in ws)
         assert (r.held_out, r.n_tokens, r.n_known, r.train_tokens) == (held[i], len(ws), sum(count[w] > 0 for w in ws), n)
         assert r.base_score == pytest.approx(base, rel=1e-9)
-    # the bigram model by its formula
+    # the bigram model by its formula, over all bigrams
     pairs = Counter(p for i, ws in tokens.items() if not held[i] for p in zip(["<", *ws], ws))
     before = Counter(w for _, w in pairs)
     total = Counter()
@@ -362,15 +362,14 @@ def test_scores_by_hand(spark, texts):
     off = lambda c, x: 0 if c == 0 else x[min(c, 3) - 1]
     unknown = sum(off(c, e) for c in before.values()) / len(pairs)
     lower = lambda w: (before[w] - off(before[w], e)) / len(pairs) + unknown / (v + 1)
-    kept = defaultdict(float)
+    given = defaultdict(float)  # what each context leaves to the lower order
     for (a, _), c in pairs.items():
-        if c > 1:
-            kept[a] += c - off(c, d)
+        given[a] += off(c, d)
     for i, ws in list(tokens.items())[:80]:
         score = 0.0
         for a, b in zip(["<", *ws], ws):
-            seen = (pairs[a, b] - off(pairs[a, b], d)) / total[a] if pairs[a, b] > 1 else 0.0
-            score += math.log10(seen + (1 - kept[a] / total[a] if total[a] else 1.0) * lower(b))
+            seen = (pairs[a, b] - off(pairs[a, b], d)) / total[a] if pairs[a, b] else 0.0
+            score += math.log10(seen + (given[a] / total[a] if total[a] else 1.0) * lower(b))
         assert rows[i].score == pytest.approx(score, rel=1e-9)
 
 
