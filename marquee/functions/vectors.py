@@ -17,11 +17,17 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
 
 
 def hash_bucket(token: Column, size: int, namespace: str) -> Column:
-    """md5("namespace:token") modulo ``size``; the last byte decides, so ``size`` must divide 256."""
-    if 256 % size:
-        raise ValueError("size must divide 256")
+    """md5("namespace:token") as one 128-bit number, modulo ``size`` (below 2^31)."""
+    if not 0 < size < 1 << 31:
+        raise ValueError("size must be positive and below 2^31")
     digest = F.md5(F.concat(F.lit(f"{namespace}:"), token).cast("binary"))
-    return F.conv(F.substring(digest, 31, 2), 16, 10).cast("int") % size
+    if 256 % size == 0:  # the last byte decides
+        return F.conv(F.substring(digest, 31, 2), 16, 10).cast("int") % size
+    # Horner's rule over four parts of 32 bits: a remainder and a part stay below 2^63
+    rest = F.lit(0).cast("long")
+    for at in range(1, 33, 8):
+        rest = (rest * (1 << 32) + F.conv(F.substring(digest, at, 8), 16, 10).cast("long")) % size
+    return rest.cast("int")
 
 
 def entry(slot: Column, value: Column) -> Column:

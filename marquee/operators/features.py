@@ -15,6 +15,7 @@ GENRES = ("action", "comedy", "drama", "sci-fi", "horror", "romance", "adventure
           "fantasy", "mystery", "thriller", "family", "history")
 TAGS = tuple(KEYWORD_TAGS.values())
 
+# Sizes of the hashed blocks.
 DIRECTOR_SLOTS, COUNTRY_SLOTS, SUMMARY_SLOTS = 128, 64, 128
 DIRECTOR_AT = len(GENRES)
 COUNTRY_AT = DIRECTOR_AT + DIRECTOR_SLOTS
@@ -99,7 +100,9 @@ def user_features(interactions: DataFrame, features: DataFrame, *, as_of: str, d
         .agg(F.sum(F.when(w > 0, w).otherwise(0.0)).alias("up"), F.sum(F.when(w < 0, -w).otherwise(0.0)).alias("down"))
     )
     known = pairs.join(features, "item_id")
-    totals = known.groupBy("user_id").agg(F.sum("up").alias("up_total"), F.sum("down").alias("down_total"))
+    # the divisors need the pairs only, not their features
+    totals = pairs.join(features.select("item_id"), "item_id", "left_semi").groupBy("user_id").agg(
+        F.sum("up").alias("up_total"), F.sum("down").alias("down_total"))
     sums = known.select("user_id", "up", "down", F.inline("features")).filter(F.col("slot") < NUMERIC_AT).groupBy(
         "user_id", "slot").agg(F.sum(F.col("up") * F.col("value")).alias("plus"),
                                F.sum(F.col("down") * F.col("value")).alias("minus"))
@@ -124,7 +127,7 @@ def rating_profiles(ratings: DataFrame, features: DataFrame) -> DataFrame:
     """Mean item features of a user's rated items, weighted by max(score / 10, 0.1): (user_id, slot, value)."""
     weighted = ratings.select("user_id", "item_id", F.greatest(F.col("score10") / 100, F.lit(0.1)).alias("w"))
     known = weighted.join(features, "item_id")
-    totals = known.groupBy("user_id").agg(F.sum("w").alias("total"))
+    totals = weighted.join(features.select("item_id"), "item_id", "left_semi").groupBy("user_id").agg(F.sum("w").alias("total"))
     sums = known.select("user_id", "w", F.inline("features")).groupBy("user_id", "slot").agg(
         F.sum(F.col("w") * F.col("value")).alias("s"))
     return sums.join(totals, "user_id").select("user_id", "slot", (F.col("s") / F.col("total")).alias("value"))

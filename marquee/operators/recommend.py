@@ -196,10 +196,15 @@ def content_or_hot(content: DataFrame, hot: DataFrame) -> DataFrame:
     return content.select("user_id", "item_id", "rank").unionByName(without.select("user_id", "item_id", "rank"))
 
 
+# The names a caller may ask for.
+ALGORITHMS = ("hot", "baseline_content", "baseline_cf", "baseline_hybrid", "word2vec_content", "glove_content", "word2vec_cf",
+              "glove_cf", "semantic_hybrid")
+
+
 def by_algorithm(lists: Mapping[str, DataFrame], *, algorithm: str | None = None) -> DataFrame:
     """All ranked lists as one table, or the one named; an unknown name is an error."""
     if algorithm is not None:
-        if algorithm not in lists:
+        if algorithm not in ALGORITHMS or algorithm not in lists:
             raise KeyError(f"unsupported algorithm: {algorithm}")
         lists = {algorithm: lists[algorithm]}
     rows = None

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from marquee.functions import text as tx, vectors as vx
 from marquee.operators import embeddings as em, features as ft
 from marquee.plans.recommend_queries import SPACE, _big, _r, chain, micro
-from marquee.plans.registry import behaviors, query, sql
+from marquee.plans.registry import behaviors, half_up, half_up_sql, query, sql
 from marquee.session import materialize
 
 # Vocabularies that occur in the given tables.
@@ -66,12 +66,23 @@ def keyword_tags(t):
     return t.raw("documents").select("doc_id", F.array_join(tx.keyword_tags(F.col("text"), KEYWORDS), ",").alias("tags"))
 
 
-@query("hash_buckets", """SELECT p_partkey AS item_id, ('0x' || right(md5('director:' || lower(p_brand)), 2))::INT % 128 AS director,
-    ('0x' || right(md5('summary:' || p_name), 2))::INT % 64 AS title FROM part""")
+def _bucket(text: str, size: int) -> str:
+    """md5 modulo any size in SQL, part by part."""
+    rest = "0"
+    for at in range(1, 33, 8):
+        rest = f"(({rest}) * 4294967296 + ('0x' || substr(h, {at}, 8))::BIGINT) % {size}"
+    return f"(SELECT ({rest})::INT FROM (SELECT md5({text}) AS h))"
+
+
+@query("hash_buckets", f"""SELECT p_partkey AS item_id, ('0x' || right(md5('director:' || lower(p_brand)), 2))::INT % 128 AS director,
+    ('0x' || right(md5('summary:' || p_name), 2))::INT % 64 AS title, {_bucket("'director:' || lower(p_brand)", 100)} AS director_of_100,
+    {_bucket("'summary:' || p_name", 1000)} AS title_of_1000 FROM part""")
 def hash_buckets(t):
     return t.raw("part").select(
         F.col("p_partkey").alias("item_id"), vx.hash_bucket(F.lower("p_brand"), 128, "director").alias("director"),
-        vx.hash_bucket(F.col("p_name"), 64, "summary").alias("title"))
+        vx.hash_bucket(F.col("p_name"), 64, "summary").alias("title"),
+        vx.hash_bucket(F.lower("p_brand"), 100, "director").alias("director_of_100"),
+        vx.hash_bucket(F.col("p_name"), 1000, "summary").alias("title_of_1000"))
 
 
 @query("term_frequency", sql("""SELECT term, count(*) AS n FROM (SELECT unnest(regexp_extract_all(lower(content),
@@ -100,9 +111,9 @@ def features_of(t):
     return ft.item_features(t.items(summary=True, comment_len=True), genres=GENRES, tags=KEYWORDS)
 
 
-@query("item_features", sql(f"SELECT item_id, slot, round(value, 6) AS value FROM ({_FEATURES})", "items"))
+@query("item_features", sql(f"SELECT item_id, slot, {half_up_sql('value', 6)} AS value FROM ({_FEATURES})", "items"))
 def item_features(t):
-    return ft.long_form(features_of(t)).select("item_id", "slot", _r("value", 6))
+    return ft.long_form(features_of(t)).select("item_id", "slot", half_up(F.col("value"), 6).alias("value"))
 
 
 _WEIGHTS = f"""SELECT user_id, item_id, CASE WHEN behavior_type = 1 THEN greatest(-1, least(1, (score10 / 10 - 5) / 5))
@@ -120,7 +131,7 @@ _UNION_STATS = """SELECT user_id, 350 AS slot, round(least(s / (10 * greatest(n_
     FROM (SELECT *, sum(abs(w)) OVER (PARTITION BY user_id) AS total FROM weights) x JOIN features USING (item_id) WHERE slot < 350
     GROUP BY 1, 2 UNION ALL {_UNION_STATS}""", "behaviors", "items", features=_FEATURES, weights=_WEIGHTS, stats=_STATS))
 def user_features(t):
-    return ft.user_features(behaviors(t), features_of(t), as_of=AS_OF).select(
+    return ft.user_features(materialize(behaviors(t)), materialize(features_of(t)), as_of=AS_OF).select(
         "user_id", "slot", F.when(F.col("slot") >= 350, F.round("value", 8)).otherwise(F.round("value", 5)).alias("value"))
 
 
@@ -130,7 +141,7 @@ def user_features(t):
     USING (item_id) WHERE slot < 350 GROUP BY 1, 2 UNION ALL {_UNION_STATS}""", "behaviors", "items", features=_FEATURES,
     weights=_WEIGHTS, stats=_STATS))
 def user_features_separate(t):
-    return ft.user_features(behaviors(t), features_of(t), as_of=AS_OF, separate=True).select(
+    return ft.user_features(materialize(behaviors(t)), materialize(features_of(t)), as_of=AS_OF, separate=True).select(
         "user_id", "slot", F.when(F.col("slot") >= 350, F.round("value", 8)).otherwise(F.round("value", 5)).alias("value"))
 
 
@@ -252,6 +263,27 @@ def model_lists(t):
     return by_algorithm(lists).withColumn("rank", F.col("rank").cast("bigint"))
 
 
+_NINE = " UNION ALL ".join([
+    "SELECT 'hot' AS algorithm, user_id, item_id, rank FROM hot_all", "SELECT 'baseline_cf', user_id, item_id, rank FROM cf",
+    "SELECT 'baseline_content', user_id, item_id, rank FROM content",
+    "SELECT 'baseline_content', user_id, item_id, rank FROM hot_all WHERE user_id NOT IN (SELECT user_id FROM content)",
+    "SELECT 'baseline_hybrid', user_id, item_id, rank FROM hybrid",
+    _MODEL.format("word2vec_content", "cosines"), _MODEL.format("glove_content", "cosines"),
+    _MODEL.format("word2vec_cf", _BIASED.format(1)), _MODEL.format("glove_cf", _BIASED.format(1)),
+    _MODEL.format("semantic_hybrid", _BIASED.format(0.4))])
+
+
+@query("recs_by_algorithm", sql(_NINE, "ratings", "items", **chain("hybrid"), **E_VIEWS))
+def recs_by_algorithm(t):
+    """The lists of all nine names; the models' vectors are the given ones."""
+    from marquee.operators.recommend import by_algorithm
+    from marquee.plans.recommend_queries import baseline_lists
+
+    ratings, vectors = materialize(t.ratings()), materialize(given_vectors(t))
+    lists = baseline_lists(t, ratings) | em.model_lists(ratings, dict.fromkeys(em.BLEND, vectors))
+    return by_algorithm(lists).withColumn("rank", F.col("rank").cast("bigint"))
+
+
 @query("vector_cosine", """SELECT vec_id, round(list_cosine_similarity(embedding::DOUBLE[], c::DOUBLE[]), 5) AS cos FROM embeddings,
     (SELECT embedding AS c FROM embeddings WHERE vec_id = 0)""")
 def vector_cosine(t):

@@ -8,7 +8,7 @@ from marquee.operators import catalog as cat, evaluation as ev, experience as xp
     policy as po, ranking as rk, recommend as rec, versions as ver
 from marquee.plans import evaluate as evl
 from marquee.plans.feature_queries import _FEATURES, features_of
-from marquee.plans.ingest_queries import _activations, _runs, _versions
+from marquee.plans.ingest_queries import _ACTIVE, _RUNS, _activations, _runs, _versions
 from marquee.plans.recommend_queries import V, _big, _r, chain, micro
 from marquee.plans.registry import behaviors, query, sql
 from marquee.session import materialize
@@ -58,13 +58,16 @@ _DIVERSITY = """SELECT algorithm, user_id, round(avg(greatest(0, 1 - cos)), 4) A
 _NORMS = "SELECT item_id, sqrt(sum(value * value)) AS n FROM features GROUP BY 1"
 
 
-@query("evaluate_baselines", sql("""SELECT algorithm, round(hits / (n_users * 5), 4) AS precision_at_k, round(hits / n_users, 4)
+_EVALUATED = """SELECT algorithm, round(hits / (n_users * 5), 4) AS precision_at_k, round(hits / n_users, 4)
     AS recall_at_k, round(ndcg / n_users, 4) AS ndcg_at_k, round(covered / (SELECT count(*) FROM part), 4) AS coverage,
     round(spread / n_users, 4) AS diversity FROM (SELECT algorithm, count(t.item_id) AS hits, coalesce(sum(CASE WHEN t.item_id
     IS NOT NULL THEN 1 / log2(rank + 1) END), 0) AS ndcg, count(DISTINCT ranked.item_id) AS covered FROM ranked LEFT JOIN targets t ON
     t.user_id = ranked.user_id AND t.item_id = ranked.item_id GROUP BY 1) JOIN (SELECT algorithm, sum(diversity) AS spread
-    FROM spreads GROUP BY 1) USING (algorithm) CROSS JOIN (SELECT count(*) AS n_users FROM targets)""", "ratings", "items",
-    **_LISTS, features=_FEATURES, norms=_NORMS, spreads=_DIVERSITY))
+    FROM spreads GROUP BY 1) USING (algorithm) CROSS JOIN (SELECT count(*) AS n_users FROM targets)"""
+_EVALUATION = dict(**_LISTS, features=_FEATURES, norms=_NORMS, spreads=_DIVERSITY)
+
+
+@query("evaluate_baselines", sql(_EVALUATED, "ratings", "items", **_EVALUATION))
 def evaluate_baselines(t):
     return evl.evaluate(t.ratings(), t.items(summary=True, comment_len=True), features_of(t), semantic=False)
 
@@ -100,20 +103,30 @@ def _save(t):
     return ver.save_run(metrics, run_id=1, k=5, note="", created_at="2024-02-01 00:00:00")
 
 
-@query("experiment_snapshot")
+@query("experiment_snapshot", sql(f"SELECT 1::BIGINT AS id, * FROM ({_EVALUATED})", "ratings", "items", **_EVALUATION))
 def experiment_snapshot(t):
     return ver.latest_metrics(_save(t))
 
 
-@query("overview_report")
+_SIZES = """SELECT *, round(n_ratings / greatest(n_users * n_items, 1), 4) AS density FROM (SELECT (SELECT count(*) FROM customer)
+    AS n_users, (SELECT count(*) FROM part) AS n_items, (SELECT count(*) FROM behaviors WHERE behavior_type = 1 AND score10 IS NOT
+    NULL) AS n_ratings)"""
+
+
+@query("overview_report", sql(f"""SELECT 'counts' AS section, 'n_users' AS name, n_users::DOUBLE AS value FROM sizes
+    UNION ALL SELECT 'counts', 'n_items', n_items FROM sizes UNION ALL SELECT 'counts', 'n_ratings', n_ratings FROM sizes
+    UNION ALL SELECT 'counts', 'density', density FROM sizes UNION ALL SELECT 'active_model', version_tag, id FROM ({_ACTIVE})
+    UNION ALL SELECT 'evaluation', algorithm, u FROM runs WHERE id = (SELECT max(id) FROM runs)
+    UNION ALL SELECT 'run', strftime(DATE '2024-01-01' + id::INT, '%Y-%m-%d 00:00:00'), id FROM (SELECT DISTINCT id FROM runs ORDER BY id DESC LIMIT 10)""",
+    "behaviors", runs=_RUNS, sizes=_SIZES))
 def overview_report(t):
     metrics = ver.latest_metrics(_runs(t))
     return evl.overview_report(t.users(), t.raw("part"), behaviors(t), metrics,
                                ver.active_version(_versions(t), _activations(t)), _runs(t))
 
 
-_POOL9 = """SELECT user_id, r.item_id, score10 / 1000 AS policy, coverage_bonus AS cover, score10 / 1000 + 0.12 * coverage_bonus AS base
-    FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY score10 DESC, item_id) AS place FROM ratings QUALIFY place <= 9) r
+_POOL = """SELECT user_id, r.item_id, score10 / 1000 AS policy, coverage_bonus AS cover, score10 / 1000 + 0.12 * coverage_bonus AS base
+    FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY score10 DESC, item_id) AS place FROM ratings QUALIFY place <= 30) r
     JOIN bonus ON bonus.item_id = r.item_id"""
 _COS = """SELECT a.user_id, a.item_id AS x, b.item_id AS y, coalesce(sum(fa.value * fb.value), 0) / (any_value(na.n) * any_value(nb.n))
     AS cos FROM pool a JOIN pool b ON a.user_id = b.user_id JOIN norms na ON na.item_id = a.item_id JOIN norms nb ON nb.item_id = b.item_id
@@ -137,19 +150,19 @@ def _bonus(t):
 
 @query("mmr_rerank", sql("""SELECT user_id, item_id, 1 AS rank, 1.0 AS div FROM first_pick UNION ALL SELECT user_id, item_id, 2,
     round(div, 3) FROM second_pick UNION ALL SELECT user_id, item_id, 3, round(div, 3) FROM third_pick""", "ratings", "items", "bonus",
-    features=_FEATURES, norms=_NORMS, pool=_POOL9, cosines=_COS, first_pick=_FIRST, second_pick=_SECOND, third_pick=_THIRD))
+    features=_FEATURES, norms=_NORMS, pool=_POOL, cosines=_COS, first_pick=_FIRST, second_pick=_SECOND, third_pick=_THIRD))
 def mmr_rerank(t):
-    pool = rk.top_per_group(t.ratings(), ["user_id"], [F.col("score10").desc(), F.col("item_id")], n=9).select(
+    pool = rk.top_per_group(t.ratings(), ["user_id"], [F.col("score10").desc(), F.col("item_id")], n=30).select(
         "user_id", "item_id", (F.col("score10") / 1000).alias("policy_score")).join(_bonus(t), "item_id")
     return po.mmr_rerank(pool, features_of(t), n=3, epsilon=0.0).select(
         "user_id", "item_id", _big("rank"), F.round("diversity_bonus", 3).alias("div"))
 
 
 @query("diversity_bonus", sql("""SELECT user_id, x AS item_id, round(greatest(0, 1 - avg(cos)), 3) AS diversity_bonus FROM cosines
-    WHERE x <> y GROUP BY 1, 2""", "ratings", "items", "bonus", features=_FEATURES, norms=_NORMS, pool=_POOL9, cosines=_COS))
+    WHERE x <> y GROUP BY 1, 2""", "ratings", "items", "bonus", features=_FEATURES, norms=_NORMS, pool=_POOL, cosines=_COS))
 def diversity_bonus(t):
     """1 - mean cosine of each pool item to the rest of its pool, from the pool's summed unit vectors."""
-    pool = materialize(rk.top_per_group(t.ratings(), ["user_id"], [F.col("score10").desc(), F.col("item_id")], n=9).select(
+    pool = materialize(rk.top_per_group(t.ratings(), ["user_id"], [F.col("score10").desc(), F.col("item_id")], n=30).select(
         "user_id", "item_id"))
     return po.pool_diversity(pool, features_of(t)).select("user_id", "item_id", _r("diversity_bonus", 3))
 
@@ -161,15 +174,15 @@ def _states(t, features):
 @query("policy_scores")
 def policy_scores(t):
     features = materialize(features_of(t))
-    pool = rk.top_per_group(t.ratings(), ["user_id"], [F.col("score10").desc(), F.col("item_id")], n=5)
+    pool = t.ratings().select("user_id", "item_id")
     return po.policy_scores(pool, _states(t, features), features, po.Policy.initial())
 
 
 @query("policy_rank")
 def policy_rank(t):
     features = materialize(features_of(t))
-    pool = rk.top_per_group(t.ratings(), ["user_id"], [F.col("score10").desc(), F.col("item_id")], n=15)
-    return po.policy_rank(pool, _states(t, features), features, po.Policy.initial(), n=5)
+    pool = t.ratings().select("user_id", "item_id")
+    return po.policy_rank(pool, _states(t, features), features, po.Policy.initial(), n=10)
 
 
 @query("policy_training")

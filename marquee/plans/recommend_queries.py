@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from marquee.functions.text import ENGLISH_STOP_WORDS
 from marquee.operators import catalog as cat, ranking as rk, recommend as rec, similarity as sim
-from marquee.plans.registry import query, sql
+from marquee.plans.registry import half_up, half_up_sql, query, sql
 from marquee.session import materialize
 
 SPACE = r"[\s\x{0b}\x{1c}-\x{1f}\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]+"
@@ -135,10 +135,11 @@ def content_rec(t):
     return rec.content_rec(t.ratings(), t.items()).select("user_id", "item_id", _big("rank"), _r("score"))
 
 
-@query("content_rec_jaccard", sql(f"""SELECT user_id, item_id, round(score, 5) AS score, row_number() OVER (PARTITION BY user_id
-    ORDER BY {micro('score')} DESC, item_id) AS rank FROM jac_map QUALIFY rank <= 10""", "ratings", "items", **chain("jac_map")))
+@query("content_rec_jaccard", sql(f"""SELECT user_id, item_id, {half_up_sql('score', 5)} AS score, row_number() OVER (PARTITION BY
+    user_id ORDER BY {micro('score')} DESC, item_id) AS rank FROM jac_map QUALIFY rank <= 10""", "ratings", "items", **chain("jac_map")))
 def content_rec_jaccard(t):
-    return rec.content_rec_jaccard(t.ratings(), t.items(summary=True)).select("user_id", "item_id", _big("rank"), _r("score"))
+    return rec.content_rec_jaccard(t.ratings(), t.items(summary=True)).select(
+        "user_id", "item_id", _big("rank"), half_up(F.col("score"), 5).alias("score"))
 
 
 @query("weighted_merge", sql(f"""SELECT user_id, item_id, round(score, 3) AS score, row_number() OVER (PARTITION BY user_id ORDER BY
@@ -196,8 +197,8 @@ def minmax_blend(t):
     return rk.minmax_blend(parts, {"cf": 0.6, "content": 0.4}).withColumn("score", F.round("score", 5))
 
 
-def _baseline_lists(t):
-    ratings = materialize(t.ratings())
+def baseline_lists(t, ratings):
+    """Ranked lists of the four baselines by name."""
     users = materialize(ratings.select("user_id").distinct())
     hot = rec.hot_for_users(users, cat.hot_items(t.items(comment_len=True)))
     cf = materialize(rec.user_cf(ratings))
@@ -208,7 +209,7 @@ def _baseline_lists(t):
 
 @query("baseline_hybrid", sql("SELECT user_id, item_id, source, rank FROM hybrid", "ratings", "items", **chain("hybrid")))
 def baseline_hybrid(t):
-    return _baseline_lists(t)["baseline_hybrid"].select("user_id", "item_id", "source", _big("rank"))
+    return baseline_lists(t, materialize(t.ratings()))["baseline_hybrid"].select("user_id", "item_id", "source", _big("rank"))
 
 
 @query("priority_merge", sql("""SELECT user_id, item_id, source, row_number() OVER (PARTITION BY user_id ORDER BY priority, old,
@@ -223,14 +224,6 @@ def priority_merge(t):
     return rk.priority_merge([("likes", best), ("hot", hot)], n=10).select("user_id", "item_id", "source", _big("rank"))
 
 
-@query("recs_by_algorithm", sql("""SELECT 'hot' AS algorithm, user_id, item_id, rank FROM hot_all UNION ALL SELECT 'baseline_cf',
-    user_id, item_id, rank FROM cf UNION ALL SELECT 'baseline_content', user_id, item_id, rank FROM content UNION ALL
-    SELECT 'baseline_content', user_id, item_id, rank FROM hot_all WHERE user_id NOT IN (SELECT user_id FROM content) UNION ALL
-    SELECT 'baseline_hybrid', user_id, item_id, rank FROM hybrid""", "ratings", "items", **chain("hybrid")))
-def recs_by_algorithm(t):
-    return rec.by_algorithm(_baseline_lists(t)).withColumn("rank", F.col("rank").cast("bigint"))
-
-
 @query("decorate_scores", sql("""SELECT user_id, cf.item_id, title, rate, round(score, 4) AS score, '相似用户高分喜欢这部电影（得分 ' ||
     printf('%.3f', score) || '）' AS reason FROM cf JOIN items ON items.item_id = cf.item_id""", "ratings", "items", **chain("cf")))
 def decorate_scores(t):

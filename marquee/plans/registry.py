@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from marquee.sources.tables import Tables
 
@@ -52,6 +52,15 @@ def sql(body: str, *views: str, **extra: str) -> str:
     return (f"WITH {', '.join(parts)} " if parts else "") + body
 
 
+def half_up(value: Column, digits: int) -> Column:
+    """Rounded half up in whole units; a decimal tie whose binary value lies a hair below it counts as one."""
+    return F.floor(value * 10.0**digits + 0.5 + 1e-6) / 10.0**digits
+
+
+def half_up_sql(value: str, digits: int) -> str:
+    return f"floor(({value}) * 1e{digits} + 0.5 + 1e-6) / 1e{digits}"
+
+
 def query(name: str, oracle: str | None = None):
     """Register ``fn(tables) -> DataFrame`` under ``name``."""
     def add(fn: Callable[[Tables], DataFrame]):
