@@ -2,15 +2,17 @@
 
 Sequential per-pair gradient loops do not distribute.  Skip-gram with negative
 sampling factorises the shifted positive PMI matrix of the pairs (Levy and
-Goldberg, 2014), and the weighted-log model factorises the centred log counts;
-both matrices come from one co-occurrence aggregate and are factorised by the
-distributed ALS of Spark ML.
+Goldberg, 2014), which the distributed ALS of Spark ML does; the weighted-log model
+fits log counts with biases, each pair by its weight, by alternating normal equations of its own.
 """
 
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
+import numpy as np
+import pandas as pd
 from pyspark.ml.recommendation import ALS
 from pyspark.sql import Column, DataFrame, functions as F
 
@@ -22,6 +24,11 @@ from marquee.operators.ranking import positions
 from marquee.session import ensure_checkpoint_dir, materialize
 
 DIMENSIONS = 24
+# A pair's weight in the loss is min(1, (x / X_MAX)^ALPHA).
+X_MAX, ALPHA = 10.0, 0.75
+#: Rounds of the alternating fit; the loss hardly falls any more (a gradient method needs several times as many).
+ROUNDS = 6
+PAIRS_PER_TILE = 1_000_000
 POPULARITY = 0.03
 
 
@@ -67,25 +74,113 @@ def positive_pmi(pairs: DataFrame, *, negatives: int = 1, smoothing: float = 0.7
     return joined.select("left", "right", F.greatest(value, F.lit(0.0)).alias("value"))
 
 
-def centred_logs(pairs: DataFrame) -> DataFrame:
-    """ln(weight) without its row and column means: left, right, value.  The means play the bias terms."""
-    logs = pairs.select("left", "right", F.ln("weight").alias("v"))
-    mean = logs.agg(F.avg("v").alias("mean")).withColumn("one", F.lit(0))
-    rows = logs.groupBy("left").agg(F.avg("v").alias("row_mean"))
-    cols = logs.groupBy("right").agg(F.avg("v").alias("col_mean"))
-    return logs.join(rows, "left").join(cols, "right").withColumn("one", F.lit(0)).join(F.broadcast(mean), "one").select(
-        "left", "right", (F.col("v") - F.col("row_mean") - F.col("col_mean") + F.col("mean")).alias("value"))
+def log_weights(pairs: DataFrame, *, x_max: float = X_MAX, alpha: float = ALPHA) -> DataFrame:
+    """left, right, value = ln(weight) and the pair's share f = min(1, (weight / x_max)^alpha) in the loss."""
+    share = F.least(F.lit(1.0), F.pow(F.col("weight") / x_max, F.lit(alpha)))
+    return pairs.select("left", "right", F.ln("weight").alias("value"), share.alias("f"))
+
+
+def _numbered(matrix: DataFrame) -> DataFrame:
+    """token, id of all tokens, in hash order: numbered in 4096 ranges of the hash, so that no task sorts the whole vocabulary."""
+    names = matrix.select(F.explode(F.array("left", "right")).alias("token")).distinct().withColumn("_hash", F.xxhash64("token"))
+    return materialize(positions(names, [], ["_hash", "token"], F.shiftright("_hash", 52), name="id").select("token", "id"))
+
+
+def factorise_weighted(matrix: DataFrame, *, dimensions: int = DIMENSIONS, rounds: int = ROUNDS, reg: float = 0.1) -> DataFrame:
+    """Token vectors from the weighted fit value ~ u . v + b + c of (left, right, value, f): token, vec, the mean of u and v.
+
+    Alternating least squares: with the columns fixed, a row's vector and bias solve the normal equations
+    of its own pairs, each with its f.  Pairs lie in a grid of row and column blocks; a tile sums up the
+    equations of its rows, the sums of all tiles of a row are added before they are solved, so a token that
+    occurs with every other one is as many small sums, not one long row.
+    """
+    fitted, ids = _fit(matrix, dimensions, rounds, reg)
+    both = fitted["row"].select("id", F.col("vec").alias("a")).join(fitted["col"].select("id", F.col("vec").alias("b")), "id", "full")
+    zeros = F.array_repeat(F.lit(0.0), dimensions + 1)
+    mean = F.zip_with(F.coalesce("a", zeros), F.coalesce("b", zeros), lambda x, y: (x + y) / 2)
+    return both.join(ids, "id").select("token", F.slice(mean, 1, dimensions).alias("vec"))
+
+
+_EQUATIONS = "id bigint, n bigint, sums array<double>"
+
+
+def _fit(matrix: DataFrame, dimensions: int, rounds: int, reg: float) -> tuple[dict[str, DataFrame], DataFrame]:
+    """Vectors with the bias behind them, by side: id, vec."""
+    ids = _numbered(matrix)
+    coded = matrix.join(ids.select(F.col("token").alias("left"), F.col("id").alias("row")), "left").join(
+        ids.select(F.col("token").alias("right"), F.col("id").alias("col")), "right").select("row", "col", "value", "f")
+    coded = materialize(coded)
+    blocks = max(1, math.ceil(math.sqrt(coded.count() / PAIRS_PER_TILE)))
+    width = dimensions + 1
+    upper = np.triu_indices(width)
+
+    def tile(pairs: pd.DataFrame, fixed: pd.DataFrame) -> pd.DataFrame:
+        if pairs.empty or fixed.empty:
+            return pd.DataFrame({"id": np.empty(0, "int64"), "n": np.empty(0, "int64"), "sums": []})
+        factors = np.vstack(fixed["vec"].to_numpy())
+        at = pd.Index(fixed["id"].to_numpy()).get_indexer(pairs["other"].to_numpy())
+        order = np.argsort(pairs["id"].to_numpy(), kind="stable")
+        own, at = pairs["id"].to_numpy()[order], at[order]
+        weight, value = pairs["f"].to_numpy()[order], pairs["value"].to_numpy()[order]
+        first = np.flatnonzero(np.append(True, own[1:] != own[:-1]))
+        sums = []
+        for lo, hi in zip(first, np.append(first[1:], len(own))):
+            known = factors[at[lo:hi]]
+            target = value[lo:hi] - known[:, -1]
+            known = np.column_stack([known[:, :-1], np.ones(hi - lo)])
+            scaled = known * weight[lo:hi, None]
+            sums.append(np.concatenate([(scaled.T @ known)[upper], scaled.T @ target]))
+        return pd.DataFrame({"id": own[first], "n": np.diff(np.append(first, len(own))), "sums": sums})
+
+    def solve(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            out = []
+            for n, sums in zip(batch["n"], batch["sums"]):
+                left = np.zeros((width, width))
+                left[upper] = sums[: len(upper[0])]
+                left = left + left.T - np.diag(left.diagonal()) + reg * np.eye(width)
+                out.append(np.linalg.solve(left, sums[len(upper[0]):]))
+            yield pd.DataFrame({"id": batch["id"], "vec": out})
+
+    def start(column: str, seed: int) -> DataFrame:
+        # small numbers that follow from the token alone
+        drawn = F.transform(F.sequence(F.lit(1), F.lit(width)), lambda i: F.when(i == width, 0.0).otherwise(
+            (F.pmod(F.xxhash64(F.lit(seed), "token", i), F.lit(10_007)) / 10_007.0 - 0.5) / dimensions))
+        return ids.join(coded.select(F.col(column).alias("id")).distinct(), "id", "left_semi").select("id", drawn.alias("vec"))
+
+    fitted = {"row": start("row", 1), "col": materialize(start("col", 2))}
+    everywhere = F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))
+    for _ in range(rounds):
+        for own, other in (("row", "col"), ("col", "row")):
+            pairs = coded.select(F.col(own).alias("id"), F.col(other).alias("other"), "value", "f", (
+                F.pmod(F.col(own), F.lit(blocks)) * blocks + F.pmod(F.col(other), F.lit(blocks))).alias("tile"))
+            fixed = fitted[other].select("id", "vec", everywhere.alias("block")).withColumn(
+                "tile", F.col("block") * blocks + F.pmod("id", F.lit(blocks))).select(F.col("id"), "vec", "tile")
+            parts = pairs.groupBy("tile").cogroup(fixed.groupBy("tile")).applyInPandas(tile, _EQUATIONS)
+            if blocks > 1:
+                summed = parts.select("id", "n", F.posexplode("sums").alias("i", "x")).groupBy("id", "i").agg(F.sum("n").alias("n"), F.sum("x").alias("x"))
+                parts = summed.groupBy("id").agg(F.max("n").alias("n"), F.sort_array(F.collect_list(F.struct("i", "x"))).alias("e")).select(
+                    "id", "n", F.col("e.x").alias("sums"))
+            fitted[own] = materialize(parts.mapInPandas(solve, "id bigint, vec array<double>"))
+    return fitted, ids
+
+
+def weighted_loss(matrix: DataFrame, fitted: dict[str, DataFrame], ids: DataFrame, *, dimensions: int = DIMENSIONS) -> float:
+    """Mean of f times the squared error of the fit over the pairs of ``matrix``."""
+    def side(name: str, token: str) -> DataFrame:
+        return fitted[name].join(ids, "id").select(F.col("token").alias(token), F.col("vec").alias(f"{token}_vec"))
+
+    both = matrix.join(side("row", "left"), "left").join(side("col", "right"), "right")
+    product = dot(F.slice("left_vec", 1, dimensions), F.slice("right_vec", 1, dimensions))
+    error = product + F.element_at("left_vec", dimensions + 1) + F.element_at("right_vec", dimensions + 1) - F.col("value")
+    return both.agg((F.sum(F.col("f") * error * error) / F.sum("f")).alias("loss")).first()["loss"]
 
 
 def factorise(matrix: DataFrame, *, dimensions: int = DIMENSIONS, iterations: int = 6, reg: float = 0.05,
               seed: int = 42) -> DataFrame:
     """Token vectors, the mean of a token's row and column factors: token, vec."""
     ensure_checkpoint_dir(matrix.sparkSession)
-    names = matrix.select(F.explode(F.array("left", "right")).alias("token")).distinct()
-    # numbered in hash order, in 4096 ranges of the hash, so that no task sorts the whole vocabulary
-    names = names.withColumn("_hash", F.xxhash64("token"))
-    ids = materialize(positions(names, [], ["_hash", "token"], F.shiftright("_hash", 52), name="id").select(
-        "token", F.col("id").cast("int").alias("id")))
+    ids = _numbered(matrix).withColumn("id", F.col("id").cast("int"))
     coded = matrix.join(ids.select(F.col("token").alias("left"), F.col("id").alias("row")), "left").join(
         ids.select(F.col("token").alias("right"), F.col("id").alias("col")), "right").select(
         "row", "col", F.col("value").cast("float").alias("value"))
@@ -108,7 +203,7 @@ def train(sequences: DataFrame, *, model: str, dimensions: int = DIMENSIONS) ->
     if model == "word2vec":
         matrix = positive_pmi(materialize(cooccurrence(sequences, window=2, weighted=False)))
     elif model == "glove":
-        matrix = centred_logs(materialize(cooccurrence(sequences, window=3)))
+        return factorise_weighted(materialize(log_weights(cooccurrence(sequences, window=3))), dimensions=dimensions)
     else:
         raise KeyError(f"unknown embedding model: {model}")
     return factorise(materialize(matrix), dimensions=dimensions)
