@@ -185,6 +185,19 @@ def test_main_text_of_hand_written_pages():
     assert site_style.main_text("<div><!-- x --><p>1 &lt; 2 < 3</p></div><script>p</script>", set()) == "1 < 2 < 3"
 
 
+def test_articles_in_odd_places_are_kept():
+    article = "<article><h1>Head</h1><p>The whole story told here.</p></article>"
+    body = "Head The whole story told here."
+    for page in (f"<form id=f action=x><div><main>{article}</main></div></form>", f"<form id=f>{article}</form>",
+                 f"<div class='has-sidebar'><main>{article}</main><aside>side</aside></div>", f"<div class='page no-sidebar'>{article}</div>",
+                 f"<div class='search-results'><main>{article}</main></div>", f"<div><svg width=1>{article}</div>", f"<p>x<video src=y></p>{article}"):
+        assert site_style.main_text(page, set()).endswith(body), page
+    assert site_style.main_text(f"<nav><main>{article}</main></nav><div class='related'>{article}</div><p>left</p>", set()) == "left"
+    long = " ".join(["A post of many words."] * 20)
+    assert site_style.main_text(f"<div class='post-body'><p>{long}</p></div><article class='card'><p>Read on</p></article>", set()) == f"{long} Read on"
+    assert site_style.main_text("<article><p>sum <math><mi>x</mi></math></p></article>", set()) == "sum x"
+
+
 def test_site_tree_removes_what_is_the_same_everywhere(spark):
     pages = [(i, f"http://h.example/{i}", f"<body><div><p>Same words on every page</p></div><section><p>Own {i} words {i * i}</p></section></body>")
              for i in range(30)] + [(100, None, None), (101, "http://other.example/", "<p>alone</p>"), (101, "http://other.example/", "<p>alone</p>")]
@@ -194,6 +207,7 @@ def test_site_tree_removes_what_is_the_same_everywhere(spark):
     assert all(by[i] == f"Own {i} words {i * i}" for i in range(30)) and by[100] == "" and by[101] == "alone"
     counts = site_style.node_counts(spark.createDataFrame(pages, "page_id long, url string, html string").select(F.lit("h").alias("h"), "html"))
     found = {round(r.importance, 6) for r in site_style.node_importance(counts).filter("pages = 30").collect()}
+    assert site_style.importance_of(2, [2], [2]) == 0.5 and site_style.importance_of(30, [30], [30]) == 2 / 32  # few pages say little
     assert found == {round(site_style.importance_of(30, [30], [30]), 6), round(site_style.importance_of(30, [30], [1] * 30), 6)}
 
 
