@@ -39,7 +39,7 @@ MAX_PARTITIONS = 20_000
 _CELLS = blocks.CELLS
 #: Right rows of a chunk where bounds can skip chunks, and chunks from which on that pays.
 BOUNDED_ROWS, BOUNDED_CHUNKS, BOUNDED_FROM = 512, 32, 4
-#: Rows sent to the tiles of a plain grid from which on rows are routed by their terms.
+#: Rows sent to the tiles of a plain grid from which on rows are routed by their terms: below, the index costs more than it saves.
 ROUTED_FROM = 2_000_000
 
 OUTPUT = T.StructType([
@@ -300,11 +300,13 @@ def _routed(left: DataFrame, right: DataFrame, run: Callable[[pd.DataFrame, pd.D
     if not size_left[0] or not size_right[0]:
         return None
     n_left, n_right = by_size(*size_left), by_size(*size_right)
+    if not dense and size_left[0] * grid_side(*size_right, cores) + size_right[0] * grid_side(*size_left, cores) < ROUTED_FROM:
+        return None
     if best:
         n_right = max(n_right, min(size_right[0] // BOUNDED_ROWS, BOUNDED_CHUNKS))
         if n_right < BOUNDED_FROM:
             return None
-    elif size_left[0] * n_right + size_right[0] * n_left < ROUTED_FROM:
+    elif dense:
         return None
     pivots = blocks.pivots_of(right, n_right, dense)
     how = {"dense": dense, "by_value": kind == "dot", "entries_per_chunk": ENTRIES_PER_CHUNK}

@@ -15,7 +15,8 @@ def small_chunks(request, monkeypatch):
     if request.param != "plain":
         monkeypatch.setattr(tiles, "ENTRIES_PER_CHUNK", 60)
         monkeypatch.setattr(tiles, "ROWS_PER_CHUNK", 7)
-        monkeypatch.setattr(overlap, "ROWS", 7)
+        monkeypatch.setattr(overlap, "USERS", 7)
+        monkeypatch.setattr(overlap, "SETS", 7)
         monkeypatch.setattr(overlap, "USER_SETS", 3)
         monkeypatch.setattr(overlap, "BLOCK", 4)
     if request.param == "routed":
