@@ -40,7 +40,7 @@ BLOCK = 128
 #: Blocks of a bucket up to which one suffix array takes it (about 5 MB).
 MOST = 256
 #: Bytes of text handled together; a longer text is handled in overlapping parts.
-PART = 1_000_000
+PART = 300_000
 #: Names (16 bytes) up to which a list is sent to every executor: 32 MB.
 BROADCAST_ROWS = 2_000_000
 POSITION = np.uint64((1 << 24) - 1)
