@@ -74,15 +74,18 @@ def user_stats(interactions: DataFrame) -> DataFrame:
     )
 
 
-def preference_weight(as_of: Column, decay: str) -> Column:
-    """Signed weight of one behaviour; ``decay`` is 'half_life' or 'constant' (0.5)."""
-    fade = half_life_decay(F.col("ts"), as_of) if decay == "half_life" else F.lit(0.5)
-    base = (
+def preference_base() -> Column:
+    """Signed weight of one behaviour before it fades."""
+    return (
         F.when(F.col("behavior_type") == RATE,
                F.greatest(F.lit(-1.0), F.least(F.lit(1.0), (F.coalesce("score10", F.lit(0)) / 10 - 5) / 5)))
         .when(F.col("behavior_type") == COLLECT, F.lit(0.8)).otherwise(F.lit(0.4))
     )
-    return base * fade
+
+
+def preference_weight(as_of: Column, decay: str) -> Column:
+    """Signed weight of one behaviour; ``decay`` is 'half_life' or 'constant' (0.5)."""
+    return preference_base() * (half_life_decay(F.col("ts"), as_of) if decay == "half_life" else F.lit(0.5))
 
 
 def user_features(interactions: DataFrame, features: DataFrame, *, as_of: str, decay: str = "half_life",

@@ -2,15 +2,16 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import functions as F
 
-from marquee.operators import catalog as cat, evaluation as ev, experience as xp, features as ft, interactions as ix, \
-    policy as po, ranking as rk, recommend as rec, versions as ver
+from marquee.operators import catalog as cat, evaluation as ev, experience as xp, features as ft, history as hs, \
+    interactions as ix, policy as po, ranking as rk, recommend as rec, versions as ver
 from marquee.plans import evaluate as evl
 from marquee.plans.feature_queries import _FEATURES, features_of
 from marquee.plans.ingest_queries import _ACTIVE, _RUNS, _activations, _runs, _versions
 from marquee.plans.recommend_queries import V, _big, _r, chain, micro
-from marquee.plans.registry import behaviors, query, sql
+from marquee.plans.registry import behaviors, half_up, half_up_sql, query, sql
 from marquee.session import materialize
 
 _SPLIT = """SELECT *, count(*) FILTER (score10 >= 80) OVER (PARTITION BY user_id) AS n_pos, CASE WHEN score10 >= 80 AND
@@ -198,6 +199,66 @@ def policy_training(t):
                                    "epoch int, n long, value_loss double, gain double")
 
 
+_GAIN, _SHIFT = (0.5, -0.25, 1.0, -0.75), (0.1, -0.2, 0.3, 0.0)
+
+
+def _formula_policy() -> po.Policy:
+    """Parameters by a closed formula, so that SQL can compute the same probabilities."""
+    slot = np.arange(ft.SLOTS)
+    half = np.outer(np.array(_GAIN)[slot % 4], (slot + 1) / ft.SLOTS / 2)
+    return po.Policy(np.hstack([half, half]), np.array(_SHIFT)[slot % 4], np.zeros(po.STATE), 0.0)
+
+
+_BEFORE = "FILTER (i.event_id <> j.event_id)"
+_FADE = "least(1, greatest(0.05, pow(0.5, (j.at - i.at) / 3600.0 / 168.0)))"
+
+
+def _around(what: str) -> str:
+    """Sum of a state's values, plain and weighted by slot + 1, from the users' earlier events."""
+    share = "coalesce(sum(i.w * {0} * i.{1}) {2}, 0) / greatest(coalesce(sum(abs(i.w) * {0}) {2}, 0), 1e-6)"
+    counts = f"""count(*) FILTER (i.behavior_type = 1 {what}) AS n1, count(*) FILTER (i.behavior_type = 2 {what}) AS n2,
+        count(*) FILTER (i.behavior_type = 3 {what}) AS n3, coalesce(sum(i.score10) FILTER (i.behavior_type = 1 {what}), 0) AS s"""
+    only = _BEFORE if what else ""
+    return f"""SELECT event_id, item_id, p + a + b + c + d AS total, q + 351 * a + 352 * b + 353 * c + 354 * d AS dot FROM (SELECT event_id,
+        item_id, p, q, least(s / (10 * greatest(n1, 1)), 10) / 10 AS a, least(n1, 200) / 200 AS b, least(n2, 200) / 200 AS c,
+        least(n3, 500) / 500 AS d FROM (SELECT j.event_id, any_value(j.item_id) AS item_id, {share.format(_FADE, 'plain', only)} AS p,
+        {share.format(_FADE, 'placed', only)} AS q, {counts} FROM base j JOIN base i ON i.user_id = j.user_id AND (i.ts < j.ts OR
+        i.ts = j.ts AND i.event_id <= j.event_id) GROUP BY 1))"""
+
+
+_EXPERIENCE = dict(
+    features=_FEATURES,
+    sums="SELECT item_id, coalesce(sum(value) FILTER (slot < 350), 0) AS plain, coalesce(sum(value * (slot + 1)) FILTER (slot < 350), 0) "
+         "AS placed, " + ", ".join(f"coalesce(sum(value) FILTER (slot % 4 = {g}), 0) AS f{g}" for g in range(4)) + " FROM features GROUP BY 1",
+    base="""SELECT b.*, floor(epoch(ts)) AS at, plain, placed, CASE WHEN behavior_type = 1 THEN greatest(-1, least(1, (score10 / 10 - 5) / 5))
+        WHEN behavior_type = 2 THEN 0.8 ELSE 0.4 END AS w FROM behaviors b JOIN sums USING (item_id)""",
+    before=_around("AND i.event_id <> j.event_id"), after=_around(""),
+    logits="SELECT b.event_id, b.item_id AS own, i.item_id, (" + " + ".join(
+        f"f{g} * ((exp(2 * ({c} * dot / 354 + {s})) - 1) / (exp(2 * ({c} * dot / 354 + {s})) + 1))"
+        for g, (c, s) in enumerate(zip(_GAIN, _SHIFT))) + ") / sqrt(354) AS l FROM before b CROSS JOIN sums i",
+    probs="SELECT event_id, sum(CASE WHEN own = item_id THEN exp(l) END) / sum(exp(l)) AS old_prob FROM logits GROUP BY 1")
+
+
+@query("experience_states", sql(f"""SELECT b.event_id AS id, b.user_id, b.item_id, {half_up_sql('x.total', 5)} AS state_sum,
+    {half_up_sql('x.dot', 3)} AS state_dot, {half_up_sql('y.total', 5)} AS next_sum, {half_up_sql('y.dot', 3)} AS next_dot,
+    {half_up_sql('old_prob', 9)} AS old_prob FROM base b JOIN before x USING (event_id) JOIN after y USING (event_id)
+    JOIN probs USING (event_id)""", "behaviors", "items", **_EXPERIENCE))
+def experience_states(t):
+    """Experience rows with the state before and after each event, and the policy's probability of its item then.
+
+    States are shown by two linear sums of their entries.
+    """
+    features, valid = materialize(features_of(t)), materialize(behaviors(t))
+    states = materialize(hs.states_around(valid, features))
+    rows = xp.experience_rows(valid, _bonus(t), states=states, old_prob=po.old_probabilities(states, features, _formula_policy()))
+    plain = lambda c: F.aggregate(c, F.lit(0.0), lambda s, e: s + e["value"])
+    placed = lambda c: F.aggregate(c, F.lit(0.0), lambda s, e: s + e["value"] * (e["slot"] + 1))
+    return rows.select(
+        "id", "user_id", "item_id", half_up(plain("state"), 5).alias("state_sum"), half_up(placed("state"), 3).alias("state_dot"),
+        half_up(plain("next_state"), 5).alias("next_sum"), half_up(placed("next_state"), 3).alias("next_dot"),
+        half_up(F.col("old_prob"), 9).alias("old_prob"))
+
+
 @query("recommend")
 def recommend(t):
     return evl.recommend(t.ratings(), t.items(summary=True, comment_len=True), features_of(t), behaviors(t))
