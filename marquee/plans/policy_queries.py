@@ -133,29 +133,31 @@ _COS = """SELECT a.user_id, a.item_id AS x, b.item_id AS y, coalesce(sum(fa.valu
     AS cos FROM pool a JOIN pool b ON a.user_id = b.user_id JOIN norms na ON na.item_id = a.item_id JOIN norms nb ON nb.item_id = b.item_id
     JOIN features fa ON fa.item_id = a.item_id LEFT JOIN features fb ON fb.item_id = b.item_id AND fb.slot = fa.slot GROUP BY 1, 2, 3"""
 _P9 = "floor(({0}) * 1e9 + 0.5)"
-_FIRST = f"""SELECT * FROM pool QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY {_P9.format('base')} DESC, item_id) = 1"""
-_BONUS2 = "floor(greatest(0, 1 - c.cos) * 1e4 + 0.5) / 1e4"
-_SECOND = f"""SELECT p.*, {_BONUS2} AS div FROM pool p JOIN first_pick f ON f.user_id = p.user_id AND f.item_id <> p.item_id JOIN cosines c
-    ON c.user_id = p.user_id AND c.x = p.item_id AND c.y = f.item_id QUALIFY row_number() OVER (PARTITION BY p.user_id ORDER BY
-    {_P9.format(f'p.base + 0.18 * ({_BONUS2})')} DESC, {_P9.format('p.base')} DESC, p.item_id) = 1"""
-_BONUS3 = "floor(greatest(0, 1 - (c.cos + d.cos) / 2) * 1e4 + 0.5) / 1e4"
-_THIRD = f"""SELECT p.*, {_BONUS3} AS div FROM pool p JOIN first_pick f ON f.user_id = p.user_id AND f.item_id <> p.item_id JOIN second_pick s
-    ON s.user_id = p.user_id AND s.item_id <> p.item_id JOIN cosines c ON c.user_id = p.user_id AND c.x = p.item_id AND c.y = f.item_id
-    JOIN cosines d ON d.user_id = p.user_id AND d.x = p.item_id AND d.y = s.item_id QUALIFY row_number() OVER (PARTITION BY p.user_id
-    ORDER BY {_P9.format(f'p.base + 0.18 * ({_BONUS3})')} DESC, {_P9.format('p.base')} DESC, p.item_id) = 1"""
+_SHOWN = "CASE WHEN {0} = 0 THEN 1 ELSE floor(greatest(0, 1 - near / greatest({0}, 1)) * 1e4 + 0.5) / 1e4 END"
+
+
+def _greedy_sql(n: int) -> str:
+    """``n`` picks one after the other; ``near`` sums an item's cosines to those already picked."""
+    steps = ["rest0 AS MATERIALIZED (SELECT user_id, item_id, base, 0.0::DOUBLE AS near FROM pool)"]
+    for k in range(n):
+        bonus = _SHOWN.format(k)
+        steps.append(f"""pick{k} AS MATERIALIZED (SELECT user_id, item_id, {k + 1}::BIGINT AS rank, {bonus} AS div FROM rest{k} QUALIFY row_number()
+            OVER (PARTITION BY user_id ORDER BY {_P9.format(f'base + 0.18 * ({bonus})')} DESC, {_P9.format('base')} DESC, item_id) = 1)""")
+        steps.append(f"""rest{k + 1} AS MATERIALIZED (SELECT r.user_id, r.item_id, r.base, r.near + c.cos AS near FROM rest{k} r JOIN pick{k} p ON
+            p.user_id = r.user_id AND p.item_id <> r.item_id JOIN cosines c ON c.user_id = r.user_id AND c.x = r.item_id AND c.y = p.item_id)""")
+    rows = " UNION ALL ".join(f"SELECT user_id, item_id, rank, round(div, 3) AS div FROM pick{k}" for k in range(n))
+    return f"SELECT * FROM (WITH {', '.join(steps)} {rows})"
 
 
 def _bonus(t):
     return cat.coverage_bonus(t.raw("part").select(F.col("p_partkey").alias("item_id")), cat.exposure(behaviors(t)))
 
 
-@query("mmr_rerank", sql("""SELECT user_id, item_id, 1 AS rank, 1.0 AS div FROM first_pick UNION ALL SELECT user_id, item_id, 2,
-    round(div, 3) FROM second_pick UNION ALL SELECT user_id, item_id, 3, round(div, 3) FROM third_pick""", "ratings", "items", "bonus",
-    features=_FEATURES, norms=_NORMS, pool=_POOL, cosines=_COS, first_pick=_FIRST, second_pick=_SECOND, third_pick=_THIRD))
+@query("mmr_rerank", sql(_greedy_sql(10), "ratings", "items", "bonus", features=_FEATURES, norms=_NORMS, pool=_POOL, cosines=_COS))
 def mmr_rerank(t):
     pool = rk.top_per_group(t.ratings(), ["user_id"], [F.col("score10").desc(), F.col("item_id")], n=30).select(
         "user_id", "item_id", (F.col("score10") / 1000).alias("policy_score")).join(_bonus(t), "item_id")
-    return po.mmr_rerank(pool, features_of(t), n=3, epsilon=0.0).select(
+    return po.mmr_rerank(pool, features_of(t), n=10, epsilon=0.0).select(
         "user_id", "item_id", _big("rank"), F.round("diversity_bonus", 3).alias("div"))
 
 
