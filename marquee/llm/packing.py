@@ -34,7 +34,7 @@ from pyspark.sql.types import LongType, StructField, StructType
 
 from marquee.llm.bpe import PUNCTUATION, Merges, fill, parts
 from marquee.llm.staging import staged
-from marquee.llm.words import release
+from marquee.llm.words import tidy
 
 WINDOW = 4096
 #: Expected tokens of a group: 128 windows.
@@ -179,6 +179,7 @@ PACKED = StructType([*PIECE.fields, StructField("sequence_id", LongType()), Stru
 def pieces(docs: DataFrame, *, path: str, end: int, window: int = WINDOW, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
     """One row per piece: full windows of long documents and the rest of each document."""
 
+    @tidy
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own, closing = tokenizer(path), array("I", [end]).tobytes()
         for batch in batches:
@@ -193,7 +194,6 @@ def pieces(docs: DataFrame, *, path: str, end: int, window: int = WINDOW, text:
             columns = list(zip(*rows)) or [[]] * 5
             yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], names=PIECE.names)
         own.forget()
-        release()
 
     return docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")).mapInArrow(cut, PIECE)
 

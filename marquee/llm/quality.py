@@ -142,8 +142,10 @@ class Classifier:
         sent = docs.sparkSession.sparkContext.broadcast(self.weights)
 
         @F.pandas_udf("double")
-        def score_of(texts: pd.Series) -> pd.Series:
-            return pd.Series(score_texts(list(texts), sent.value))
+        def score_of(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+            for texts in batches:
+                yield pd.Series(score_texts(list(texts), sent.value))
+            W.release()
 
         return docs.withColumn(out, score_of(F.col(text)))
 
@@ -163,6 +165,7 @@ def fit(docs: DataFrame, labels: DataFrame, *, label: str = "quality", usable: C
     sample = known.orderBy(F.xxhash64("_id"), "_id", "_label").limit(most_rows)
     chosen = docs.select(F.col(doc_id).alias("_id"), F.col(text).alias("_text")).join(F.broadcast(sample), "_id").select("_label", "_text")
 
+    @W.tidy
     def extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             marks = batch.column(0).to_numpy(zero_copy_only=False)
@@ -184,6 +187,8 @@ def fit(docs: DataFrame, labels: DataFrame, *, label: str = "quality", usable: C
         rows.sort(key=lambda r: (r[2], len(r[0]), r[0].tobytes()))  # whatever order the rows came in
         weights = train(rows, bits, epochs)
         on = np.flatnonzero(weights)
+        del rows
+        W.release()
         return pa.table({"index": pa.array(on, pa.int64()), "weight": pa.array(weights[on])})
 
     extracted = chosen.mapInArrow(extract, "label int, index array<int>, value array<float>")

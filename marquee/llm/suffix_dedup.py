@@ -164,6 +164,7 @@ def repeated_ranges(docs: DataFrame, *, length: int = LENGTH, keep_first: bool =
     """doc_id, text_hash, low, high: positions at which repeated strings begin, as ranges."""
     rows = _named(docs, text, doc_id).filter(F.octet_length("text") >= length)
 
+    @W.tidy
     def list_cores(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for first, _, data, offsets in parts(batch.column(2).to_pylist(), length, PART):
@@ -180,6 +181,7 @@ def repeated_ranges(docs: DataFrame, *, length: int = LENGTH, keep_first: bool =
     again = staged(cores.groupBy("core").agg(F.sum("times").alias("times")).filter("times > 1").select("core"), "cores-again")
     live = staged(cores.join(again, "core", "left_semi").groupBy("doc_id", "text_hash").agg(F.collect_list("core").alias("cores")), "live-texts")
 
+    @W.tidy
     def describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             wanted = batch.column(3).to_pylist()
@@ -215,6 +217,7 @@ def repeated_ranges(docs: DataFrame, *, length: int = LENGTH, keep_first: bool =
     edges = staged(standing.join(buckets, "core").groupBy("doc_id", "text_hash").agg(
         F.collect_list(F.struct("core", "low", "high", "blocks")).alias("edges")), "edges")
 
+    @W.tidy
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out: list[tuple] = []
@@ -241,6 +244,7 @@ def repeated_ranges(docs: DataFrame, *, length: int = LENGTH, keep_first: bool =
     pieces = staged(_same(_same(rows, _few(edges.select("doc_id", "text_hash")), "left_semi"), edges, "inner").mapInArrow(
         cut, f"{REF}, core long, low long, blocks long, piece binary"), "pieces")
 
+    @W.tidy
     def sort_suffixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple] = []
 
@@ -273,6 +277,7 @@ def repeated_ranges(docs: DataFrame, *, length: int = LENGTH, keep_first: bool =
     small = pieces.filter(F.col("blocks") <= MOST).select("core", "doc_id", "text_hash", "low", "piece")
     sorted_ = small.repartition("core").sortWithinPartitions("core").mapInArrow(sort_suffixes, ranged)
 
+    @W.tidy
     def each_string(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = batch.column(3).to_pylist()

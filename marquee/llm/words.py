@@ -9,10 +9,12 @@ or of all windows cost a few array operations and no loop over words.
 from __future__ import annotations
 
 import ctypes
+import functools
 import gc
-from collections.abc import Iterator, Sequence
+from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
+import pyarrow as pa
 
 #: Bytes of text handled together: each takes some 60 bytes in arrays while it is hashed, in every worker at once.
 CHUNK = 250_000
@@ -32,12 +34,23 @@ def release() -> None:
     if _powers and len(_powers[0]) > CHUNK + 1:
         _powers[:] = []
     gc.collect()
+    pa.default_memory_pool().release_unused()
     try:
         ctypes.CDLL(None).malloc_trim(0)
     except (AttributeError, OSError):  # another C library: its own matter
         pass
 
 
+def tidy(task: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
+    """``task`` over a partition's batches, with everything it held given back at its end."""
+    @functools.wraps(task)
+    def run(batches: Iterator) -> Iterator:
+        yield from task(batches)
+        release()
+
+    return run
+
+
 def _power_table(n: int) -> tuple[np.ndarray, np.ndarray]:
     """R^i and R^-i for i up to n."""
     if not _powers or len(_powers[0]) <= n:
