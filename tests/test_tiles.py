@@ -168,6 +168,28 @@ def test_content_rec_jaccard(spark, small_chunks):
     assert lists(rec.content_rec_jaccard(frame(spark, ratings), items, n=5)) == brute_content(rows, ratings, 5, True)
 
 
+def test_mean_overlap_ships_users_once_for_many_slices_of_sets(spark, monkeypatch):
+    """Forty sets in slices of three are one tile, not fourteen, and the best over all slices match brute force."""
+    monkeypatch.setattr(overlap, "SETS", 3)
+    for name, value in {"HELD": 20, "RANKED": 4}.items():
+        monkeypatch.setattr(overlap, name, value, raising=False)
+    shipped, run_tiles = [], tiles.run_tiles
+    monkeypatch.setattr(tiles, "run_tiles", lambda *a: shipped.append(a[-1]) or run_tiles(*a))
+    sets = {i: sorted({i % 5, 10 + i % 7, 20 + i % 3, 30 + i}) for i in range(40)}
+    likes = {u: [(u * 7 + j * 5) % 40 for j in range(1 + u % 4)] for u in range(12)}
+    found, asked = overlap.mean_overlap(
+        spark.createDataFrame([(u, c, 1) for u, own in likes.items() for c in own], "id bigint, copy_id bigint, n bigint"),
+        spark.createDataFrame([(u, len(own), 4) for u, own in likes.items()], "id bigint, total bigint, k int"),
+        spark.createDataFrame(list(sets.items()), "copy_id bigint, tokens array<bigint>"),
+        wanted=spark.createDataFrame([(u, 39) for u in likes], "id bigint, copy_id bigint"))
+    assert shipped == [1]
+    mean = {(u, c): sum(len(set(sets[c]) & set(sets[x])) / len(set(sets[c]) | set(sets[x])) for x in own) / len(own)
+            for u, own in likes.items() for c in sets}
+    best = {(u, c) for u in likes for c in sorted((c for c in sets if mean[u, c] > 0), key=lambda c: (-math.floor(mean[u, c] * 1e6 + 0.5), c))[:4]}
+    assert {(r.id, r.copy_id) for r in found.collect()} == best
+    assert {(r.id, r.copy_id): r.score for r in asked.collect()} == pytest.approx({(u, 39): mean[u, 39] for u in likes})
+
+
 def test_item_jaccard(spark, small_chunks):
     rows, items = items_frame(spark)
     got = {}
