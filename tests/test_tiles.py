@@ -2,6 +2,7 @@
 
 import math
 import random
+import re
 
 import pytest
 from pyspark.sql import functions as F
@@ -87,6 +88,53 @@ def test_pearson_top_k_is_the_head_of_all_pairs(spark, small_chunks, max_entries
         assert sorted(r.user_b for r in top if r.user_a == user) == sorted(r.user_b for r in order)
 
 
+@pytest.mark.parametrize("kind", ["dot", "pearson"])
+def test_a_sparse_product_takes_chunks_by_entries_and_only_cells_that_a_term_reaches(spark, monkeypatch, kind):
+    """Eighty rows of three terms in chunks of seven rows were 144 tiles of all cells."""
+    monkeypatch.setattr(tiles, "ROWS_PER_CHUNK", 7)
+    shipped, run_tiles = [], tiles.run_tiles
+    monkeypatch.setattr(tiles, "run_tiles", lambda *a: shipped.append(a[-1]) or run_tiles(*a))
+    monkeypatch.setattr(tiles, "cells_worth_ranking", None)  # ranks whole rows of cells
+    monkeypatch.setattr(tiles, "_pearson", None)
+    held = {i: {i % 40: 1.0 + i % 3, (i + 1) % 40: 2.0, (i * 3 + 2) % 40 + 40: 4.0 + i % 2} for i in range(80)}
+    rows = spark.createDataFrame([(i, t, v) for i, own in held.items() for t, v in own.items()], "id bigint, term bigint, val double")
+    got = {(r.left_id, r.right_id): r.score for r in tiles.match_long(rows, rows, kind=kind, k=3).collect()}
+    assert shipped == [1]
+
+    def score(a, b):
+        both = sorted(held[a].keys() & held[b].keys())
+        if kind == "dot":
+            return sum(held[a][t] * held[b][t] for t in both)
+        return (pearson({t: held[a][t] for t in both}, {t: held[b][t] for t in both}) or (0, 0.0))[1]
+
+    expected = {}
+    for a in held:
+        found = [(-math.floor(s * 1e6 + 0.5), b, s) for b in held if a != b and (s := score(a, b)) > 0]
+        expected |= {(a, b): s for _, b, s in sorted(found)[:3]}
+    assert got == pytest.approx(expected)
+
+
+def test_tiles_are_dealt_by_one_shuffle_a_side(spark):
+    rows = spark.range(20).selectExpr("id", "id % 3 AS tile")
+    plan = tiles.run_tiles(rows, rows, None, lambda a, b: a[["id"]], "id bigint", 3)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange") == 2
+
+
+def test_neighbours_rows_are_summed_where_they_lie(spark, monkeypatch):
+    """Collaborative scores: one shuffle by user behind the join, rows of a neighbour in several parts, null keys as before."""
+    monkeypatch.setattr(rec, "PACKED", 2)
+    likes = spark.createDataFrame([(b, i, 80 + (b + i) % 20) for b in range(4) for i in range(5)] + [(9, None, 90)],
+                                  "user_id bigint, item_id bigint, score10 bigint")
+    similar = spark.createDataFrame([(7, 0, 0.5), (7, 1, 0.25), (8, 2, 1.0), (8, 9, 0.5)], "user_a bigint, user_b bigint, sim double")
+    watched = spark.createDataFrame([(7, 1), (8, None), (None, 2)], "user_id bigint, item_id bigint")
+    scores = rec.cf_scores(similar, likes, watched)
+    expected = {(7, i): 0.5 * (80 + i) / 10 + 0.25 * (81 + i) / 10 for i in range(5) if i != 1}
+    expected |= {(8, i): (82 + i) / 10 for i in range(5)} | {(8, None): 4.5}
+    assert {(r.user_id, r.item_id): r.score for r in scores.collect()} == pytest.approx(expected)
+    plan = scores._jdf.queryExecution().executedPlan().toString()
+    assert not re.search(r"hashpartitioning\(user_id#\d+L?, item_id", plan)
+
+
 def test_one_common_item_or_equal_scores_give_no_similarity(spark):
     rows = {(1, 1): 50, (2, 1): 60, (3, 1): 70, (3, 2): 70, (4, 1): 10, (4, 2): 90}
     assert sim.user_similarity_pearson(frame(spark, rows)).count() == 0
