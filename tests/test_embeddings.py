@@ -68,3 +68,18 @@ def test_topics_come_apart(pairs):
 def test_no_pairs(spark):
     empty = spark.createDataFrame([], "left string, right string, weight double")
     assert em.factorise_weighted(em.log_weights(empty), dimensions=2, rounds=1).count() == 0
+
+
+@pytest.mark.parametrize("sent", [0, 1000])
+def test_mean_vectors_shuffle_one_row_an_id(spark, monkeypatch, sent):
+    """Sums of all places lie in one row; a row for each place was shuffled before."""
+    monkeypatch.setattr(em, "SENT", sent, raising=False)
+    members = spark.createDataFrame([(1, "a", 1.0), (1, "b", 3.0), (1, "b", 3.0), (2, "c", 2.0), (3, "x", 1.0), (None, "a", 1.0)],
+                                    "id bigint, token string, weight double")
+    vectors = spark.createDataFrame([("a", [1.0, 2.0]), ("b", [3.0, -2.0]), ("c", [0.5, None]), ("d", [])], "token string, vec array<double>")
+    means = em.mean_vectors(members, vectors, weight=F.col("weight"))
+    assert {r.id: r.vec for r in means.collect()} == {1: pytest.approx([19 / 7, -10 / 7]), 2: [0.5, None], None: [1.0, 2.0]}
+    assert "posexplode" not in means._jdf.queryExecution().executedPlan().toString()
+    uneven = vectors.union(spark.createDataFrame([("x", [7.0])], vectors.schema))
+    assert {r.id: r.vec for r in em.mean_vectors(members, uneven).collect()} == {
+        1: pytest.approx([7 / 3, -2 / 3]), 2: [0.5, None], 3: [7.0], None: [1.0, 2.0]}
