@@ -83,3 +83,20 @@ def test_mean_vectors_shuffle_one_row_an_id(spark, monkeypatch, sent):
     uneven = vectors.union(spark.createDataFrame([("x", [7.0])], vectors.schema))
     assert {r.id: r.vec for r in em.mean_vectors(members, uneven).collect()} == {
         1: pytest.approx([7 / 3, -2 / 3]), 2: [0.5, None], 3: [7.0], None: [1.0, 2.0]}
+
+
+@pytest.mark.parametrize("vectors", [80_000, 6])  # solved in the tile, and from sums of several column blocks
+def test_tiles_hold_few_rows_and_vectors(pairs, vectors, monkeypatch):
+    """A tile held the equations of a whole side's rows before."""
+    matrix = em.log_weights(pairs)
+    whole, ids = em._fit(matrix, 3, 2, 0.1)
+    monkeypatch.setattr(em, "VECTORS_PER_TILE", vectors)
+    monkeypatch.setattr(em, "ROWS_PER_TILE", 4)
+    monkeypatch.setattr(em, "ROWS_AT_ONCE", 3)
+    cut, _ = em._fit(matrix, 3, 2, 0.1)
+    for side in ("row", "col"):
+        want, got = ({r.id: r.vec for r in f[side].collect()} for f in (whole, cut))
+        assert want.keys() == got.keys() and all(np.allclose(got[i], want[i], atol=1e-8) for i in want)
+    monkeypatch.undo()
+    rows, cols = em.grid(30_000_000, 500_000, 12)
+    assert 500_000 / rows <= em.ROWS_PER_TILE and 500_000 / cols <= em.VECTORS_PER_TILE
