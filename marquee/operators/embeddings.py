@@ -37,6 +37,8 @@ ROWS_AT_ONCE = 512
 POPULARITY = 0.03
 #: Numbers of a table of vectors that may be sent to every task (32 MB), and places that are summed up as columns.
 SENT, MOST_COLUMNS = 4_000_000, 256
+#: Places among which an id's members are dealt, so that an id with many is no single task's.
+SPREAD = 4
 
 
 def cooccurrence(sequences: DataFrame, *, window: int, weighted: bool = True) -> DataFrame:
@@ -244,6 +246,8 @@ def mean_vectors(members: DataFrame, vectors: DataFrame, *, weight: Column | Non
     n, least, width = vectors.agg(F.count(F.lit(1)), F.min(F.size("vec")), F.max(F.size("vec"))).first()
     if n and n * width <= SENT:
         vectors = F.broadcast(vectors)
+        # what lies together adds up before the shuffle: an id leaves at most SPREAD rows of sums
+        members = members.repartition("id", F.pmod(F.xxhash64("token"), F.lit(SPREAD)))
     rows = members.join(vectors, "token").withColumn("w", F.lit(1.0) if weight is None else weight)
     if not n or least != width or width > MOST_COLUMNS:
         means = rows.select("id", "w", F.posexplode("vec").alias("i", "x")).groupBy("id", "i").agg(
