@@ -329,3 +329,14 @@ def test_embeddings_recover_planted_topics(spark, model):
     same = np.mean([cos(vec[f"a{i}"], vec[f"a{j}"]) for i in range(6) for j in range(i)])
     other = np.mean([cos(vec[f"a{i}"], vec[f"b{j}"]) for i in range(6) for j in range(6)])
     assert same > other + 0.2
+
+
+def test_feature_arrays_are_computed_once_for_their_long_form(spark):
+    items = spark.createDataFrame([(1, "drama", "ann", "x", "one two two one two", 5.0, 3, 2000, 90), (2, "", "", "", None, None, 0, None, None)],
+                                  "item_id long, types string, directors string, country string, summary string, rate double, "
+                                  "comment_len long, release_year int, duration int")
+    out = ft.long_form(ft.item_features(items))
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("director:") == 1
+    shares = sorted(r.value for r in out.collect() if r.item_id == 1 and ft.SUMMARY_AT <= r.slot < ft.TAG_AT)
+    assert shares == [0.4, 0.6]
