@@ -59,3 +59,24 @@ def test_members_add_up_before_the_shuffle(spark):
     out = em.user_profiles(ratings, vectors)
     assert {r.user_id: r.vec[0] for r in out.collect()} == pytest.approx({0: 99.0, 1: 100.0})
     assert re.search(r"hashpartitioning\([^\n]*xxhash64", plan_of(out))
+
+
+def test_routed_rows_are_written_once_a_round(spark, monkeypatch):
+    """A row was copied for each chunk it goes to before; it meets the same chunks where they lie."""
+    for name, value in {"ROUTED_FROM": 0, "ROWS_PER_CHUNK": 7, "BOUNDED_ROWS": 3}.items():
+        monkeypatch.setattr(tiles, name, value)
+    monkeypatch.setattr(tiles, "is_sparse", lambda *_: False)
+    monkeypatch.setattr(tiles, "run_tiles", None)  # copies rows
+    packed, chunks = [], tiles._chunks
+    monkeypatch.setattr(tiles, "_chunks", lambda rows, n: packed.append(rows.count()) or chunks(rows, n))
+    held = {i: {i % 5: 1.0, 5 + i % 7: 2.0, 12 + i: 1.0, 60 + i // 3: 3.0} for i in range(40)}
+    rows = spark.createDataFrame([(i, list(h), list(h.values())) for i, h in held.items()], "id bigint, terms array<bigint>, vals array<double>")
+    skip = spark.createDataFrame([(1, 2), (0, 1), (99, 1)], "id bigint, right_id bigint")
+    got = {}
+    for r in tiles.match(rows, rows, kind="dot", k=3, exclude_self=True, skip=skip).orderBy("left_id", "rank").collect():
+        got.setdefault(r.left_id, []).append((r.right_id, r.score))
+    for a in held:
+        scores = [(b, sum(v * held[b].get(t, 0.0) for t, v in held[a].items())) for b in held if b != a and (a, b) not in {(1, 2), (0, 1)}]
+        assert got[a] == sorted((x for x in scores if x[1] > 0), key=lambda x: (-x[1], x[0]))[:3]
+    # the right rows once, the left rows once a round; each round adds its two known marks
+    assert len(packed) == 3 and max(packed) <= 42
