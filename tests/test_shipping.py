@@ -1,12 +1,13 @@
 """What travels between tasks: rows once a side, entries as arrays, sums instead of members."""
 
+import math
 import re
 
 import pandas as pd
 import pytest
 from pyspark.sql import functions as F, types as T
 
-from marquee.operators import embeddings as em, features as ft, policy as po, tiles
+from marquee.operators import embeddings as em, features as ft, overlap, policy as po, tiles
 
 
 def plan_of(df):
@@ -80,3 +81,29 @@ def test_routed_rows_are_written_once_a_round(spark, monkeypatch):
         assert got[a] == sorted((x for x in scores if x[1] > 0), key=lambda x: (-x[1], x[0]))[:3]
     # the right rows once, the left rows once a round; each round adds its two known marks
     assert len(packed) == 3 and max(packed) <= 42
+
+
+def test_mean_overlap_writes_each_side_once(spark, monkeypatch):
+    """Sets in five chunks: users and their liked sets are written once, not once for each chunk, and the best match brute force."""
+    monkeypatch.setattr(overlap, "TILE_SETS", 8)
+    monkeypatch.setattr(overlap, "AT_ONCE", 2)
+    packed, chunks = [], tiles._chunks
+    monkeypatch.setattr(tiles, "_chunks", lambda rows, n: packed.append(rows.count()) or chunks(rows, n))
+    sets = {i: sorted({i % 5, 10 + i % 7, 20 + i % 3, 30 + i}) for i in range(40)}
+    likes = {u: [(u * 7 + j * 5) % 40 for j in range(1 + u % 4)] for u in range(12)}
+    found, asked = overlap.mean_overlap(
+        spark.createDataFrame([(u, c, 1 + (u + c) % 2) for u, own in likes.items() for c in own], "id bigint, copy_id bigint, n bigint"),
+        spark.createDataFrame([(u, len(own), 4) for u, own in likes.items()], "id bigint, total bigint, k int"),
+        spark.createDataFrame(list(sets.items()), "copy_id bigint, tokens array<bigint>"),
+        wanted=spark.createDataFrame([(u, c) for u in likes for c in (3, 39)], "id bigint, copy_id bigint"))
+    mean = {(u, c): sum((1 + (u + x) % 2) * len(set(sets[c]) & set(sets[x])) / len(set(sets[c]) | set(sets[x])) for x in own) / len(own)
+            for u, own in likes.items() for c in sets}
+    best = {(u, c) for u in likes for c in sorted((c for c in sets if mean[u, c] > 0), key=lambda c: (-math.floor(mean[u, c] * 1e6 + 0.5), c))[:4]}
+    assert {(r.id, r.copy_id) for r in found.collect()} == best
+    assert {(r.id, r.copy_id): r.score for r in asked.collect()} == pytest.approx({(u, c): mean[u, c] for u in likes for c in (3, 39)})
+    n_liked, n_notes = len({c for own in likes.values() for c in own}), len(likes) * len(set(_homes(spark, [3, 39], 5)))
+    assert packed == [len(likes) + n_liked + n_notes, len(sets)]
+
+
+def _homes(spark, ids, n):
+    return [r[0] for r in spark.createDataFrame([(i,) for i in ids], "i bigint").select(F.pmod(F.xxhash64("i"), F.lit(n).cast("bigint"))).collect()]
