@@ -14,7 +14,8 @@ told from rows that still tie; when the slices end the tied rows are taken in id
 the boundary is exact.  The best k of each block are merged by score and id.
 
 Every query block meets every index block once: queries and blocks are both cut to a fixed
-size, so a tile is about a megabyte and nothing is broadcast.
+size.  Components travel in the narrowest integers that hold them, and an index block once for
+``SECTION`` query blocks, so a tile is a few megabytes and nothing is broadcast.
 
 Defined results: vectors that are null or hold a null or non-finite component take no part;
 only vectors of equal length are compared; a query is not compared with rows of its own id;
@@ -35,6 +36,8 @@ from marquee.llm.staging import staged
 
 BLOCK_ROWS = 32_768
 BLOCK_QUERIES = 256
+#: Query blocks that meet an index block in one tile.
+SECTION = 16
 ALL = np.uint64(0xFFFFFFFFFFFFFFFF)
 
 
@@ -138,6 +141,25 @@ def matrix(column: pa.ChunkedArray, dims: int) -> np.ndarray:
     return flat.to_numpy(zero_copy_only=False).astype(np.int64).reshape(len(column), dims)
 
 
+def narrow(values: np.ndarray) -> tuple[bytes, int]:
+    """Integers as the narrowest kind that holds all of them, and its width in bytes."""
+    low, high = (int(values.min()), int(values.max())) if values.size else (0, 0)
+    kind = next(k for k in (np.int8, np.int16, np.int32, np.int64) if np.iinfo(k).min <= low and high <= np.iinfo(k).max)
+    return values.astype(kind).tobytes(), np.dtype(kind).itemsize
+
+
+def widened(data: bytes, width: int, dims: int, rows: int) -> np.ndarray:
+    return np.frombuffer(data, f"i{width}").astype(np.int64).reshape(rows, dims)
+
+
+def sectioned(index: DataFrame, queries: DataFrame, blocks: int, parts: int) -> tuple[DataFrame, DataFrame]:
+    """Both sides with the tiles they go to: each index block once for every ``SECTION`` query blocks."""
+    sections = -(-parts // SECTION)
+    return (index.withColumn("section", F.explode(F.sequence(F.lit(0), F.lit(sections - 1)))),
+            queries.withColumn("section", F.floor(F.col("part") / SECTION).cast("int")).withColumn(
+                "block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))))
+
+
 def top_k(vectors: DataFrame, *, k: int = 20, query: Column, vec_id: str = "vec_id", vector: str = "embedding",
           scale: int = 64, block_rows: int = BLOCK_ROWS, block_queries: int = BLOCK_QUERIES) -> DataFrame:
     """query_id, rank, vec_id, score: the best ``k`` rows for every row for which ``query`` holds."""
@@ -155,33 +177,35 @@ def top_k(vectors: DataFrame, *, k: int = 20, query: Column, vec_id: str = "vec_
         dims = table["dims"][0].as_py()
         table = table.sort_by([("vec_id", "ascending")])
         key = table.column_names[-1]
+        data, width = narrow(matrix(table["values"], dims))
         return pa.table({"dims": pa.array([dims], pa.int32()), key: pa.array([table[key][0].as_py()], pa.int32()),
                          "ids": [table["vec_id"].to_numpy().astype(np.int64).tobytes()],
-                         "data": [matrix(table["values"], dims).tobytes()]})
+                         "data": [data], "width": pa.array([width], pa.int32())})
 
     index = packed.select("vec_id", "values", "dims", "block").groupBy("dims", "block").applyInArrow(
-        pack, "dims int, block int, ids binary, data binary")
+        pack, "dims int, block int, ids binary, data binary, width int")
     queries = asked.select("vec_id", "values", "dims", "part").groupBy("dims", "part").applyInArrow(
-        pack, "dims int, part int, ids binary, data binary")
-    index = index.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))))
-    queries = queries.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
+        pack, "dims int, part int, ids binary, data binary, width int")
+    index, queries = sectioned(index, queries, blocks, parts)
 
     def tile(left: pa.Table, right: pa.Table) -> pa.Table:
         found: list[tuple] = []
         if left.num_rows and right.num_rows:
             dims = left["dims"][0].as_py()
-            ids, data = (np.frombuffer(left[c][0].as_py(), np.int64) for c in ("ids", "data"))
-            block = Block(ids, data.reshape(len(ids), dims))
-            asking, data = (np.frombuffer(right[c][0].as_py(), np.int64) for c in ("ids", "data"))
-            part = right["part"][0].as_py()
-            for n, (i, values) in enumerate(zip(asking.tolist(), data.reshape(len(asking), dims))):
-                best, scores = block.best(i, values, k)
-                found.append((np.full(len(best), i), np.full(len(best), part << 32 | n), best, scores))
+            ids = np.frombuffer(left["ids"][0].as_py(), np.int64)
+            block = Block(ids, widened(left["data"][0].as_py(), left["width"][0].as_py(), dims, len(ids)))
+            for row in range(right.num_rows):
+                asking, part = np.frombuffer(right["ids"][row].as_py(), np.int64), right["part"][row].as_py()
+                values = widened(right["data"][row].as_py(), right["width"][row].as_py(), dims, len(asking))
+                for n, (i, query) in enumerate(zip(asking.tolist(), values)):
+                    best, scores = block.best(i, query, k)
+                    found.append((np.full(len(best), i), np.full(len(best), part << 32 | n), best, scores))
         columns = [np.concatenate(c) for c in zip(*found)] if found else [np.zeros(0, np.int64)] * 4
         return pa.table({n: pa.array(c, pa.int64()) for n, c in zip(("query_id", "asker", "vec_id", "score"), columns)})
 
-    keys = ("dims", "block", "part")
-    tiles = index.select(*keys, "ids", "data").groupBy(*keys).cogroup(queries.select(*keys, "ids", "data").groupBy(*keys)).applyInArrow(
+    keys = ("dims", "block", "section")
+    tiles = index.select(*keys, "ids", "data", "width").groupBy(*keys).cogroup(
+        queries.select(*keys, "part", "ids", "data", "width").groupBy(*keys)).applyInArrow(
         tile, "query_id long, asker long, vec_id long, score long")
     order = Window.partitionBy("query_id", "asker").orderBy(F.desc("score"), "vec_id")
     return tiles.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

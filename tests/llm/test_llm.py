@@ -449,3 +449,16 @@ def test_pipeline_takes_an_empty_table(spark):
     for _, stage in corpus_pipeline.STAGES:
         out = stage(spark, docs, FOLDER)
         assert out.count() == 0
+
+
+def test_top_k_ships_an_index_block_once_for_many_query_blocks(spark):
+    """A block of the index was copied for each block of queries, in 64-bit numbers."""
+    index = spark.range(3).select(F.col("id").cast("int").alias("block"))
+    queries = spark.range(40).select(F.col("id").cast("int").alias("part"))
+    left, right = bit_sliced.sectioned(index, queries, 3, 40)
+    assert left.count() == 3 * -(-40 // bit_sliced.SECTION) and right.count() == 3 * 40
+    met = left.join(right, ["block", "section"]).groupBy("block", "part").count()
+    assert met.count() == 120 and met.filter("count > 1").isEmpty()
+    for values, width in (([-128, 127], 1), ([-129, 0], 2), ([40_000, 0], 4), ([1 << 40, -5], 8)):
+        data, found = bit_sliced.narrow(np.array([values]))
+        assert found == width and bit_sliced.widened(data, found, 2, 1).tolist() == [values]
