@@ -107,3 +107,23 @@ def test_mean_overlap_writes_each_side_once(spark, monkeypatch):
 
 def _homes(spark, ids, n):
     return [r[0] for r in spark.createDataFrame([(i,) for i in ids], "i bigint").select(F.pmod(F.xxhash64("i"), F.lit(n).cast("bigint"))).collect()]
+
+
+def test_routed_dense_rows_are_written_once_a_round(spark, monkeypatch):
+    """A vector was copied for each chunk it goes to before."""
+    for name, value in {"ROUTED_FROM": 0, "ROWS_PER_CHUNK": 17, "BOUNDED_ROWS": 6}.items():
+        monkeypatch.setattr(tiles, name, value)
+    monkeypatch.setattr(tiles, "run_tiles", None)  # copies rows
+    packed, chunks = [], tiles._chunks
+    monkeypatch.setattr(tiles, "_chunks", lambda rows, n: packed.append(rows.count()) or chunks(rows, n))
+    vectors = [[math.sin(i * j + 1) for j in range(1, 5)] for i in range(40)]
+    rows = spark.createDataFrame(list(enumerate(vectors)), "id bigint, vals array<double>")
+    skip = spark.createDataFrame([(1, 2), (0, 1), (99, 1)], "id bigint, right_id bigint")
+    got = {}
+    for r in tiles.match(rows, rows.withColumn("bias", F.col("id") % 3 / 10), kind="dense", k=3, exclude_self=True, skip=skip).orderBy("left_id", "rank").collect():
+        got.setdefault(r.left_id, []).append(r.right_id)
+    for a, x in enumerate(vectors):
+        scores = [(-math.floor((sum(p * q for p, q in zip(x, y)) + b % 3 / 10) * 1e6 + 0.5), b) for b, y in enumerate(vectors)
+                  if b != a and (a, b) not in {(1, 2), (0, 1)}]
+        assert got[a] == [b for _, b in sorted(scores)[:3]]
+    assert len(packed) == 3 and max(packed) <= 42
