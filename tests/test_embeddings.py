@@ -100,3 +100,20 @@ def test_tiles_hold_few_rows_and_vectors(pairs, vectors, monkeypatch):
     monkeypatch.undo()
     rows, cols = em.grid(30_000_000, 500_000, 12)
     assert 500_000 / rows <= em.ROWS_PER_TILE and 500_000 / cols <= em.VECTORS_PER_TILE
+
+
+def test_a_block_is_sent_the_vectors_its_pairs_name(spark, monkeypatch):
+    """Every fixed vector went to every block before: here a block of pairs names few of 400 tokens."""
+    monkeypatch.setattr(em, "PAIRS_PER_TILE", 20)
+    rows = [(f"w{i}", f"w{i + d}", 2.0) for i in range(399) for d in (-1, 1) if 0 <= i + d < 400]
+    matrix = em.log_weights(spark.createDataFrame(rows, "left string, right string, weight double"))
+    sent, plain = [], type(matrix).repartition
+
+    def counted(self, *a):
+        if "vec" in self.columns and "chunk" in self.columns:
+            sent.append(self.count())
+        return plain(self, *a)
+
+    monkeypatch.setattr(type(matrix), "repartition", counted)
+    em._fit(matrix, 2, 1, 0.1)
+    assert len(sent) == 2 and max(sent) <= len(rows)
